@@ -1,8 +1,11 @@
 """Operators for building training corpora. Nothing else in the package imports this one."""
 
+from velograph.llm import op03_decontaminate
 from velograph.llm.op02_language import op2_language_id
+from velograph.llm.op03_decontaminate import op3_decontaminate
+from velograph.llm.op04_simhash import op4_simhash_dedup
 from velograph.llm.op05_classifier import op5_quality_classifier
 from velograph.llm.op10_quality import op10_quality_rules
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op5_quality_classifier, op10_quality_rules)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_language_id, op3_decontaminate, op4_simhash_dedup, op5_quality_classifier, op10_quality_rules)}
+ORACLES: dict[str, str] = {"op3_decontaminate": op03_decontaminate.ORACLE_SQL}

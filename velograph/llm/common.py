@@ -19,6 +19,8 @@ import velograph
 #: The white space of `[^\x20\x09-\x0D]+`; bytes.split() splits at just these.
 ASCII_SPACE = b" \t\n\x0b\x0c\r"
 HELD_OUT = 2
+#: The signature by which Spark knows an Arrow UDF over iterators.
+ARRAY_ITERATOR = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
