@@ -3,8 +3,8 @@
 The statistics of a text are shares and rates (characters by kind, words, lines, repeats), put on
 one scale by the mean and deviation of the fitting rows. D random cosines approximate a Gaussian
 kernel over them. The normal equations (D x D) are summed by partition and added up, the ridge
-weights solved on the driver, and the scores calibrated by pool-adjacent-violators on rows that the
-weights haven't seen.
+weights solved on the driver, and the scores calibrated by pool-adjacent-violators on scores from weights
+that haven't seen their row (cross-fitted over folds of the hash of doc_id).
 
 The model is fitted on at most `fit_rows` labelled rows, those of the smallest hash of doc_id; every
 row is scored from its whole text. Null and empty texts get the score of the empty text's
@@ -29,7 +29,8 @@ class Fit:
     fit_rows: int = 12_000
     features: int = 192
     width: float = 3.0
-    ridge: float = 1e-2
+    ridge: float = 0.3
+    folds: int = 4
     seed: int = 5
     cutoff: float = 0.7
 
@@ -97,12 +98,11 @@ def fit(docs: DataFrame, labels: DataFrame, how: Fit = Fit()) -> Model:
     spark = docs.sparkSession
     marks = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~common.held_out(F.col("doc_id"))).select("doc_id", F.col("quality").cast("double").alias("label"))
     # A bounded sample: fit_rows ids at most, so that they may be broadcast.
-    chosen = marks.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id", "label").limit(how.fit_rows).select("doc_id", "label", (F.col("h") % 4 == 0).alias("calibrates"))
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(_stats_udf().alias("x"), "label", "calibrates")
-    rows = common.cut(rows)  # a row of numbers for each of fit_rows texts
+    chosen = marks.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id", "label").limit(how.fit_rows).select("doc_id", "label", F.pmod("h", F.lit(how.folds)).alias("fold"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(_stats_udf().alias("x"), "label", "fold")
+    rows = common.cut(rows).coalesce(4)  # a row of numbers for each of fit_rows texts
     rng = np.random.default_rng(how.seed)
     omega, phase = rng.normal(0, 1 / how.width, (N_STATS, how.features)), rng.uniform(0, 2 * np.pi, how.features)
-    parts = max(1, min(32, rows.rdd.getNumPartitions()))
     first = rows.select(F.count("*").alias("n"), F.avg("label").alias("share"), *[F.avg(F.col("x")[i]).alias(f"m{i}") for i in range(N_STATS)], *[F.stddev_pop(F.col("x")[i]).alias(f"s{i}") for i in range(N_STATS)]).first()
     if not first.n:
         return Model(None, None, omega, phase, None, None, None, 0.5)
@@ -111,24 +111,33 @@ def fit(docs: DataFrame, labels: DataFrame, how: Fit = Fit()) -> Model:
     model = Model(mean, spread, omega, phase, None, None, None, float(first.share))
     if first.share in (0.0, 1.0):
         return model
+    d = how.features + 1
 
     def equations(batches):
-        d = how.features + 1
-        gram, right = np.zeros((d, d)), np.zeros(d)
+        sums = {}
         for b in batches:
-            x = common.as_matrix(b.column(0).to_pylist(), N_STATS)
-            f = model.features(x)
-            gram += f.T @ f
-            right += f.T @ np.asarray(b.column(1).to_pylist())
-        yield pa.RecordBatch.from_pydict({"gram": [gram.tobytes()], "right": [right.tobytes()]})
-
-    sums = common.map_arrow(rows.where(~F.col("calibrates")).select("x", "label").coalesce(parts), equations, "gram binary, right binary").collect()
-    gram = sum(np.frombuffer(r.gram).reshape(how.features + 1, -1) for r in sums)
-    right = sum(np.frombuffer(r.right) for r in sums)
-    model.beta = np.linalg.solve(gram + how.ridge * np.eye(len(gram)), right)
-    rest = rows.where("calibrates").select("x", "label").collect() or rows.select("x", "label").collect()
-    stats = common.as_matrix([r.x for r in rest], N_STATS)
-    model.knots, model.values = isotonic(model.features(stats) @ model.beta, np.array([r.label for r in rest]))
+            f, label, fold = model.features(common.as_matrix(b.column(0).to_pylist(), N_STATS)), np.asarray(b.column(1).to_pylist()), np.asarray(b.column(2).to_pylist())
+            for k in np.unique(fold).tolist():
+                own = f[fold == k]
+                gram, right = sums.get(k, (0.0, 0.0))
+                sums[k] = gram + own.T @ own, right + own.T @ label[fold == k]
+        yield pa.RecordBatch.from_pydict({"fold": pa.array(list(sums), pa.int64()), "gram": pa.array([g.tobytes() for g, _ in sums.values()], pa.binary()), "right": pa.array([r.tobytes() for _, r in sums.values()], pa.binary())})
+
+    grams, rights = np.zeros((how.folds, d, d)), np.zeros((how.folds, d))
+    for r in common.map_arrow(rows, equations, "fold bigint, gram binary, right binary").collect():
+        grams[r.fold] += np.frombuffer(r.gram).reshape(d, d)
+        rights[r.fold] += np.frombuffer(r.right)
+
+    def solved(but: int | None = None) -> np.ndarray:
+        use = [k for k in range(how.folds) if k != but]
+        return np.linalg.solve(grams[use].sum(axis=0) + how.ridge * np.eye(d), rights[use].sum(axis=0))
+
+    model.beta = solved()
+    betas = np.stack([solved(k) for k in range(how.folds)], axis=1)
+    fitted = rows.collect()  # fit_rows rows of numbers at most
+    folds = np.array([r.fold for r in fitted])
+    unseen = (model.features(common.as_matrix([r.x for r in fitted], N_STATS)) @ betas)[np.arange(len(fitted)), folds]
+    model.knots, model.values = isotonic(unseen, np.array([r.label for r in fitted]))
     return model
 
 
