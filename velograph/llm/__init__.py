@@ -1,12 +1,34 @@
 """Operators for building training corpora. Nothing else in the package imports this one."""
 
-from velograph.llm import op03_decontaminate
+from velograph.llm import op03_decontaminate, op07_chat, op08_licenses
 from velograph.llm.op01_sentencepiece import op1_sentencepiece
 from velograph.llm.op02_language import op2_language_id
 from velograph.llm.op03_decontaminate import op3_decontaminate
 from velograph.llm.op04_simhash import op4_simhash_dedup
 from velograph.llm.op05_classifier import op5_quality_classifier
+from velograph.llm.op06_urls import op6_url_filters
+from velograph.llm.op07_chat import op7_chat_formatting
+from velograph.llm.op08_licenses import op8_license_scans
+from velograph.llm.op09_html import op9_html_extraction
 from velograph.llm.op10_quality import op10_quality_rules
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_language_id, op3_decontaminate, op4_simhash_dedup, op5_quality_classifier, op10_quality_rules)}
-ORACLES: dict[str, str] = {"op3_decontaminate": op03_decontaminate.ORACLE_SQL}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_sentencepiece,
+        op2_language_id,
+        op3_decontaminate,
+        op4_simhash_dedup,
+        op5_quality_classifier,
+        op6_url_filters,
+        op7_chat_formatting,
+        op8_license_scans,
+        op9_html_extraction,
+        op10_quality_rules,
+    )
+}
+ORACLES: dict[str, str] = {
+    "op3_decontaminate": op03_decontaminate.ORACLE_SQL,
+    "op7_chat_formatting": op07_chat.ORACLE_SQL,
+    "op8_license_scans": op08_licenses.ORACLE_SQL,
+}
