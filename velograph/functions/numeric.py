@@ -32,7 +32,7 @@ def total(x: Column, skipna: bool = False) -> Column:
 
 def decode_padded(raw: Column) -> Column:
     """Text of UTF-8 bytes padded with NUL at the right."""
-    return F.rtrim(F.decode(raw, F.lit("UTF-8")), F.lit("\0"))
+    return F.rtrim(F.decode(raw, "UTF-8"), F.lit("\0"))
 
 
 def pad_to(text: Column, width: int) -> Column:
