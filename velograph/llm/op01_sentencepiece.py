@@ -23,7 +23,9 @@ A null doc_id has a key like any other. Repeated rows give repeated, equal sampl
 from __future__ import annotations
 
 import os
+from collections import defaultdict
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +50,7 @@ class Sampling:
     k: int = 2
     alpha: float = 0.3
     seed: int = 1
-    slice_bytes: int = 1 << 20
+    slice_bytes: int = 3 << 19
 
 
 class Lexicon:
@@ -78,8 +80,10 @@ class Lexicon:
         weight = -np.log(2 - scores) if ranked else scores.copy()
         keep = [i for _, i in usable]
         weight = weight - np.log(np.exp(weight[keep]).sum())
-        self.weight = (alpha * weight).astype(np.float32)
-        self.spelled = np.float32(alpha * (weight[keep].min() - 1))  # of one byte
+        # After the pieces come four more: a character spelled in one to four bytes.
+        self.n = n
+        self.weight = alpha * np.concatenate([weight, (weight[keep].min() - 1) * np.arange(1, 5)])
+        self.share = np.exp(self.weight)
         nodes: dict[tuple[int, int], int] = {}
         self.piece_at = [-1]
         for piece, i in usable:
@@ -142,7 +146,10 @@ _ODD = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 def ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """start[0], start[0] + 1, ... (size[0] of them), then those of start[1], and so on."""
     total = int(size.sum())
-    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(total)
+    kind = np.int32 if total < 1 << 30 and (not len(start) or start.max() < 1 << 30) else np.int64
+    out = np.repeat((start - (np.cumsum(size) - size)).astype(kind), size)
+    out += np.arange(total, dtype=kind)
+    return out
 
 
 #: Up to so many characters from a unit's end, sums are of probabilities; beyond, of their logs.
@@ -172,37 +179,36 @@ class Lattice:
         self.points = np.zeros(n, np.int64)
         back = np.zeros(n)
         back[: len(units)] = 1.0
-        count = np.zeros(n, np.int64)
-        froms, slots, pieces, lengths, weights = [], [], [], [], []
+        held_at = np.zeros(n, np.int64)
+        froms, slots, pieces, targets = [], [], [], []
         for d in range(1, deepest + 1):
             here = base[d]
             self.points[here : here + width[d]] = points[ends[: width[d]] - d]
             if d == _PLAIN + 1:
                 back[:here] = np.log(back[:here])
             total = np.zeros(width[d]) if d <= _PLAIN else np.full(width[d], -np.inf)
-            own = count[here : here + width[d]]
+            own = held_at[here : here + width[d]]
             who = np.arange(width[d])
             node = lex.first[self.points[here : here + width[d]]]
             for length in range(1, d + 1):
-                found = lex.piece_at[node]
-                hit = np.flatnonzero(found >= 0)
-                at, piece = who[hit], found[hit]
-                weight = lex.weight[piece]
-                if length == 1 and len(hit) < len(who):
-                    odd = np.flatnonzero((node == 0) | (found < 0))
-                    c = self.points[here + odd]
-                    at, piece = np.concatenate([at, odd]), np.concatenate([piece, np.full(len(odd), -2, np.int32)])
-                    weight = np.concatenate([weight, lex.spelled * (1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000)).astype(np.float32)])
-                if len(at):
+                piece = lex.piece_at[node]
+                if length == 1:
+                    odd = np.flatnonzero(piece < 0)
+                    if len(odd):
+                        c = self.points[here + odd]
+                        piece[odd] = lex.n + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000)
+                hit = np.flatnonzero(piece >= 0)
+                if len(hit):
+                    at, piece = who[hit], piece[hit]
+                    target = base[d - length] + at
                     if d <= _PLAIN:
-                        total[at] += np.exp(weight.astype(np.float64)) * back[base[d - length] + at]
+                        total[at] += lex.share[piece] * back[target]
                     else:
-                        total[at] = np.logaddexp(total[at], weight + back[base[d - length] + at])
+                        total[at] = np.logaddexp(total[at], lex.weight[piece] + back[target])
                     froms.append(here + at)
-                    slots.append(own[at].copy())
+                    slots.append(own[at])
                     pieces.append(piece)
-                    lengths.append(np.full(len(at), length, np.int32))
-                    weights.append(weight)
+                    targets.append(target)
                     own[at] += 1
                 if length == d:
                     break
@@ -215,18 +221,13 @@ class Lattice:
             back[here : here + width[d]] = total
         if deepest <= _PLAIN:
             back = np.log(back)
-        self.first = np.concatenate([[0], np.cumsum(count)])
+        self.first = np.concatenate([[0], np.cumsum(held_at)])
         if not froms:
-            froms, slots, pieces, lengths, weights = ([np.zeros(0, np.int64)] for _ in range(5))
-        begin = np.concatenate(froms)
+            froms, slots, pieces, targets = ([np.zeros(0, np.int64)] for _ in range(4))
+        begin, piece, target = (np.concatenate(x) for x in (froms, pieces, targets))
         at = self.first[begin + 1] - 1 - np.concatenate(slots)
-        length = np.concatenate(lengths)
-        depth = np.searchsorted(base, begin, side="right") - 1
-        unit = begin - base[depth]
-        target = base[depth - length] + unit
-        cond = np.concatenate(weights) + back[target] - back[begin]
         self.piece, self.to, self.cond = (np.empty(len(at), k) for k in (np.int32, np.int64, np.float64))
-        self.piece[at], self.to[at], self.cond[at] = np.concatenate(pieces), target, cond
+        self.piece[at], self.to[at], self.cond[at] = piece, target, lex.weight[piece] + back[target] - back[begin]
         share = np.exp(self.cond)
         starts = self.first[self.n_ends : -1]
         run = np.cumsum(share)
@@ -318,7 +319,7 @@ def _walk(lat: Lattice, place: np.ndarray, key: np.ndarray, *more) -> tuple[np.n
     who = np.flatnonzero(place >= lat.n_ends)
     at, hashed = place[who], mixed(key[who], *[m[who] if isinstance(m, np.ndarray) else m for m in more])
     while len(who):
-        edge = lat.draw(at, uniform(hashed, len(whos)).astype(np.float32))
+        edge = lat.draw(at, (mixed(hashed, len(whos)) >> np.uint64(40)).astype(np.float32) * np.float32(2.0**-24))
         whos.append(who)
         edges.append(edge)
         n[who] += 1
@@ -419,16 +420,15 @@ def _place_of(lat: Lattice, edge: np.ndarray) -> np.ndarray:
     return np.searchsorted(lat.first, edge, side="right") - 1
 
 
-class _Names(dict):
-    def __missing__(self, unit):
-        self[unit] = len(self)
-        return self[unit]
+def _names() -> dict[str, int]:
+    """Numbers what it is asked for, from 0 on."""
+    return defaultdict(count().__next__)
 
 
 def units_of(texts: list[bytes | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Distinct units; the units of all texts in order, as numbers; where each text's begin and end. A unit is
     a word with the spaces before it, or a line end. The first word has one space more than the text."""
-    spaced, bare = _Names(), _Names()  # spaced: less its one leading space
+    spaced, bare = _names(), _names()  # spaced: less its one leading space
     which, sizes = [], []
     for text in texts:
         row: list[int] = []
@@ -465,7 +465,7 @@ def units_of(texts: list[bytes | None]) -> tuple[list[str], np.ndarray, np.ndarr
 def _ids(lat: Lattice, lex: Lexicon, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
     """Ids of tokens, spelled ones as their bytes; and how many ids each token has, None if one each."""
     ids = lat.piece[edge]
-    odd = np.flatnonzero(ids == -2)
+    odd = np.flatnonzero(ids >= lex.n)
     if not len(odd):
         return ids, None
     chars, back = np.unique(lat.points[_place_of(lat, edge[odd])], return_inverse=True)
