@@ -18,7 +18,7 @@ def small(df: DataFrame, rows: int) -> DataFrame:
 
 
 def species_table(spark: SparkSession, run: Run) -> DataFrame:
-    rows = [(i, s.name, s.charge, s.mass, s.n_maxw, s.t_maxw, s.upar_maxw) for i, s in enumerate(run.species)]
+    rows = [(i, s.name, *map(float, (s.charge, s.mass, s.n_maxw, s.t_maxw, s.upar_maxw))) for i, s in enumerate(run.species)]
     return spark.createDataFrame(rows, schemas.SPECIES)
 
 
