@@ -111,11 +111,20 @@ def format_turns(turns: DataFrame, how: Template = Template()) -> DataFrame:
     return common.map_arrow(rows, run, SCHEMA)
 
 
-def read_back(ids: np.ndarray, mask: np.ndarray, tok, how: Template) -> tuple[str, str, str]:
-    """Role, text, and text under the loss mask, from a turn's block alone."""
-    turn, text, end = (int(np.flatnonzero(ids == how.reserved(name))[0]) for name in (TURN, TEXT, END))
-    role, body, loss = tok.decode_batch([ids[turn + 1 : text].tolist(), ids[text + 1 : end].tolist(), ids[mask].tolist()], skip_special_tokens=False)
-    return unescape(role), unescape(body), unescape(loss)
+def read_back(ids: list[np.ndarray], masks: list[np.ndarray], tok, how: Template) -> list[tuple[str, str, str]]:
+    """Role, text, and text under the loss mask of turns, from their blocks alone."""
+    runs = []
+    for own, mask in zip(ids, masks, strict=True):
+        turn, text, end = (int(np.flatnonzero(own == how.reserved(name))[0]) for name in (TURN, TEXT, END))
+        runs += [own[turn + 1 : text].tolist(), own[text + 1 : end].tolist(), own[mask].tolist()]
+    found = [unescape(s) if "\\" in s else s for s in tok.decode_batch(runs, skip_special_tokens=False)]
+    return list(zip(found[::3], found[1::3], found[2::3], strict=True))
+
+
+def _split(lists: pa.Array) -> list[np.ndarray]:
+    """The rows of a list column."""
+    offsets = lists.offsets.to_numpy()
+    return np.split(lists.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]], offsets[1:-1] - offsets[0])
 
 
 def digests(blocks: DataFrame, how: Template = Template()) -> DataFrame:
@@ -138,17 +147,18 @@ def digests(blocks: DataFrame, how: Template = Template()) -> DataFrame:
             return out
 
         for batch in batches:
-            for k, conv in enumerate(batch.column(0).to_pylist()):
+            if not batch.num_rows:
+                continue
+            turns = read_back(_split(batch.column(2)), _split(batch.column(3)), tok, how)
+            for conv, chars, (role, text, loss) in zip(batch.column(0).to_pylist(), batch.column(4).to_pylist(), turns, strict=True):
                 if key != (conv,):
                     close()
                     key, state = (conv,), [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                ids, mask = (np.asarray(batch.column(c)[k].as_py()) for c in (2, 3))
-                role, text, loss = read_back(ids, mask.astype(bool), tok, how)
                 state[0] += 1
                 state[1].update(f"{role}\n{text}\n".encode())
                 state[2] += len(loss)
                 state[3].update(loss.encode())
-                state[4] += batch.column(4)[k].as_py()
+                state[4] += chars
             if done:
                 yield flush()
         close()
