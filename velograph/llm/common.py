@@ -101,5 +101,13 @@ def sliced(texts: list[bytes | None], most: int) -> Iterator[tuple[int, int]]:
        yield start, len(texts)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with as many underscores added to all as it takes for df to have none of them."""
+    have, tail = {c.lower() for c in df.columns}, ""
+    while any((n + tail).lower() in have for n in names):
+        tail += "_"
+    return [n + tail for n in names]
+
+
 def as_matrix(rows: list, columns: int) -> np.ndarray:
    return np.asarray(rows, dtype=np.float64).reshape(len(rows), columns)

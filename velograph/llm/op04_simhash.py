@@ -79,13 +79,16 @@ def parts_of(mask: int, parts: int) -> list[int]:
     return [mask | sum(1 << i for i in block.tolist()) for block in np.array_split(free, parts) if len(block)]
 
 
+#: Nodes with so many free bits are searched as they are: they have 2^11 fingerprints at most.
+_FREE = 11
+
+
 def _below(members: DataFrame, masks: list[int], how: Near) -> DataFrame:
     """Members put below the nodes of the next level. A mask's next level depends on the mask alone."""
-    nexts = {m: parts_of(m, how.distance + 1) for m in masks}
-    choice = F.lit(None).cast("array<bigint>")
-    for m, subs in nexts.items():
-        choice = F.when(F.col("mask") == _signed(m), F.array(*[F.lit(_signed(x)) for x in subs])).otherwise(choice)
-    spread = members.select("fp", F.explode(choice).alias("mask"))
+    nexts = [(_signed(m), [_signed(x) for x in parts_of(m, how.distance + 1)]) for m in masks]
+    # A row for each mask of a level: 4 to the level at most, and six levels.
+    table = members.sparkSession.createDataFrame(nexts, "mask bigint, masks array<bigint>")
+    spread = members.select("fp", "mask").join(F.broadcast(table), "mask").select("fp", F.explode("masks").alias("mask"))
     return spread.withColumn("pattern", F.col("fp").bitwiseAND(F.col("mask")))
 
 
@@ -168,8 +171,8 @@ def links(fps: DataFrame, how: Near = Near()) -> DataFrame:
     settled = None
     while True:
         members = _below(members, masks, how)
-        masks = [x for m in masks for x in parts_of(m, how.distance + 1)]
-        full = members.groupBy("mask", "pattern").agg(F.count("*").alias("n")).where(F.col("n") > how.node_rows).select("mask", "pattern")
+        full = members.groupBy("mask", "pattern").agg(F.count("*").alias("n"))
+        full = full.where((F.col("n") > how.node_rows) & (64 - F.bit_count("mask") > _FREE)).select("mask", "pattern")
         full = common.cut(full)
         if full.isEmpty():
             break
@@ -266,13 +269,14 @@ def near_duplicates(docs: DataFrame, how: Near = Near()) -> DataFrame:
 
 def dedup(docs: DataFrame, how: Near = Near()) -> DataFrame:
     """docs, one row of each group: that of the smallest doc_id (null last), of its rows the smallest text hash."""
-    tagged = docs.withColumn("__hash", F.xxhash64("text"))
-    prints = common.cut(tagged.select("doc_id", "__hash", fingerprint(how).alias("fp")))
+    # Plain equality for null ids too, so that the join and dropDuplicates deal rows out alike: one shuffle of texts.
+    key = common.fresh(docs, "no_id", "id", "hash")
+    tagged = docs.withColumns(dict(zip(key, (F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), F.xxhash64("text")), strict=True)))
+    prints = common.cut(tagged.select(F.col("doc_id"), *key, fingerprint(how).alias("fp")))
     found = groups(prints.select("doc_id", "fp"), how).select("fp", "root")
-    first = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__hash")).alias("first"))
-    chosen = first.join(found, "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("__id"), F.col("first.__hash").alias("__h"))
-    kept = tagged.join(chosen, tagged["doc_id"].eqNullSafe(chosen["__id"]) & (tagged["__hash"] == chosen["__h"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__hash"]).drop("__hash")
+    first = prints.groupBy("fp").agg(F.min(F.struct(*key)).alias("first"))
+    chosen = first.join(found, "fp").groupBy("root").agg(F.min("first").alias("first")).select(*[F.col(f"first.{k}").alias(k) for k in key])
+    return tagged.join(chosen, key, "left_semi").dropDuplicates(key).drop(*key)
 
 
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
