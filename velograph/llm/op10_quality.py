@@ -3,7 +3,8 @@
 A language's reference is the mean histogram of its documents, over all documents of the
 corpus. A document fails if its Jensen-Shannon distance from every reference is over the
 limit, for character classes or for common words. Texts under the minimum lengths are not
-compared: a few words say nothing about a distribution.
+compared: a few words say nothing about a distribution. Nor are documents of a language without a reference;
+those without any language have the nearest one.
 
 Null and empty texts have no words, so the base rule rejects them. Repeated rows are judged one
 by one, alike. An empty corpus gives no reference, so only the base rule holds.
@@ -161,7 +162,9 @@ def judge(docs: DataFrame, rules: Rules = Rules()) -> Column:
         kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 2
         return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(len(names))], names)
 
-    return common.row_udf(verdicts, f"struct<{_STRUCT.replace(' ', ':').replace(',:', ',')}>")(F.col("text"))
+    found = common.row_udf(verdicts, f"struct<{_STRUCT.replace(' ', ':').replace(',:', ',')}>")(F.col("text"))
+    foreign = F.col("lang").isNotNull() & ~F.col("lang").isin(*refs)
+    return found.withField("kept", F.when(foreign, ~found["base_failed"]).otherwise(found["kept"]))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
