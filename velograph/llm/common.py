@@ -11,6 +11,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -101,6 +102,16 @@ def sliced(texts: list[bytes | None], most: int) -> Iterator[tuple[int, int]]:
        yield start, len(texts)
 
 
+def parts(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """A batch in parts with about `most` bytes of a text column each, one row at least."""
+    run = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < batch.num_rows:
+        stop = max(start + 1, int(np.searchsorted(run, (run[start - 1] if start else 0) + most, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """The names, with as many underscores added to all as it takes for df to have none of them."""
     have, tail = {c.lower() for c in df.columns}, ""

@@ -28,6 +28,7 @@ from dataclasses import dataclass
 from itertools import count
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,7 +51,7 @@ class Sampling:
     k: int = 2
     alpha: float = 0.3
     seed: int = 1
-    slice_bytes: int = 3 << 19
+    slice_bytes: int = 1 << 20
 
 
 class Lexicon:
@@ -157,39 +158,36 @@ _PLAIN = 24
 
 
 class Lattice:
-    """Of units, by place: a unit's end is the place of its number; then come all places one character
-    before an end, two before, and so on (units in falling order of length, so each such layer is a prefix of
-    them). The edges of a place lie together, the longest first: piece, characters, running probability, log
+    """Of units, by place. What can follow a place depends on the rest of its unit alone, so units that end alike
+    share their places: place 0 is every unit's end, then come the distinct last characters, the distinct last two, and
+    so on. The edges of a place lie together, the longest first: piece, target, running probability, log
     probability, and the log of what the place's other edges hold."""
 
     def __init__(self, units: list[str], lex: Lexicon):
         sizes = np.array([len(u) for u in units], np.int64)
         order = np.argsort(-sizes, kind="stable")
-        self.of_unit = np.empty(len(units), np.int64)
-        self.of_unit[order] = np.arange(len(units))
         points = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
         ends, sizes = np.cumsum(sizes)[order], sizes[order]
         deepest = int(sizes.max(initial=0))
-        width = np.searchsorted(-sizes, -np.arange(deepest + 1), side="right")
-        width[:1] = len(units)
-        base = np.concatenate([[0], np.cumsum(width)])
-        n = int(base[-1])
-        self.n_ends = len(units)
-        self.start = base[sizes] + np.arange(len(units))
-        self.points = np.zeros(n, np.int64)
-        back = np.zeros(n)
-        back[: len(units)] = 1.0
-        held_at = np.zeros(n, np.int64)
+        width = np.searchsorted(-sizes, -np.arange(deepest + 2), side="right").tolist()
+        start, at_unit = np.zeros(len(units), np.int64), np.zeros(len(units), np.int64)
+        self.points, parent = np.zeros(len(points) + 1, np.int32), np.zeros(len(points) + 1, np.int32)
+        back, held_at = np.ones(len(points) + 1), np.zeros(len(points) + 1, np.int16)
         froms, slots, pieces, targets = [], [], [], []
+        here = 1
         for d in range(1, deepest + 1):
-            here = base[d]
-            self.points[here : here + width[d]] = points[ends[: width[d]] - d]
             if d == _PLAIN + 1:
                 back[:here] = np.log(back[:here])
-            total = np.zeros(width[d]) if d <= _PLAIN else np.full(width[d], -np.inf)
-            own = held_at[here : here + width[d]]
-            who = np.arange(width[d])
-            node = lex.first[self.points[here : here + width[d]]]
+            w = width[d]
+            code, kinds = pd.factorize(at_unit[:w] << 21 | points[ends[:w] - d])
+            at_unit[:w] = code + here
+            start[width[d + 1] : w] = at_unit[width[d + 1] : w]
+            layer = slice(here, here + len(kinds))
+            self.points[layer], parent[layer] = kinds & 0x1FFFFF, kinds >> 21
+            total = np.zeros(len(kinds)) if d <= _PLAIN else np.full(len(kinds), -np.inf)
+            own = held_at[layer]
+            who, pos = np.arange(len(kinds), dtype=np.int32), parent[layer]
+            node = lex.first[self.points[layer]]
             for length in range(1, d + 1):
                 piece = lex.piece_at[node]
                 if length == 1:
@@ -199,39 +197,43 @@ class Lattice:
                         piece[odd] = lex.n + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000)
                 hit = np.flatnonzero(piece >= 0)
                 if len(hit):
-                    at, piece = who[hit], piece[hit]
-                    target = base[d - length] + at
+                    at, piece, target = who[hit], piece[hit], pos[hit]
                     if d <= _PLAIN:
                         total[at] += lex.share[piece] * back[target]
                     else:
                         total[at] = np.logaddexp(total[at], lex.weight[piece] + back[target])
-                    froms.append(here + at)
+                    froms.append(at + here)
                     slots.append(own[at])
                     pieces.append(piece)
                     targets.append(target)
                     own[at] += 1
                 if length == d:
                     break
-                go = node > 0
-                who, node = who[go], node[go]
-                node = lex.step(node, self.points[base[d - length] + who])
-                who, node = who[node > 0], node[node > 0]
+                go = np.flatnonzero(node)
+                who, pos, node = who[go], pos[go], node[go]
+                node = lex.step(node, self.points[pos])
+                go = np.flatnonzero(node)
+                who, pos, node = who[go], parent[pos[go]], node[go]
                 if not len(who):
                     break
-            back[here : here + width[d]] = total
+            back[layer] = total
+            here += len(kinds)
+        self.start = np.empty(len(units), np.int64)
+        self.start[order] = start
+        back, held_at = back[:here], held_at[:here]
         if deepest <= _PLAIN:
             back = np.log(back)
-        self.first = np.concatenate([[0], np.cumsum(held_at)])
+        self.first = np.concatenate([[0], np.cumsum(held_at)]).astype(np.int32)
         if not froms:
-            froms, slots, pieces, targets = ([np.zeros(0, np.int64)] for _ in range(4))
+            froms, slots, pieces, targets = ([np.zeros(0, np.int32)] for _ in range(4))
         begin, piece, target = (np.concatenate(x) for x in (froms, pieces, targets))
         at = self.first[begin + 1] - 1 - np.concatenate(slots)
-        self.piece, self.to, self.cond = (np.empty(len(at), k) for k in (np.int32, np.int64, np.float64))
+        self.piece, self.to, self.cond = (np.empty(len(at), k) for k in (np.int32, np.int32, np.float64))
         self.piece[at], self.to[at], self.cond[at] = piece, target, lex.weight[piece] + back[target] - back[begin]
         share = np.exp(self.cond)
-        starts = self.first[self.n_ends : -1]
+        starts = self.first[1:-1]
         run = np.cumsum(share)
-        held = np.diff(self.first)[self.n_ends :]
+        held = np.diff(self.first)[1:]
         before = np.concatenate([[0.0], run])[starts] if len(starts) else np.zeros(0)
         run -= np.repeat(before, held)
         with np.errstate(divide="ignore"):
@@ -247,7 +249,7 @@ class Lattice:
                 rest[rough] = np.log(sums)
         self.rest = rest
         if len(starts):
-            run[self.first[self.n_ends + 1 :] - 1] = np.inf  # the last edge takes what rounding leaves
+            run[self.first[2:] - 1] = np.inf  # the last edge takes what rounding leaves
         self.run = run.astype(np.float32)
 
     def edges(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -292,19 +294,21 @@ def cut_gumbel(mu: np.ndarray, bound: np.ndarray, u: np.ndarray) -> np.ndarray:
 
 
 class _Paths:
-    """A path for each of some documents, their tokens in a row; open: the draw of the node at each token."""
+    """A path for each of some documents, their tokens in a row. own: those tokens whose nodes came with this path,
+    the others are an earlier path's; prefix and open (the draw of the node) are of these alone."""
 
-    def __init__(self, docs, edge, occ, offset, prefix, opened):
-        self.docs, self.edge, self.occ, self.offset, self.prefix, self.open = docs, edge, occ, offset, prefix, opened
+    def __init__(self, docs, edge, occ, offset, own, own_offset, prefix, opened):
+        self.docs, self.edge, self.occ, self.offset = docs, edge, occ, offset
+        self.own, self.own_offset, self.prefix, self.open = own, own_offset, prefix, opened
         self.taken: dict[int, list[int]] = {}
 
     def best(self, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
-        """By document: the largest open node and its token; -inf and -1 without any."""
+        """By document: the largest open node and its place in own; -inf and -1 without any."""
         value, token = np.full(n_docs, -np.inf), np.full(n_docs, -1)
-        size = np.diff(self.offset)
+        size = np.diff(self.own_offset)
         has = size > 0
         if has.any():
-            top = np.maximum.reduceat(self.open, self.offset[:-1][has])
+            top = np.maximum.reduceat(self.open, self.own_offset[:-1][has])
             hits = np.flatnonzero(self.open == np.repeat(top, size[has]))
             owner = np.repeat(np.flatnonzero(has), size[has])[hits]
             row, first = np.unique(owner, return_index=True)
@@ -316,7 +320,7 @@ class _Paths:
 def _walk(lat: Lattice, place: np.ndarray, key: np.ndarray, *more) -> tuple[np.ndarray, np.ndarray]:
     """From each place to its unit's end: which of the places a token is of, and its edge, in order."""
     whos, edges, n = [], [], np.zeros(len(place), np.int64)
-    who = np.flatnonzero(place >= lat.n_ends)
+    who = np.flatnonzero(place)
     at, hashed = place[who], mixed(key[who], *[m[who] if isinstance(m, np.ndarray) else m for m in more])
     while len(who):
         edge = lat.draw(at, (mixed(hashed, len(whos)) >> np.uint64(40)).astype(np.float32) * np.float32(2.0**-24))
@@ -324,21 +328,15 @@ def _walk(lat: Lattice, place: np.ndarray, key: np.ndarray, *more) -> tuple[np.n
         edges.append(edge)
         n[who] += 1
         at = lat.to[edge]
-        go = at >= lat.n_ends
+        go = np.flatnonzero(at)
         who, at, hashed = who[go], at[go], hashed[go]
     first = np.cumsum(n) - n
-    out = np.zeros(int(n.sum()), np.int64)
+    out = np.zeros(int(n.sum()), np.int32)
     for s, (w, e) in enumerate(zip(whos, edges, strict=True)):
         out[first[w] + s] = e
     return np.repeat(np.arange(len(place)), n), out
 
 
-def _segment_cumsum(x: np.ndarray, offset: np.ndarray) -> np.ndarray:
-    """Sums before each, within its segment."""
-    run = np.concatenate([[0.0], np.cumsum(x)])
-    return run[:-1] - np.repeat(run[offset[:-1]], np.diff(offset))
-
-
 def sample(lat: Lattice, units: np.ndarray, offset: np.ndarray, keys: np.ndarray, k: int) -> tuple[list[dict], np.ndarray]:
     """k samples at most for each document: units[offset[d]:offset[d+1]] are its units, in order. A sample
     has docs, offset, edge, log_prob, perturbed; also the threshold, by document."""
@@ -350,25 +348,26 @@ def sample(lat: Lattice, units: np.ndarray, offset: np.ndarray, keys: np.ndarray
     paths: list[_Paths] = []
     out: list[dict] = []
 
-    def settle(docs, edge, occ, owned_from, bound):
-        """Puts back what a path passes over from its token owned_from on."""
-        number_of, owner = len(paths), unit_doc[occ]
-        sizes = np.bincount(owner, minlength=n_docs)[docs] if len(docs) else np.zeros(0, np.int64)
+    def settle(docs, edge, occ, owned_from, before, bound):
+        """Puts back what a path passes over from its token owned_from on; before: the log probability up to there."""
+        number_of = len(paths)
+        sizes = np.bincount(unit_doc[occ], minlength=n_docs)[docs] if len(docs) else np.zeros(0, np.int64)
         off = np.concatenate([[0], np.cumsum(sizes)])
-        log = lat.cond[edge]
-        prefix = _segment_cumsum(log, off)
-        index = np.arange(len(edge)) - np.repeat(off[:-1], sizes)
-        mu = prefix + lat.rest[edge]
-        mu[index < np.repeat(owned_from, sizes)] = -np.inf
-        live = np.flatnonzero(mu > -np.inf)
-        opened = np.full(len(edge), -np.inf)
-        opened[live] = cut_gumbel(mu[live], np.repeat(bound, sizes)[live], uniform(keys[owner[live]], 7 + number_of, index[live]))
-        total = np.concatenate([[0.0], np.cumsum(log)])
-        paths.append(_Paths(docs, edge, occ, off, prefix, opened))
-        out.append({"docs": docs, "offset": off, "edge": edge, "log_prob": total[off[1:]] - total[off[:-1]], "perturbed": bound})
+        own = ragged(off[:-1] + owned_from, sizes - owned_from)
+        own_off = np.concatenate([[0], np.cumsum(sizes - owned_from)])
+        own_edge = edge[own]
+        run = np.concatenate([[0.0], np.cumsum(lat.cond[own_edge])])
+        prefix = run[:-1] + np.repeat(before - run[own_off[:-1]], np.diff(own_off))
+        rest = lat.rest[own_edge]
+        live = np.flatnonzero(rest > -np.inf)
+        row = np.repeat(np.arange(len(docs)), np.diff(own_off))[live]
+        opened = np.full(len(own), -np.inf)
+        opened[live] = cut_gumbel(prefix[live] + rest[live], bound[row], uniform(keys[docs[row]], 7 + number_of, own[live] - off[row]))
+        paths.append(_Paths(docs, edge, occ, off, own, own_off, prefix, opened))
+        out.append({"docs": docs, "offset": off, "edge": edge, "log_prob": before + run[own_off[1:]] - run[own_off[:-1]], "perturbed": bound})
 
     who, edge = _walk(lat, begin, keys[unit_doc], 3, number)
-    settle(np.arange(n_docs), edge, who, np.zeros(n_docs, np.int64), root)
+    settle(np.arange(n_docs), edge, who, np.zeros(n_docs, np.int64), np.zeros(n_docs), root)
     while True:
         tops = [p.best(n_docs) for p in paths]
         values = np.stack([v for v, _ in tops])
@@ -379,13 +378,14 @@ def sample(lat: Lattice, units: np.ndarray, offset: np.ndarray, keys: np.ndarray
             return out, best
         j = len(paths)
         kept_n, kept_from = np.zeros(len(docs), np.int64), np.zeros(len(docs), np.int64)
-        node_edge, node_occ = np.zeros(len(docs), np.int64), np.zeros(len(docs), np.int64)
+        node_edge, node_occ, before_node = np.zeros(len(docs), np.int64), np.zeros(len(docs), np.int64), np.zeros(len(docs))
         base = np.cumsum([0, *[len(p.edge) for p in paths]])
         for i, p in enumerate(paths):
             mine = np.flatnonzero(which[docs] == i)
             if not len(mine):
                 continue
-            token = tops[i][1][docs[mine]]
+            node = tops[i][1][docs[mine]]
+            token = p.own[node]
             row = np.searchsorted(p.docs, docs[mine])
             kept_from[mine], kept_n[mine] = base[i] + p.offset[row], token - p.offset[row]
             choices, has = lat.edges(_place_of(lat, p.edge[token]))
@@ -397,13 +397,13 @@ def sample(lat: Lattice, units: np.ndarray, offset: np.ndarray, keys: np.ndarray
             u = uniform(keys[docs[mine]], 5, j) * run[:, -1]
             column = np.minimum((run <= u[:, None]).sum(axis=1), free.shape[1] - 1)
             chosen = choices[np.arange(len(mine)), column]
-            node_edge[mine], node_occ[mine] = chosen, p.occ[token]
+            node_edge[mine], node_occ[mine], before_node[mine] = chosen, p.occ[token], p.prefix[node]
             free[np.arange(len(mine)), column] = 0
             for t, e in zip(token.tolist(), chosen.tolist(), strict=True):
                 p.taken[t].append(e)
             with np.errstate(divide="ignore"):
-                mu = p.prefix[token] + np.log(free.sum(axis=1))
-            p.open[token] = cut_gumbel(mu, best[docs[mine]], uniform(keys[docs[mine]], 11, j))
+                mu = p.prefix[node] + np.log(free.sum(axis=1))
+            p.open[node] = cut_gumbel(mu, best[docs[mine]], uniform(keys[docs[mine]], 11, j))
         # The tokens before the node, the chosen edge, the rest of its unit, the units after.
         later = ragged(node_occ + 1, offset[docs + 1] - node_occ - 1)
         occ = np.concatenate([node_occ, later])
@@ -413,7 +413,7 @@ def sample(lat: Lattice, units: np.ndarray, offset: np.ndarray, keys: np.ndarray
         all_edge = np.concatenate([pool_edge[before], node_edge, walked])
         all_occ = np.concatenate([pool_occ[before], node_occ, occ[who]])
         order = np.argsort(all_occ, kind="stable")  # one unit's tokens stand in order already
-        settle(docs, all_edge[order], all_occ[order], kept_n + 1, best[docs])
+        settle(docs, all_edge[order], all_occ[order], kept_n + 1, before_node + lat.cond[node_edge], best[docs])
 
 
 def _place_of(lat: Lattice, edge: np.ndarray) -> np.ndarray:
@@ -484,7 +484,7 @@ def encode_batch(texts: list[bytes | None], keys: np.ndarray, lex: Lexicon, how:
     """Columns of the samples of a batch; row: the place of the text."""
     units, flat, offset = units_of(texts)
     lat = Lattice(units, lex)
-    samples, threshold = sample(lat, lat.of_unit[flat], offset, keys, how.k)
+    samples, threshold = sample(lat, flat, offset, keys, how.k)
     rows, numbers, logs, scores, counts, ids, trips = [], [], [], [], [], [], []
     for j, s in enumerate(samples):
         own, n = _ids(lat, lex, s["edge"])
@@ -520,10 +520,9 @@ def encode(docs: DataFrame, how: Sampling = Sampling(), path: str | None = None)
     def run(batches):
         lex = shared.value
         for batch in batches:
-            ids, texts = batch.column(0), common.byte_texts(batch.column(1))
-            for a, b in common.sliced(texts, how.slice_bytes):
-                part = ids.slice(a, b - a)
-                x = encode_batch(texts[a:b], _row_keys(part, how.seed), lex, how)
+            for rows in common.parts(batch, 1, how.slice_bytes):
+                part = rows.column(0)
+                x = encode_batch(common.byte_texts(rows.column(1)), _row_keys(part, how.seed), lex, how)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(x["n_tokens"])]), pa.int32()), pa.array(x["ids"], pa.int32()))
                 yield pa.RecordBatch.from_arrays(
                     [part.take(pa.array(x["row"])), pa.array(x["sample_no"], pa.int32()), pa.array(x["n_tokens"], pa.int64()), pa.array(x["log_prob"]), pa.array(x["log_inclusion"]), pa.array(x["round_trip"]), lists],
