@@ -447,3 +447,16 @@ def test_quality_parts_junk(spark):
     got = docs.select("doc_id", op10_quality.judge(docs).alias("r")).join(labels, "doc_id").select("quality", "r.base_failed", "r.kept").toPandas()
     judged = got[~got.base_failed]
     assert judged[judged.quality == 1].kept.mean() > 0.995 and judged[judged.quality == 0].kept.mean() < 0.8
+
+
+def test_quality_rejects_texts_without_common_words(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    rng = np.random.default_rng(3)
+    salad = " ".join("".join(rng.choice(list("bcdfglmnprst"), 2).tolist() + rng.choice(list("aeiou"), 2).tolist()) + "x" for _ in range(900))
+    extra = spark.createDataFrame([(-1, salad, "en"), (-2, salad, None)], "doc_id bigint, text string, lang string")
+    both = docs.unionByName(extra)
+    got = both.select("doc_id", op10_quality.judge(both).alias("r")).select("doc_id", "r.*").toPandas().set_index("doc_id")
+    assert not got.base_failed[[-1, -2]].any() and (got.class_distance[[-1, -2]] <= op10_quality.Rules().class_limit).all() and not got.kept[[-1, -2]].any()
+    good = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("quality = 1").toPandas().doc_id
+    good = got.loc[good]
+    assert good[~good.base_failed & (good.class_distance.fillna(0) <= 0.27)].kept.all()
