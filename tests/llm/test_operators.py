@@ -336,6 +336,45 @@ def test_license_sequences(spark):
     assert got == {1: ("MIT", 0), 2: ("BSD-2-Clause", 0), 3: ("BSD-3-Clause", 0), 4: ("CC-BY-NC-4.0", 0), 5: ("", 0), 6: ("", 0), 7: ("", 1), 8: ("Apache-2.0,MIT", 0), 9: ("", 0)}
 
 
+def test_license_texts_wrapped_over_lines(spark):
+    import textwrap
+
+    s = {k: v[0] for k, v in op08_licenses.SENTENCES.items()}
+    mit = [s["mit-grant"] + ":", s["mit-notice"] + ".", s["mit-asis"] + ". " + s["mit-liability"] + "."]
+    head = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+    bsd = [head, "1. " + s["bsd-source"] + ".", "2. " + s["bsd-binary"] + "."]
+    named = "3. Neither the name of Some Company, Inc. nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    gpl = ["This program is free software: " + s["gpl-grant-3"] + ".", s["gpl-hope"] + "; without even the implied warranty of MERCHANTABILITY."]
+    apache = [s["apache-short"] + ' (the "License"); ' + s["apache-comply"] + ". " + s["apache-copy"], "    http://www.apache.org/licenses/LICENSE-2.0"]
+    texts = {
+        "MIT": ["The MIT License", "Copyright (c) 2020 A", *mit],
+        "BSD-2-Clause": ["Copyright 2020 B", *bsd, "THIS SOFTWARE IS PROVIDED"],
+        "BSD-3-Clause": ["Copyright 2020 B", *bsd, named],
+        "ISC": ["Copyright 2020 C", s["isc-grant"] + "."],
+        "GPL-3.0-or-later": gpl,
+        "Apache-2.0": apache,
+        "MPL-2.0": [s["mpl-short"] + ". If a copy of the MPL was not distributed"],
+    }
+    marks = {"": ("", "", ""), "c": ("/*\n", " * ", "\n */"), "hash": ("#!/bin/sh\n", "# ", "\nx = 1"), "slash": ("", "// ", "")}
+    rows = []
+    for name, parts in texts.items():
+        for kind, (top, mark, bottom) in marks.items():
+            for width in (40, 72, 5000):
+                for gap in ("\n", "\n\n"):
+                    wrapped = gap.join("\n".join(textwrap.wrap(x, width)) for x in parts)
+                    for end in ("\n", "\r\n"):
+                        rows.append((name, f"{kind} {width}", (top + "\n".join((mark + x).rstrip() for x in wrapped.split("\n")) + bottom).replace("\n", end)))
+    rows.append(("BSD-2-Clause", "numbered", "\n".join([bsd[0], "(1) " + s["bsd-source"] + ".", "(2) " + s["bsd-binary"] + "."])))
+    rows.append(("", "two paragraphs", "Released under\n\nthe MIT License text"))
+    rows.append(("MIT", "in a comment", "# Copyright 2020 A\n# Released under the\n# MIT License.\n# See LICENSE"))
+    rows.append(("MIT,All-Rights-Reserved", "lines", "My tool\nMIT License\nAll rights\nreserved\nmore"))
+    docs = spark.createDataFrame(rows, "want string, how string, text string")
+    found = docs.select("want", "how", *[c.alias(k) for k, c in op08_licenses.scan(F.col("text")).items()])
+    names, rest = op08_licenses.matched(F.col("sentence_ids"))
+    bad = [r for r in found.select("want", "how", "sentence_ids", names.alias("got"), rest.alias("rest")).collect() if r.got != r.want or r.rest]
+    assert not bad, bad[:3]
+
+
 # --- op9, op10 --------------------------------------------------------------------------------------
 
 PAGE = """<!DOCTYPE html><html><head><title>No</title><style>p{}</style><script>var t="</p><article>no</article>";</script></head>

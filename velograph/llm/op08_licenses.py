@@ -1,11 +1,15 @@
 """License scans: sentences to identifiers, identifier sequences to licences.
 
 A text is cut at line ends and after sentence marks; a sentence is normalised to its letters and digits, A-Z in
-lower case, one space between words. Known licence sentences have identifiers; the others drop out. Ordered
+lower case, one space between words. n_sentences counts these. Known licence sentences have identifiers; the
+others drop out. A known sentence is found between any two cuts, wrapped over lines too, with or without comment
+marks before each; but not over a line without a word, nor over a sentence mark that it doesn't have itself.
+Of known sentences that begin at one cut the longest counts. Ordered
 rules then rewrite the sequence: where a rule's identifiers stand side by side, its licence takes their
 place, whole texts before single notices. What no rule takes is reported as unmatched.
 
-All in DataFrame functions, row by row, with no shuffle: a sentence is looked up in a constant set, so a row
+All in DataFrame functions, row by row, with no shuffle: known sentences are one constant pattern, a tree of
+their words tried at cuts only, so a row
 costs as much as its text is long. Null and empty texts have no sentences and no licences. A text of
 any length is one row; licences are listed once, in order of their first place. Repeated rows come back each.
 """
@@ -103,8 +107,70 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(parts, lambda s: F.trim(F.regexp_replace(s, _ODD, " "))), lambda s: s != "")
 
 
+#: In a text as `_marked` gives it, a word is of a-z and 0-9; S is a sentence mark, L a line end.
+_GAP, _END = "(?: L? ?|L ?)", "(?= ?(?:[SL]|$))"
+#: Sentences with a name of one to 20 words at *, in which "Inc." and the like may stand; as pieces.
+NAMED: dict[str, tuple[str, ...]] = {
+    "bsd-names": (
+        "Neither the name of * nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+        "Neither the name of * nor the names of their contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+        "Neither the name of * nor the names of other contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+        "Neither the name of * may be used to endorse or promote products derived from this software without specific prior written permission",
+        "The name of * may not be used to endorse or promote products derived from this software without specific prior written permission",
+        "The names of * may not be used to endorse or promote products derived from this software without specific prior written permission",
+    )
+}
+_ANY = "[a-z0-9]+(?:(?: S? ?L? ?|[SL] ?L? ?)[a-z0-9]+){0,19}?"
+
+
+def _steps(sentence: str) -> list[str]:
+    """A pattern for each word, with the gap before it; a gap has a sentence mark where the sentence has one."""
+    low = "".join(c.lower() if c in _UPPER else c for c in sentence)
+    marked = re.findall(r"[a-z0-9*]+|S", re.sub(r"[.!?;:]+(?=[ ])", "S", low))
+    out, gap = [], ""
+    for w in marked:
+        if w == "S":
+            gap = " ?S ?L? ?"
+            continue
+        out.append(gap + (_ANY if w == "*" else w))
+        gap = "(?: S? ?L? ?|[SL] ?L? ?)" if w == "*" else _GAP
+    return out
+
+
+def _tree(ways: list[list[str]]) -> str:
+    """A pattern of any of the ways, the longest first."""
+    heads: dict[str, list[list[str]]] = {}
+    for way in ways:
+        if way:
+            heads.setdefault(way[0], []).append(way[1:])
+    inner = "|".join(head + _tree(rest) for head, rest in heads.items())
+    if not inner:
+        return ""
+    return f"(?:{inner})?" if [] in ways else inner if len(heads) == 1 else f"(?:{inner})"
+
+
+_KNOWN_PATTERN = f"[SL] ?({_tree([_steps(x) for xs in [*SENTENCES.values(), *NAMED.values()] for x in xs])}){_END}"
+
+
+def _marked(text: Column) -> Column:
+    """Lower-case words with one space between, S for sentence marks and L for line ends; what numbers a line ends it."""
+    low = F.concat(F.lit("L"), F.translate(F.coalesce(text, F.lit("")), _UPPER + "\n", _LOWER + "L"))
+    cut = F.regexp_replace(low, r"[.!?;:]+(?=[ \t\r\f\x0BL]|\z)", "S")
+    numbered = F.regexp_replace(cut, r"(L[^a-z0-9SL]*)\(?[0-9a-z]{1,2}\)(?=[ \t])", "$1S")
+    return F.regexp_replace(numbered, "[^a-z0-9SL]+", " ")
+
+
+def known(text: Column) -> Column:
+    """The known sentences of a text, normalised, in order."""
+    return F.transform(F.regexp_extract_all(_marked(text), F.lit(_KNOWN_PATTERN), F.lit(1)), lambda s: F.regexp_replace(s, "[SL ]+", " "))
+
+
 def _named(sentence: Column) -> Column:
     out = F.lit(None).cast("string")
+    # What a pattern of NAMED takes has no other name.
+    for k, ss in NAMED.items():
+        for x in ss:
+            out = F.when(sentence.startswith(normalised(x.split("*")[0]) + " "), k).otherwise(out)
     for s, k in KNOWN.items():
         out = F.when(sentence == s, k).otherwise(out)
     return out
@@ -112,8 +178,7 @@ def _named(sentence: Column) -> Column:
 
 def scan(text: Column) -> dict[str, Column]:
     """Columns: n_sentences, sentence_ids, licenses, n_unmatched. sentence_ids is of the known ones."""
-    known = F.filter(sentences(text), lambda s: s.isin(*KNOWN))
-    ids = F.transform(known, _named)
+    ids = F.transform(known(text), _named)
     return {"n_sentences": F.size(sentences(text)).cast("bigint"), "sentence_ids": F.array_join(ids, " ")}
 
 
