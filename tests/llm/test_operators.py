@@ -392,6 +392,21 @@ def test_html_structure():
     assert op09_html.blocks("<nav>a<article>b") [-1] == (op09_html.MAIN, "b")
 
 
+def test_html_tags_of_any_length():
+    import time
+
+    long = "data:image/svg+xml;utf8,<svg x='1'><p class='ad'>no</p></svg>" * 200
+    many = " ".join(f'data-a{k}="v{k}"' for k in range(60))
+    got = op09_html.blocks(f"""<article {many}><p data-x='{{"a": "<b>"}}'>One <img alt="{long}" src=x> two</p><div {many} class="ad-box">Buy</div> it's <a title=it's href=x>three</a> a < b </article>""")
+    assert [t for k, t in got if k == op09_html.MAIN] == ["One two", "it's three a < b"]
+    assert op09_html.blocks('<p>a</p><b title="x>y</b> z') == [(op09_html.NEUTRAL, "a"), (op09_html.NEUTRAL, "y z")]
+    assert op09_html.blocks('<a x="<b" <p>hm<i>n')[-1] == (op09_html.NEUTRAL, "hmn")
+    for part in ("<a ", "<a x=\"<b\" ", "<a x='<b' y=\"", "<", "<!", "<a b=<c d='", "< =\"", "<svg ", "<p x="):
+        start = time.process_time()
+        op09_html.blocks(part * (400_000 // len(part)))
+        assert time.process_time() - start < 5, part
+
+
 def test_html_article_of_test_pages(spark, duck):
     import html
 

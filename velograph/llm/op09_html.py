@@ -38,10 +38,12 @@ class Boilerplate:
     salts: int = 16
 
 
-#: No part gives back what it took, and a tag ends before the next "<" outside quotes, so that a text full of
-#: "<" is still read in one go.
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^<>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^<>\"']*+(?:(?:\"[^\"]{0,500}+\"|'[^']{0,500}+'|[\"'])[^<>\"']*+){0,40}+)>", re.S)
-_ATTRIBUTE = re.compile(r"([a-zA-Z_:-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+#: A quote counts after "=" alone, up to its pair, however far. No part gives back what it took. A tag that meets
+#: "<" outside quotes, or the end of the page, has no group 4: it is none, and what it ran over is read by
+#: _UNQUOTED, where any "<" or ">" ends a tag. So each character is read twice at most.
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^<>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^<>=]*+(?:=\s*+(?:\"[^\"]*+\"|'[^']*+')?[^<>=]*+)*+)(>?)", re.S)
+_UNQUOTED = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^<>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^<>]*+)>", re.S)
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 #: Elements whose content is text of its own kind, up to their end tag.
 _RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "canvas", "noembed", "noframes", "xmp"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -92,9 +94,20 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
                 out.append((kinds[-1], text))
             held.clear()
 
-    page, at, end = page or "", 0, len(page or "")
+    page, at, end, unquoted = page or "", 0, len(page or ""), 0
     while at < end:
-        m = _TAG.search(page, at)
+        if at < unquoted:
+            m = _UNQUOTED.search(page, at, unquoted)
+            if not m:
+                held.append(page[at:unquoted])
+                at = unquoted
+                continue
+        else:
+            m = _TAG.search(page, at)
+        if m and at >= unquoted and m[2] and not m[4]:
+            held.append(page[at : m.start()])
+            at, unquoted = m.start(), m.end()
+            continue
         if not m:
             held.append(page[at:])
             break
@@ -102,6 +115,9 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
             held.append(page[at : m.start()])
         at = m.end()
         if not m[2]:
+            if at == unquoted and m[0].startswith("<!--") and not m[0].endswith("-->"):
+                stop = page.find("-->", m.start() + 4)
+                at = stop + 3 if stop >= 0 else end
             continue
         tag = m[2].lower()
         if not m[1] and tag in _RAW:
