@@ -407,6 +407,21 @@ def test_html_tags_of_any_length():
         assert time.process_time() - start < 5, part
 
 
+def test_html_icons_and_elements_left_open():
+    def main(page):
+        return " ".join(t for k, t in op09_html.blocks(page) if k == op09_html.MAIN)
+
+    assert main("<article><p>One <svg class=i /> two <math/> three</p><p>four</p></article><p>x") == "One two three four"
+    assert main('<article>One <svg/> two <svg viewBox="0"><title>t</title><text>no</text><svg><text>no</text></svg><text>no</text></svg> three</article>') == "One two three"
+    assert main("<article>One <svg><path><p>two</p><svg><text>no</text></svg> three</article>") == "One two three"
+    assert main("<article>One <svg><foreignObject><p>no</p></foreignObject></svg> two</article>") == "One two"
+    for tag in ("object", "canvas", "noscript", "template", "svg", "math"):
+        assert main(f"<article>One <{tag} id=x> two <p>three</p></article>") == "One two three", tag
+        assert main(f"<article>One <{tag} id=x>no <p>no</p></{tag}> two <p>three</p></article>").replace("no no", "").split()[-2:] == ["two", "three"], tag
+    assert main("<article>One <noscript>no <p>no</p></noscript> two</article>") == "One two"
+    assert op09_html.blocks("<p>a <canvas><b>no</b></canvas> b") == [(op09_html.NEUTRAL, "a"), (op09_html.CHROME, "no"), (op09_html.NEUTRAL, "b")]
+
+
 def test_html_article_of_test_pages(spark, duck):
     import html
 

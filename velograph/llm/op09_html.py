@@ -45,9 +45,16 @@ _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^<>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*
 _UNQUOTED = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^<>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^<>]*+)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 #: Elements whose content is text of its own kind, up to their end tag.
-_RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "canvas", "noembed", "noframes", "xmp"}
+_RAW = {"script", "style", "textarea", "title", "iframe", "noembed", "noframes", "xmp"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-_CHROME_TAGS = {"nav", "header", "footer", "aside", "form", "head", "button", "select", "dialog", "menu", "fieldset", "datalist"}
+_FOREIGN = {"svg", "math"}
+#: What a reader doesn't see; where no end tag follows, the start tag alone goes, and what stands behind it is text.
+_UNSEEN = {"object", "canvas", "noscript", "template"} | _FOREIGN
+_CHROME_TAGS = {"nav", "header", "footer", "aside", "form", "head", "button", "select", "dialog", "menu", "fieldset", "datalist"} | _UNSEEN
+#: Tags that end an svg or math left open, and what may hold such tags inside one.
+_BREAKOUT = set("article main section body blockquote center dd div dl dt em h1 h2 h3 h4 h5 h6 header footer nav aside figure hr li ol p pre table ul".split())
+_INNER_HTML = re.compile(r"<(?:foreignobject|annotation-xml|mtext|title|desc)\b", re.I)
+_ENDS = {tag: re.compile(rf"</{tag}[\s>/]", re.I) for tag in _UNSEEN | _RAW}
 _CHROME_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"}
 _CHROME_NAMES = set(
     "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion sidebar sidebars widget widgets menu menus nav navbar navigation "
@@ -86,6 +93,13 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
     held: list[str] = []
     open_: list[tuple[str, int]] = []  # elements that set a kind, and how many of the same name are open inside
     kinds: list[int] = [NEUTRAL]
+    last: dict[str, int] = {}  # where the last end tag of a name begins
+    inner = -1  # where HTML inside svg or math begins last
+
+    def ends_later(tag):
+        if tag not in last:
+            last[tag] = max((m.start() for m in _ENDS[tag].finditer(page)), default=-1)
+        return last[tag] >= at
 
     def close_block():
         if held:
@@ -121,7 +135,7 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
             continue
         tag = m[2].lower()
         if not m[1] and tag in _RAW:
-            stop = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            stop = re.compile(rf"</{tag}\s*>", re.I).search(page, at) if ends_later(tag) else None
             at = stop.end() if stop else end
             if tag not in _INLINE:
                 close_block()
@@ -138,8 +152,16 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
                         del open_[k:], kinds[k + 1 :]
                     break
             continue
-        if tag in _VOID or m[3].endswith("/"):
+        if tag in _VOID or m[3].endswith("/") or tag in _UNSEEN and not ends_later(tag):
             continue
+        if open_ and open_[-1][0] in _FOREIGN:
+            if _INNER_HTML.match(m[0]):
+                inner = len(open_)
+            elif tag in _BREAKOUT and inner != len(open_):
+                open_.pop()
+                kinds.pop()
+        if tag in _FOREIGN and kinds[-1] != CHROME:
+            inner = -1
         if tag in ("article", "main") and kinds[-1] == CHROME and open_[-1][0] in ("nav", "header", "head", "aside") and not _CHROME_NAMES.intersection(_WORD.findall(m[3].lower())):
             while open_ and open_[-1][0] in ("nav", "header", "head", "aside"):  # left open by mistake
                 open_.pop()
