@@ -422,6 +422,28 @@ def test_html_icons_and_elements_left_open():
     assert op09_html.blocks("<p>a <canvas><b>no</b></canvas> b") == [(op09_html.NEUTRAL, "a"), (op09_html.CHROME, "no"), (op09_html.NEUTRAL, "b")]
 
 
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ('<article class="post no-sidebar"><p>story</article>', "story"),
+        ('<article class="related promo" id="ad-1"><p>story</article>', "story"),
+        ('<main class="has-sidebar"><p>story</main><div class="sidebar">side</div>', "story"),
+        ('<div id="page" class="site has-header-image"><nav>menu</nav><article><p>story</article>end</div>', "story"),
+        ('<div class="header widget"><div class="menu">menu</div><article><p>story</article></div>', "story"),
+        ('<div class="sidebar"><p>side<main><p>story</main></div>', "story"),
+        ('<article><header class="entry-header"><h1>Title</h1></header><div class="entry-content">story</div><div class="post-comments">no</div></article>', "Title story"),
+        ('<article><header class="header"><h1>Title</h1></header><div class="promo">no</div>story</article>', "Title story"),
+        ('<article>story</article><div class="related"><article>teaser</article></div><div class="comments"><article class="comment">no</article></div>', "story"),
+        ('<div class="related"><article>teaser</article></div><main>story</main>', "story"),
+        ('<div><p>A long story without an article element</div><div class="related"><article>teaser</article></div>', ""),
+        ('<nav>menu<article class="post no-sidebar">story', "story"),
+        ('<article class="notice" hidden>no</article><article>story</article>', "story"),
+    ],
+)
+def test_html_names_around_and_inside_articles(page, want):
+    assert " ".join(t for k, t in op09_html.blocks(page) if k == op09_html.MAIN) == want
+
+
 def test_html_article_of_test_pages(spark, duck):
     import html
 

@@ -2,7 +2,8 @@
 
 A page is cut into blocks: main (inside its article or main element), chrome (inside an element that is
 navigation, header, footer, sidebar, notice, advert, form or reader comments by tag, role or class) and
-neutral ones. Chrome goes. A page with main blocks is these, whole: what an article quotes is no
+neutral ones. A class or id makes no article or main element chrome, nor an element around the only
+ones. Chrome goes. A page with main blocks is these, whole: what an article quotes is no
 boilerplate, however often its host repeats it. On other pages the neutral blocks are told apart by repetition:
 the token streams of a host's pages, all but main blocks, are concatenated, and a suffix array with common
 prefixes finds substrings of `min_tokens` or more on two or more pages. A block mostly covered by such
@@ -28,6 +29,8 @@ from pyspark.sql import functions as F
 from velograph.llm import common
 
 CHROME, NEUTRAL, MAIN = 0, 1, 2
+#: Of an element that is chrome by a class or id alone.
+BY_NAME = -1
 
 
 @dataclass(frozen=True)
@@ -64,10 +67,31 @@ _CHROME_NAMES = set(
 _INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 _MAIN_ROLES = {"main", "article"}
 _WORD = re.compile(r"[a-z0-9]+")
+#: A class with one of these words tells of its page's layout, or of a part of a post, that is its own unless named as what isn't.
+_LAYOUT_WORDS, _POST_WORDS = {"no", "has", "with", "without"}, {"entry", "post"}
+_BESIDE_POST = set("ad ads advert advertisement sponsor promo comment comments respond replies discussion share sharing social related recommended newsletter subscribe nav navigation pagination pager sidebar widget widgets".split())
+
+
+def _attributes(raw: str) -> dict[str, str]:
+    return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(raw)}
+
+
+def _names(found: dict[str, str]) -> str:
+    return f"{found.get('class', '')} {found.get('id', '')}"
+
+
+def _named_chrome(names: str) -> bool:
+    """Whether one of an element's classes and ids is a name of chrome."""
+    for name in names.lower().split():
+        words = set(_WORD.findall(name))
+        if words & _CHROME_NAMES and not words & _LAYOUT_WORDS and (not words & _POST_WORDS or words & _BESIDE_POST):
+            return True
+    return False
 
 
 def _kind(tag: str, raw: str, inside: int) -> int | None:
     """What an element makes of its content; None if nothing."""
+    named = tag not in ("html", "body", "article", "main") and not (tag == "header" and inside == MAIN)
     if tag in ("article", "main"):
         kind = MAIN
     elif tag in _CHROME_TAGS and not (tag == "header" and inside == MAIN):
@@ -76,23 +100,39 @@ def _kind(tag: str, raw: str, inside: int) -> int | None:
         kind = None
     if not raw or "=" not in raw and "hidden" not in raw:
         return kind
-    found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(raw)}
+    found = _attributes(raw)
     role = found.get("role", "").lower()
     if "hidden" in found or found.get("aria-hidden") == "true" or role in _CHROME_ROLES:
         return CHROME
-    if tag not in ("html", "body") and _CHROME_NAMES.intersection(_WORD.findall(f"{found.get('class', '')} {found.get('id', '')}".lower())):
-        return CHROME
     if role in _MAIN_ROLES or found.get("itemprop", "").lower() == "articlebody":
-        return MAIN
+        kind = MAIN
+        named = named and role not in _MAIN_ROLES
+    if named and _named_chrome(_names(found)):
+        return BY_NAME
     return kind
 
 
 def blocks(page: str | None) -> list[tuple[int, str]]:
     """(kind, text) of each block that has text, in order; character references decoded, white space single."""
+    out, around = _blocks(page, False)
+    if around and not any(k == MAIN for k, _ in out):
+        # All its articles are inside elements with names of chrome: these are the page's frame, unless more text
+        # stands outside them, as beside a list of related articles.
+        framed, _ = _blocks(page, True)
+        if sum(len(t) for k, t in framed if k == MAIN) > sum(len(t) for k, t in out if k == NEUTRAL):
+            return framed
+    return out
+
+
+def _blocks(page: str | None, frames: bool) -> tuple[list[tuple[int, str]], bool]:
+    """The blocks, and whether an article was met in an element that is chrome by name. With `frames`, such an
+    element is none from there on; around a main element it never is."""
     out: list[tuple[int, str]] = []
     held: list[str] = []
     open_: list[tuple[str, int]] = []  # elements that set a kind, and how many of the same name are open inside
     kinds: list[int] = [NEUTRAL]
+    around = False
+    by_name = False  # whether the chrome on top is by name
     last: dict[str, int] = {}  # where the last end tag of a name begins
     inner = -1  # where HTML inside svg or math begins last
 
@@ -162,7 +202,7 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
                 kinds.pop()
         if tag in _FOREIGN and kinds[-1] != CHROME:
             inner = -1
-        if tag in ("article", "main") and kinds[-1] == CHROME and open_[-1][0] in ("nav", "header", "head", "aside") and not _CHROME_NAMES.intersection(_WORD.findall(m[3].lower())):
+        if tag in ("article", "main") and kinds[-1] == CHROME and open_[-1][0] in ("nav", "header", "head", "aside") and not _named_chrome(_names(_attributes(m[3]))):
             while open_ and open_[-1][0] in ("nav", "header", "head", "aside"):  # left open by mistake
                 open_.pop()
                 kinds.pop()
@@ -171,17 +211,25 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
                 open_.pop()
                 kinds.pop()
         kind = _kind(tag, m[3], kinds[-1])
+        if kind == MAIN and kinds[-1] == CHROME and by_name:
+            own = _attributes(m[3])
+            if tag == "main" or not _named_chrome(_names(own)):
+                around = True
+                if frames or tag == "main" or own.get("role", "").lower() == "main":
+                    close_block()
+                    kinds[-1] = kinds[-2]
         if kind is not None and kinds[-1] != CHROME:
             close_block()
             open_.append((tag, 0))
-            kinds.append(kind)
+            by_name = kind == BY_NAME
+            kinds.append(CHROME if by_name else kind)
         else:
             for k in range(len(open_) - 1, -1, -1):
                 if open_[k][0] == tag:
                     open_[k] = (tag, open_[k][1] + 1)
                     break
     close_block()
-    return out
+    return out, around
 
 
 def suffix_array(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
