@@ -492,6 +492,23 @@ def test_html_without_article(spark):
             assert r.text == "" and r.n_chars == 0
 
 
+def test_html_repeats_over_shards(spark):
+    """A shard decides as one suffix array over the whole host would."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in range(90):
+        own = " ".join(f"w{k}x{j}" for j in range(15))
+        notices = "".join(f"<div>Rare notice {n} about the terms of this service</div>" for n in range(40) if k in (n, n + 45))
+        main = "<article>story</article>" if k % 9 == 0 else ""
+        some = " ".join(f"t{x}" for x in rng.integers(0, 3, 14))
+        rows.append((k, f"http://h.org/{k}", f"<body>{main}{notices}<div>Seen only on page {k} twice {own}</div><div>{some}</div><footer>Rare words stand in the footer {k % 30}</footer></body>"))
+    rows += [(k, "http://i.org/x", f"<div>Only copies of one page have {k} these words</div>") for k in (200, 200, 200, 201)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    want, got = (sorted((r.page_id, r.url, r.text) for r in op09_html.extract(pages, op09_html.Boilerplate(shard_pages=n)).collect()) for n in (10**6, 3))
+    assert got == want and len(got) == 94
+    assert not any("Rare notice" in t for k, _, t in got if k < 85 and 0 < k < 40) and all(f"w{k}x3" in t for k, u, t in got if k < 90 and k % 9)
+
+
 def test_quality_base(spark, duck):
     got = QUERIES["op10_quality_rules"](spark, SF).collect()
     texts = dict(duck.execute("SELECT doc_id, text FROM documents").fetchall())

@@ -10,19 +10,23 @@ prefixes finds substrings of `min_tokens` or more on two or more pages. A block
 substrings keeps its uncovered runs alone; other blocks stay whole.
 
 A host's pages are dealt into shards of about `shard_pages`, by hash of page, each with a suffix array
-of its own, so a host with a third of all pages is no single task; repetition is then counted within a
-shard. Null html, or none, gives the empty text. A null url belongs to the host of the empty name.
+of its own, so a host with a third of all pages is no single task. Repetition counts over the whole host:
+of a host with several shards, the hashes of all windows of `min_tokens` tokens are counted by distinct pages, and
+each shard gets those of its own windows that pages of other shards share. A host on which every page has main
+blocks isn't dealt out, as nothing there is to be told apart. Null html, or none, gives the empty text. A null url belongs to the host of the empty name.
 Repeated rows come back each; copies of a page (same page_id) don't count as two pages.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -284,8 +288,29 @@ def covered(streams: list[list[int]], owner: list[int], min_tokens: int) -> list
     return [inside[e - n - 1 : e - 1] for n, e in zip(sizes, ends, strict=True)]
 
 
-def settle(pages: list[tuple[int, list[tuple[int, str]]]], how: Boilerplate) -> list[str]:
-    """The neutral text of each page of a shard, less its boilerplate; a page is its id and its blocks that aren't main."""
+def windows(texts: list[str], width: int, known: dict[str, int]) -> np.ndarray:
+    """A hash of each window of a page's token stream, in order, the same on every machine; known keeps words' hashes."""
+    stream = [0] if texts else []
+    for text in texts:
+        for w in text.split():
+            h = known.get(w)
+            if h is None:
+                h = known[w] = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+            stream.append(h)
+        stream.append(0)
+    n = len(stream) - width + 1
+    if n < 1:
+        return np.zeros(0, np.int64)
+    tokens, total = np.array(stream, np.uint64), np.zeros(n, np.uint64)
+    for j in range(width):
+        total = total * np.uint64(0x9E3779B97F4A7C15) + tokens[j : j + n]
+        total ^= total >> np.uint64(29)
+    return total.view(np.int64)
+
+
+def settle(pages: list[tuple[int, list[tuple[int, str]]]], how: Boilerplate, shared: np.ndarray | None = None) -> list[str]:
+    """The neutral text of each page of a shard, less its boilerplate; a page is its id and its blocks that aren't
+    main; shared has the hashes of windows that other shards' pages hold too."""
     names: dict[str, int] = {}
     streams = []
     for _, found in pages:
@@ -295,6 +320,12 @@ def settle(pages: list[tuple[int, list[tuple[int, str]]]], how: Boilerplate) ->
             stream += [0, *(names.setdefault(w, len(names) + 1) for w in text.split())]
         streams.append([*stream, 0] if stream else [])
     marks = covered(streams, [p for p, _ in pages], how.min_tokens)
+    if shared is not None and len(shared):
+        known: dict[str, int] = {}
+        for (_, found), mark in zip(pages, marks, strict=True):
+            begins = np.flatnonzero(np.isin(windows([t for _, t in found], how.min_tokens, known), shared))
+            for j in range(how.min_tokens):
+                mark[begins + j] = True
     out = []
     for (_, found), mark in zip(pages, marks, strict=True):
         kept, at = [], 0
@@ -333,9 +364,29 @@ def without_repeats(parsed: DataFrame, how: Boilerplate = Boilerplate()) -> Data
     are shuffled: no page's main text is."""
     # Hosts are counted by partial sums; each is dealt into as many shards as it needs. Looking a host's number up,
     # its pages are salted, and the merge join's two exchanges let Spark split what is still large.
-    sizes = parsed.groupBy("host").agg(F.ceil(F.count("*") / how.shard_pages).alias("shards")).withColumn("salt", F.explode(F.array(*map(F.lit, range(how.salts)))))
+    needed = parsed.groupBy("host").agg(F.ceil(F.count("*") / how.shard_pages).alias("shards"), F.max(F.col("main").isNull()).alias("needed")).where("needed").drop("needed")
+    sizes = needed.withColumn("salt", F.explode(F.array(*map(F.lit, range(how.salts)))))
     open_ = parsed.select("host", "page_id", "url", "kinds", "texts", F.col("main").isNull().alias("open"), F.pmod(F.hash("page_id", "url"), F.lit(how.salts)).alias("salt"))
-    dealt = open_.join(sizes.hint("merge"), ["host", "salt"]).withColumn("shard", F.pmod(F.xxhash64("page_id", "url"), F.col("shards")))
+    joined = open_.join(sizes.hint("merge"), ["host", "salt"]).withColumn("shard", F.pmod(F.xxhash64("page_id", "url"), F.col("shards")))
+    # Read twice, by the count of windows and by the shards; without this each would parse the pages again.
+    dealt = common.cut(joined.select("host", "shard", "shards", "page_id", "url", "kinds", "texts", "open"))
+
+    def counted(batches):
+        for batch in batches:
+            known: dict[str, int] = {}
+            for a in range(0, batch.num_rows, 64):
+                part = batch.slice(a, 64)
+                found = [np.unique(windows(t, how.min_tokens, known)) for t in part.column(4).to_pylist()]
+                at = np.repeat(np.arange(part.num_rows), [len(x) for x in found])
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(at)) for c in range(4)), pa.array(np.concatenate(found))], ["host", "shard", "page", "open", "window"])
+
+    # Partial sums by shard, so a notice on all pages of a hot host is a row of each shard; the shards that ask
+    # for a window are those that have it on an open page.
+    page = F.coalesce("page_id", F.lit(-1)).alias("page")
+    each = common.map_arrow(dealt.where("shards > 1").select("host", "shard", page, "open", "texts"), counted, "host string, shard bigint, page bigint, open boolean, window bigint")
+    sums = each.groupBy("host", "window").agg(F.min("page").alias("low"), F.max("page").alias("high"), F.collect_set(F.when(F.col("open"), F.col("shard"))).alias("asking"))
+    repeated = sums.where("low < high").select("host", F.explode("asking").alias("shard"), "window")
+    evidence = repeated.groupBy("host", "shard").agg(F.collect_list("window").alias("windows"))
 
     def shard(batches):
         held = None
@@ -351,14 +402,21 @@ def without_repeats(parsed: DataFrame, how: Boilerplate = Boilerplate()) -> Data
                 starts.pop()  # the last shard may go on
             for a, b in zip(starts, starts[1:], strict=False):
                 part = held.slice(a, b - a)
+                # The shard's evidence, if it has any, is a row of its own.
+                own = part["windows"].is_valid()
+                shared = part.filter(own)["windows"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+                part = part.filter(pc.invert(own))
+                if not part.num_rows:
+                    continue
                 found = [list(zip(k, t, strict=True)) for k, t in zip(part["kinds"].to_pylist(), part["texts"].to_pylist(), strict=True)]
                 owner = [-1 if x is None else x for x in part["page_id"].to_pylist()]
-                texts = pa.array(settle(list(zip(owner, found, strict=True)), how), pa.string())
+                texts = pa.array(settle(list(zip(owner, found, strict=True)), how, shared), pa.string())
                 out = pa.RecordBatch.from_arrays([part["page_id"].combine_chunks(), part["url"].combine_chunks(), texts], ["page_id", "url", "text"])
                 yield out.filter(part["open"].combine_chunks())
             held = held.slice(starts[-1])
 
-    ordered = dealt.select("host", "shard", "page_id", "url", "kinds", "texts", "open").repartition("host", "shard").sortWithinPartitions("host", "shard")
+    rows = dealt.drop("shards").unionByName(evidence, allowMissingColumns=True)
+    ordered = rows.repartition("host", "shard").sortWithinPartitions("host", "shard")
     return common.map_arrow(ordered, shard, "page_id bigint, url string, text string")
 
 
