@@ -568,3 +568,18 @@ def test_quality_rejects_texts_without_common_words(spark):
     good = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("quality = 1").toPandas().doc_id
     good = got.loc[good]
     assert good[~good.base_failed & (good.class_distance.fillna(0) <= 0.27)].kept.all()
+
+
+def test_quality_of_another_language_with_enough_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    rng = np.random.default_rng(4)
+    words = ["casa", "vento", "quale", "sempre", "della", "nostro", "perso", "tempo", "lungo", "strada"]
+    rows = [(-1 - k, ". ".join(" ".join(rng.choice(words, 9)).capitalize() + f" n{k}x{j}" for j in range(20)) + ".", "it") for k in range(60)]
+    junk = " ".join(f"#{k}|{{}}<>$%&*~^={k}" for k in range(300))
+    extra = spark.createDataFrame([*rows, (-100, junk, "it"), (-101, junk, "en"), (-102, junk, "pt"), (-103, junk, None)], "doc_id bigint, text string, lang string")
+    both = docs.unionByName(extra)
+    got = both.select("doc_id", op10_quality.judge(both).alias("r")).where("doc_id < 0").select("doc_id", "r.*").toPandas().set_index("doc_id")
+    assert not got.base_failed[[-100, -101, -102, -103]].any()
+    assert got.kept[[-100, -101, -102, -103]].tolist() == [False, False, True, False]
+    good = got.loc[list(range(-60, 0))]
+    assert (good.kept == ~good.base_failed).all() and good.kept.sum() > 30 and good.word_distance.isna().all()

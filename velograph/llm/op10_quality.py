@@ -5,8 +5,10 @@ corpus. A document fails if its Jensen-Shannon distance from every reference is
 limit, for character classes or for common words. The limit for common words is a share of the distance
 that a text without any common word has from the reference: the corpus sets it, so it is always in reach.
 Texts under the minimum lengths are not
-compared: a few words say nothing about a distribution. Nor are documents of a language without a reference;
-those without any language have the nearest one.
+compared: a few words say nothing about a distribution. The languages with a list of common words are references to
+all documents, whichever is nearest. Another language with `min_docs` documents or more has a reference of
+character classes, for its own documents, which aren't compared by words. Documents of a language
+with neither are left to the base rule.
 
 Null and empty texts have no words, so the base rule rejects them. Repeated rows are judged one
 by one, alike. An empty corpus gives no reference, so only the base rule holds.
@@ -34,7 +36,9 @@ COMMON_WORDS = {
 }
 #: Digits are left out: a telephone number in a short text says nothing about its prose.
 CLASSES = ("lower", "upper", "space", "stop", "symbol", "other", "beyond")
+#: Of a document, and last its distance from each reference without a word list.
 _STRUCT = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean, class_distance double, word_distance double"
+_OTHERS = "others array<double>"
 
 
 @dataclass(frozen=True)
@@ -47,6 +51,7 @@ class Rules:
     word_limit: float = 0.9
     class_min_chars: int = 200
     word_min_words: int = 100
+    min_docs: int = 50
     common_words: dict[str, list[str]] = field(default_factory=lambda: COMMON_WORDS)
 
 
@@ -114,7 +119,8 @@ def _places(rules: Rules) -> dict[bytes, int]:
 
 def references(docs: DataFrame, rules: Rules = Rules()) -> dict[str, np.ndarray]:
     """By language a row of mean class and word shares, over all documents long enough; the state
-    that a task keeps and sends is one row of numbers for each language with a word list."""
+    that a task keeps and sends is one row of numbers for each language. Those without a word list have
+    class shares alone, of min_docs documents or more."""
     place, known = _places(rules), sorted(rules.common_words)
     width = len(CLASSES) + len(place) + 1
 
@@ -122,28 +128,33 @@ def references(docs: DataFrame, rules: Rules = Rules()) -> dict[str, np.ndarray]
         total = {k: np.zeros(width + 2) for k in known}
         for batch in batches:
             for lang, text in zip(batch.column(1).to_pylist(), common.byte_texts(batch.column(0)), strict=True):
-                if lang not in total or not text:
+                if lang is None or not text:
                     continue
+                if lang not in total:
+                    total[lang] = np.zeros(width + 2)
                 classes, words, n = histograms(text, place)
                 row = total[lang]
                 if classes.sum() >= rules.class_min_chars:
                     row[: len(CLASSES)] += classes / classes.sum()
                     row[-2] += 1
-                if n >= rules.word_min_words:
+                if n >= rules.word_min_words and lang in rules.common_words:
                     row[len(CLASSES) : width] += words / n
                     row[-1] += 1
-        yield pa.RecordBatch.from_pydict({"ref": [k for k in known for _ in range(width + 2)], "at": list(range(width + 2)) * len(known), "part": [x for k in known for x in total[k].tolist()]})
+        yield pa.RecordBatch.from_pydict({"ref": [k for k in total for _ in range(width + 2)], "at": list(range(width + 2)) * len(total), "part": [x for v in total.values() for x in v.tolist()]})
 
     found = common.map_arrow(docs.select("text", "lang"), sums, "ref string, at bigint, part double").groupBy("ref", "at").agg(F.sum("part").alias("total")).collect()
-    out = {k: np.zeros(width + 2) for k in known}
+    out = {k: np.zeros(width + 2) for k in [*known, *sorted({r.ref for r in found} - set(known))]}
     for r in found:
         out[r.ref][r.at] = r.total
-    return {k: np.concatenate([v[: len(CLASSES)] / max(v[-2], 1), v[len(CLASSES) : width] / max(v[-1], 1)]) for k, v in out.items() if v[-2] > 0}
+    return {k: np.concatenate([v[: len(CLASSES)] / max(v[-2], 1), v[len(CLASSES) : width] / max(v[-1], 1)]) for k, v in out.items() if v[-2] >= (1 if k in rules.common_words else rules.min_docs)}
 
 
 def judge(docs: DataFrame, rules: Rules = Rules()) -> Column:
     """A struct column of the counts, the distances (null where not compared) and the verdict."""
-    refs, place = references(docs, rules), _places(rules)
+    every, place = references(docs, rules), _places(rules)
+    refs = {k: v for k, v in every.items() if k in rules.common_words}
+    foreign_refs = [k for k in every if k not in refs]
+    own_classes = np.array([every[k][: len(CLASSES)] for k in foreign_refs]).reshape(len(foreign_refs), len(CLASSES))
     classes = np.array([v[: len(CLASSES)] for v in refs.values()]).reshape(len(refs), len(CLASSES))
     words = np.array([v[len(CLASSES) :] for v in refs.values()]).reshape(len(refs), len(place) + 1)
     words = words[words[:, :-1].sum(axis=1) > 0]
@@ -155,23 +166,34 @@ def judge(docs: DataFrame, rules: Rules = Rules()) -> Column:
             n, chars, symbols, lines, repeats = base(text or b"")
             failed = n < rules.min_words or 100 * repeats > rules.max_repeat_percent * n
             far_class = far_word = None
-            near_word = True
+            near_word, others = True, None
             if text:
                 c, w, m = histograms(text, place)
                 if len(classes) and c.sum() >= rules.class_min_chars:
                     far_class = float(js_distance(c / c.sum(), classes).min())
+                if len(own_classes) and c.sum() >= rules.class_min_chars:
+                    others = js_distance(c / c.sum(), own_classes).tolist()
                 if len(words) and m >= rules.word_min_words:
                     each = js_distance(w / m, words)
                     far_word, near_word = float(each.min()), bool((each <= limits).any())
             kept = not failed and (far_class is None or far_class <= rules.class_limit) and near_word
-            rows.append((n, chars, symbols, lines, repeats, failed, kept, far_class, far_word))
-        names = [x.split()[0] for x in _STRUCT.split(", ")]
-        kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 2
+            rows.append((n, chars, symbols, lines, repeats, failed, kept, far_class, far_word, others))
+        names = [x.split()[0] for x in f"{_STRUCT}, {_OTHERS}".split(", ")]
+        kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 2 + [pa.list_(pa.float64())]
         return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(len(names))], names)
 
-    found = common.row_udf(verdicts, f"struct<{_STRUCT.replace(' ', ':').replace(',:', ',')}>")(F.col("text"))
+    found = common.row_udf(verdicts, f"struct<{f'{_STRUCT}, {_OTHERS}'.replace(' ', ':').replace(',:', ',')}>")(F.col("text"))
     foreign = F.col("lang").isNotNull() & ~F.col("lang").isin(*refs)
-    return found.withField("kept", F.when(foreign, ~found["base_failed"]).otherwise(found["kept"]))
+    if not foreign_refs:
+        return found.withField("kept", F.when(foreign, ~found["base_failed"]).otherwise(found["kept"])).dropFields("others")
+    place_of = F.lit(None).cast("int")
+    for i, k in enumerate(foreign_refs):
+        place_of = F.when(F.col("lang") == k, i).otherwise(place_of)
+    own = F.get(found["others"], place_of)
+    near = own.isNull() | (own <= rules.class_limit)
+    judged = found.withField("kept", F.when(foreign, ~found["base_failed"] & near).otherwise(found["kept"]))
+    with_own = judged.withField("class_distance", F.when(place_of.isNotNull(), own).otherwise(found["class_distance"]))
+    return with_own.withField("word_distance", F.when(place_of.isNull(), found["word_distance"])).dropFields("others")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
