@@ -390,6 +390,10 @@ def test_html_structure():
     assert not {"No", "hidden", "no"} & {t for _, t in got}
     assert op09_html.blocks(None) == [] == op09_html.blocks("") and op09_html.blocks("plain  &lt;text") == [(op09_html.NEUTRAL, "plain <text")]
     assert op09_html.blocks("<nav>a<article>b") [-1] == (op09_html.MAIN, "b")
+    for tag in ("iframe", "title", "textarea", "xmp", "noembed"):
+        assert op09_html.blocks(f"<article>a<{tag}>b<p>c</article>d")[-1] == (op09_html.NEUTRAL, "d"), tag
+    for name, kind in (("content-with-sidebar", 1), ("legal-advice", 1), ("share price", 0), ("share-price", 1), ("related-posts", 0), ("post-header", 1), ("site-footer", 0), ("no-ads", 1), ("ad-box2", 0), ("menus_top", 0)):
+        assert op09_html.blocks(f"<div class='{name}'>a")[0][0] == kind, name
 
 
 def test_html_tags_of_any_length():
@@ -471,13 +475,17 @@ def test_repeats_by_brute_force():
     rng = np.random.default_rng(2)
     streams = [rng.integers(0, 4, rng.integers(0, 40)).tolist() for _ in range(12)]
     owner = [k // 2 for k in range(12)]
-    marks = op09_html.covered(streams, owner, 4)
-    for s, o, m in zip(streams, owner, marks, strict=True):
-        want = [False] * len(s)
+    marks, commons = op09_html.covered(streams, owner, 4, 3)
+    for s, o, m, c in zip(streams, owner, marks, commons, strict=True):
+        want, often = [False] * len(s), [False] * len(s)
         for i in range(len(s) - 3):
-            if any(x[j : j + 4] == s[i : i + 4] for x, p in zip(streams, owner, strict=True) if p != o for j in range(len(x) - 3)):
+            held = [any(x[j : j + 4] == s[i : i + 4] for j in range(len(x) - 3)) for x in streams]
+            if any(h and p != o for h, p in zip(held, owner, strict=True)):
                 want[i : i + 4] = [True] * 4
-        assert m.tolist() == want
+                if sum(held) >= 3:
+                    often[i : i + 4] = [True] * 4
+        assert m.tolist() == want and c.tolist() == often
+    assert any(m.any() for m in marks) and any(c.any() for c in commons)
 
 
 def test_html_without_article(spark):
@@ -492,6 +500,30 @@ def test_html_without_article(spark):
             assert r.text == "" and r.n_chars == 0
 
 
+def test_html_articles_as_plain_elements(spark, duck):
+    """Without its article element a page's text is found by repetition and containers."""
+    rows = duckdb.sql("SELECT page_id, url, html FROM '/root/testdata/sf0.1/pages.parquet'").fetchall()
+    plain = [(p, u, h.replace("<article>", "<div>").replace("</article>", "</div>")) for p, u, h in rows]
+    want, got = ({r.page_id: r.text.split() for r in op09_html.extract(spark.createDataFrame(x, "page_id bigint, url string, html string")).collect()} for x in (rows, plain))
+    both = sum(sum((Counter(want[k]) & Counter(got[k])).values()) for k in want)
+    assert both / sum(map(len, want.values())) > 0.98 and both / sum(map(len, got.values())) > 0.98
+
+
+def test_html_decided_by_repetition(spark):
+    """A quotation stays, a notice goes, of a page of notices alone nothing is left; unshared text beside an article stays."""
+    story = lambda k: " ".join(f"w{k}x{j}" for j in range(40))
+    quote, notice, closing = "These words of a wise man are quoted by two pages", "All the terms of this service apply to you", "Write to us about this story whenever you like"
+    page = lambda k: f"<div>{notice}</div><div><p>{story(k)}</p>{f'<p>{quote}</p>' if k < 1 else ''}<p>{closing}</p></div>"
+    rows = [(k, f"http://h.org/{k}", page(k)) for k in range(12)] + [(20, "http://h.org/20", f"<div>{notice}</div><div>{closing}</div>")]
+    rows += [(21, "http://h.org/21", f"<div>{notice}</div><article>{quote}</article><div>{story(21)}</div><div>few words</div>")]
+    rows += [(k, f"http://i.org/{k}", f"<div>{notice} {k}</div><div>{story(30)}</div>") for k in (30, 31)]
+    got = {r.page_id: r for r in op09_html.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    for k in range(12):
+        assert got[k].text == story(k) + (f" {quote}" if k < 1 else ""), k
+    assert got[20].text == "" and got[21].text == f"{quote} {story(21)}" and (got[21].n_guarded, got[21].n_neutral, got[21].n_shared) == (1, 1, 1)
+    assert [got[k].text for k in (30, 31)] == [f"30 {story(30)}", f"31 {story(30)}"]
+
+
 def test_html_repeats_over_shards(spark):
     """A shard decides as one suffix array over the whole host would."""
     rng = np.random.default_rng(5)
@@ -504,8 +536,8 @@ def test_html_repeats_over_shards(spark):
         rows.append((k, f"http://h.org/{k}", f"<body>{main}{notices}<div>Seen only on page {k} twice {own}</div><div>{some}</div><footer>Rare words stand in the footer {k % 30}</footer></body>"))
     rows += [(k, "http://i.org/x", f"<div>Only copies of one page have {k} these words</div>") for k in (200, 200, 200, 201)]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
-    want, got = (sorted((r.page_id, r.url, r.text) for r in op09_html.extract(pages, op09_html.Boilerplate(shard_pages=n)).collect()) for n in (10**6, 3))
-    assert got == want and len(got) == 94
+    want, got, merged = (sorted((r.page_id, r.url, r.text) for r in op09_html.extract(pages, op09_html.Boilerplate(shard_tokens=n, lookup_rows=m)).collect()) for n, m in ((10**6, 10), (120, 10), (120, 0)))
+    assert merged == got == want and len(got) == 94
     assert not any("Rare notice" in t for k, _, t in got if k < 85 and 0 < k < 40) and all(f"w{k}x3" in t for k, u, t in got if k < 90 and k % 9)
 
 

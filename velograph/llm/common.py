@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import itertools
 import os
 import tempfile
 import zipfile
@@ -76,6 +77,22 @@ def cut(df: DataFrame) -> DataFrame:
    return df.checkpoint(eager=True)
 
 
+_written = itertools.count()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+   """A new folder's name, where the driver and all executors can write and read; Spark's own checkpoints lie beside it."""
+   ready_checkpoints(spark)
+   return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{spark.sparkContext.applicationId}-{next(_written)}"
+
+
+def written(df: DataFrame, name: str = "table") -> DataFrame:
+   """df as a Parquet table in the shared folder: computed once, read by columns, smaller than a checkpoint."""
+   path = shared_folder(df.sparkSession, name)
+   df.write.option("compression", "zstd").parquet(path)
+   return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def row_udf(fn: Callable[[list[bytes | None]], pa.Array], returns: str) -> Callable[[Column], Column]:
    """An Arrow UDF over one text column; fn maps a batch of UTF-8 texts to an array of results."""
 

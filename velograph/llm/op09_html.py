@@ -1,26 +1,35 @@
-"""HTML extraction: page structure, and a suffix array of each host's page texts.
-
-A page is cut into blocks: main (inside its article or main element), chrome (inside an element that is
-navigation, header, footer, sidebar, notice, advert, form or reader comments by tag, role or class) and
-neutral ones. A class or id makes no article or main element chrome, nor an element around the only
-ones. Chrome goes. A page with main blocks is these, whole: what an article quotes is no
-boilerplate, however often its host repeats it. On other pages the neutral blocks are told apart by repetition:
-the token streams of a host's pages, all but main blocks, are concatenated, and a suffix array with common
-prefixes finds substrings of `min_tokens` or more on two or more pages. A block mostly covered by such
-substrings keeps its uncovered runs alone; other blocks stay whole.
-
-A host's pages are dealt into shards of about `shard_pages`, by hash of page, each with a suffix array
-of its own, so a host with a third of all pages is no single task. Repetition counts over the whole host:
-of a host with several shards, the hashes of all windows of `min_tokens` tokens are counted by distinct pages, and
-each shard gets those of its own windows that pages of other shards share. A host on which every page has main
-blocks isn't dealt out, as nothing there is to be told apart. Null html, or none, gives the empty text. A null url belongs to the host of the empty name.
-Repeated rows come back each; copies of a page (same page_id) don't count as two pages.
+"""HTML extraction: a suffix array of each host's page texts, with the page's structure as guard and tie-break.
+
+A page is cut into blocks, each with its container (the nearest div, section or the like). The token streams of
+all pages of a host, of all their blocks, are concatenated; a suffix array with common prefixes finds the
+substrings of `min_tokens` or more that two distinct pages share, and how many pages share them. Then, for each block:
+
+- one inside navigation, header, footer, sidebar, notice, advert, form or reader comments, by tag, role or class,
+  goes; repetition can't tell such text where it differs from page to page;
+- one inside an article or main element stays, whole: what an article quotes is no boilerplate, however often its
+  host repeats it. A class or id makes no article or main element chrome, nor an element around the only ones;
+- any other one is decided by repetition. If its container is mostly covered by shared substrings, and isn't the bulk of
+  a page without an article, a block mostly covered keeps its uncovered runs alone. In other containers
+  a shared passage is a quotation, unless it is common: on `common_pages` pages or more and `common_share` of the host's.
+  Beside an article, a block stays only if it has `min_tokens` unshared tokens.
+
+Pages are parsed once, into a table in the shared folder. A host of more than `shard_tokens` tokens is dealt into
+shards, by hash of page, each with a suffix array of its own, so a host with a third of all pages is no
+single task. Repetition counts over the whole host: where blocks are to be decided, the hashes of
+all windows of `min_tokens` tokens are counted by shard and then by host, and each shard gets those of its own windows that
+other shards share. A page longer than `shard_tokens` is one task's work. So results don't depend on the shards.
+
+Null html, or none, gives the empty text, and so does an empty table no rows. A null url belongs to the host of the
+empty name. Repeated rows come back each; copies of a page (same page_id) don't count as two pages, nor do all pages
+without an id. Of equal largest containers the first is the bulk. Bytes that are no UTF-8 are read as U+FFFD. Other
+columns of the table, whatever their names, aren't read.
 """
 
 from __future__ import annotations
 
 import hashlib
 import html
+import math
 import re
 from dataclasses import dataclass
 
@@ -41,7 +50,11 @@ BY_NAME = -1
 class Boilerplate:
     min_tokens: int = 6
     covered: float = 0.5
-    shard_pages: int = 400
+    common_pages: int = 3
+    common_share: float = 0.2
+    shard_tokens: int = 150_000
+    #: Hosts with several shards up to which they are broadcast.
+    lookup_rows: int = 100_000
     salts: int = 16
 
 
@@ -70,10 +83,17 @@ _CHROME_NAMES = set(
 )
 _INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 _MAIN_ROLES = {"main", "article"}
-_WORD = re.compile(r"[a-z0-9]+")
-#: A class with one of these words tells of its page's layout, or of a part of a post, that is its own unless named as what isn't.
-_LAYOUT_WORDS, _POST_WORDS = {"no", "has", "with", "without"}, {"entry", "post"}
+_WORD = re.compile(r"[a-z]+")
+#: Words that may stand beside a name of chrome in a class or id without making it another thing.
+_FILLER = set(
+    "box boxes bar bars wrap wrapper container inner outer block blocks area list lists links link item items section panel group row col column content site page global main primary secondary "
+    "top bottom left right mobile desktop fixed sticky button buttons icons form policy banner unit slot text small large js the my".split()
+)
+#: Words of a post's own parts, as in entry-header; but post-comments are comments.
+_POST_WORDS = {"entry", "post", "posts", "article", "articles", "story", "stories"}
 _BESIDE_POST = set("ad ads advert advertisement sponsor promo comment comments respond replies discussion share sharing social related recommended newsletter subscribe nav navigation pagination pager sidebar widget widgets".split())
+#: Elements that hold a part of a page together.
+_GROUPS = {"body", "main", "article", "section", "div", "center", "td"}
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -85,10 +105,11 @@ def _names(found: dict[str, str]) -> str:
 
 
 def _named_chrome(names: str) -> bool:
-    """Whether one of an element's classes and ids is a name of chrome."""
+    """Whether one of an element's classes and ids is, as a whole, a name of chrome."""
     for name in names.lower().split():
         words = set(_WORD.findall(name))
-        if words & _CHROME_NAMES and not words & _LAYOUT_WORDS and (not words & _POST_WORDS or words & _BESIDE_POST):
+        found = words & _CHROME_NAMES
+        if found and words <= _CHROME_NAMES | _FILLER | _POST_WORDS and (not words & _POST_WORDS or found & _BESIDE_POST):
             return True
     return False
 
@@ -118,21 +139,28 @@ def _kind(tag: str, raw: str, inside: int) -> int | None:
 
 def blocks(page: str | None) -> list[tuple[int, str]]:
     """(kind, text) of each block that has text, in order; character references decoded, white space single."""
+    return [(k, t) for k, t, _ in placed(page)]
+
+
+def placed(page: str | None) -> list[tuple[int, str, int]]:
+    """The blocks, and the number of each one's container."""
     out, around = _blocks(page, False)
-    if around and not any(k == MAIN for k, _ in out):
+    if around and not any(k == MAIN for k, _, _ in out):
         # All its articles are inside elements with names of chrome: these are the page's frame, unless more text
         # stands outside them, as beside a list of related articles.
         framed, _ = _blocks(page, True)
-        if sum(len(t) for k, t in framed if k == MAIN) > sum(len(t) for k, t in out if k == NEUTRAL):
+        if sum(len(t) for k, t, _ in framed if k == MAIN) > sum(len(t) for k, t, _ in out if k == NEUTRAL):
             return framed
     return out
 
 
-def _blocks(page: str | None, frames: bool) -> tuple[list[tuple[int, str]], bool]:
+def _blocks(page: str | None, frames: bool) -> tuple[list[tuple[int, str, int]], bool]:
     """The blocks, and whether an article was met in an element that is chrome by name. With `frames`, such an
     element is none from there on; around a main element it never is."""
-    out: list[tuple[int, str]] = []
+    out: list[tuple[int, str, int]] = []
     held: list[str] = []
+    groups: list[tuple[str, int]] = []  # open elements of _GROUPS and their numbers
+    n_groups = 0
     open_: list[tuple[str, int]] = []  # elements that set a kind, and how many of the same name are open inside
     kinds: list[int] = [NEUTRAL]
     around = False
@@ -149,7 +177,7 @@ def _blocks(page: str | None, frames: bool) -> tuple[list[tuple[int, str]], bool
         if held:
             text = " ".join(html.unescape("".join(held)).split())
             if text:
-                out.append((kinds[-1], text))
+                out.append((kinds[-1], text, groups[-1][1] if groups else 0))
             held.clear()
 
     page, at, end, unquoted = page or "", 0, len(page or ""), 0
@@ -179,14 +207,20 @@ def _blocks(page: str | None, frames: bool) -> tuple[list[tuple[int, str]], bool
             continue
         tag = m[2].lower()
         if not m[1] and tag in _RAW:
+            # Left open, a script or style takes what follows, as in a browser; of others the start tag alone goes.
             stop = re.compile(rf"</{tag}\s*>", re.I).search(page, at) if ends_later(tag) else None
-            at = stop.end() if stop else end
+            at = stop.end() if stop else end if tag in ("script", "style") else at
             if tag not in _INLINE:
                 close_block()
             continue
         if tag not in _INLINE:
             close_block()
         if m[1]:
+            if tag in _GROUPS:
+                for k in range(len(groups) - 1, -1, -1):
+                    if groups[k][0] == tag:
+                        del groups[k:]
+                        break
             for k in range(len(open_) - 1, -1, -1):
                 if open_[k][0] == tag:
                     if open_[k][1]:
@@ -198,6 +232,9 @@ def _blocks(page: str | None, frames: bool) -> tuple[list[tuple[int, str]], bool
             continue
         if tag in _VOID or m[3].endswith("/") or tag in _UNSEEN and not ends_later(tag):
             continue
+        if tag in _GROUPS:
+            n_groups += 1
+            groups.append((tag, n_groups))
         if open_ and open_[-1][0] in _FOREIGN:
             if _INNER_HTML.match(m[0]):
                 inner = len(open_)
@@ -236,22 +273,21 @@ def _blocks(page: str | None, frames: bool) -> tuple[list[tuple[int, str]], bool
     return out, around
 
 
-def suffix_array(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes in order, and the common prefix of each with the one before it, by prefix doubling."""
+def suffix_array(tokens: np.ndarray, depth: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes in order, and the common prefix of each with the one before it, by prefix doubling; with a
+    depth, in the order of their first `depth` tokens at least, and prefixes exact up to that many."""
     n = len(tokens)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64)
     levels, width = [rank], 1
-    while True:
+    while width < (depth or n) and rank.max() < n - 1:
         second = np.zeros(n, np.int64)
         second[: n - width] = rank[width:] + 1 if width < n else 0
         key = rank * (n + 1) + second
         rank = np.unique(key, return_inverse=True)[1].astype(np.int64)
         levels.append(rank)
         width *= 2
-        if width >= n or rank.max() == n - 1:
-            break
     order = np.argsort(levels[-1], kind="stable")
     common_prefix = np.zeros(n, np.int64)
     left, right = order[:-1].copy(), order[1:].copy()
@@ -266,26 +302,37 @@ def suffix_array(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, common_prefix
 
 
-def covered(streams: list[list[int]], owner: list[int], min_tokens: int) -> list[np.ndarray]:
-    """For each stream, which tokens lie in a substring of min_tokens or more that streams of two owners hold."""
+def _spread(begins: np.ndarray, width: int, n: int) -> np.ndarray:
+    """Which of n places lie in a window of that width from one of the places begins."""
+    change = np.zeros(n + 1, np.int64)
+    np.add.at(change, begins, 1)
+    np.add.at(change, np.minimum(begins + width, n), -1)
+    return np.cumsum(change)[:-1] > 0
+
+
+def covered(streams: list[list[int]], owner: list[int], min_tokens: int, common: int = 0) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For each stream, which tokens lie in a substring of min_tokens or more that streams of two owners hold;
+    and which in one that, besides, `common` streams or more hold (0: none)."""
     sizes = [len(s) for s in streams]
     if not sum(sizes):
-        return [np.zeros(0, bool) for _ in streams]
+        return [np.zeros(0, bool) for _ in streams], [np.zeros(0, bool) for _ in streams]
     top = max((max(s) for s in streams if s), default=0)
     # Each stream ends in a token of its own, so that no repeat goes over the end.
     flat = np.concatenate([np.array([*s, top + 1 + k], np.int64) for k, s in enumerate(streams)])
-    page = np.repeat(np.array(owner), [n + 1 for n in sizes])
-    order, lcp = suffix_array(flat)
+    row = np.repeat(np.arange(len(streams)), [n + 1 for n in sizes])
+    page = np.array(owner)[row]
+    order, lcp = suffix_array(flat, min_tokens)
     run = np.cumsum(lcp < min_tokens) - 1
     first = np.flatnonzero(lcp < min_tokens)
-    low, high = np.minimum.reduceat(page[order], first), np.maximum.reduceat(page[order], first)
-    begins = order[(low != high)[run]]
-    change = np.zeros(len(flat) + 1, np.int64)
-    np.add.at(change, begins, 1)
-    np.add.at(change, np.minimum(begins + min_tokens, len(flat)), -1)
-    inside = np.cumsum(change)[:-1] > 0
+    shared = (np.minimum.reduceat(page[order], first) != np.maximum.reduceat(page[order], first))[run]
+    inside = _spread(order[shared], min_tokens, len(flat))
+    often = np.zeros(len(flat), bool)
+    if common:
+        held = np.unique(run[shared] * len(streams) + row[order[shared]]) // len(streams)
+        many = np.bincount(held, minlength=int(run[-1]) + 1) >= common
+        often = _spread(order[many[run]], min_tokens, len(flat))
     ends = np.cumsum([n + 1 for n in sizes])
-    return [inside[e - n - 1 : e - 1] for n, e in zip(sizes, ends, strict=True)]
+    return tuple([x[e - n - 1 : e - 1] for n, e in zip(sizes, ends, strict=True)] for x in (inside, often))
 
 
 def windows(texts: list[str], width: int, known: dict[str, int]) -> np.ndarray:
@@ -308,85 +355,145 @@ def windows(texts: list[str], width: int, known: dict[str, int]) -> np.ndarray:
     return total.view(np.int64)
 
 
-def settle(pages: list[tuple[int, list[tuple[int, str]]]], how: Boilerplate, shared: np.ndarray | None = None) -> list[str]:
-    """The neutral text of each page of a shard, less its boilerplate; a page is its id and its blocks that aren't
-    main; shared has the hashes of windows that other shards' pages hold too."""
+def settle(pages: list[tuple[int, list[tuple[int, str, int]]]], how: Boilerplate, host_pages: int | None = None, shared: np.ndarray | None = None, often: np.ndarray | None = None) -> list[tuple[str, int, int, int]]:
+    """For each page of a shard its text, and how many main blocks stayed though shared, neutral ones stayed, and
+    blocks outside main that are shared. A page is its id and blocks. Of a host with several shards, host_pages is its number of
+    pages; shared and often have the hashes of windows of this shard that other shards' pages hold too, and that are common."""
     names: dict[str, int] = {}
     streams = []
     for _, found in pages:
         stream = []
-        for _, text in found:
+        for _, text, _ in found:
             # 0 is a block's border, so that short blocks repeat as wholes.
             stream += [0, *(names.setdefault(w, len(names) + 1) for w in text.split())]
         streams.append([*stream, 0] if stream else [])
-    marks = covered(streams, [p for p, _ in pages], how.min_tokens)
+    # What is common on a host of several shards, its shards can't tell.
+    common = 0 if host_pages else max(how.common_pages, math.ceil(how.common_share * len(pages)))
+    marks, commons = covered(streams, [p for p, _ in pages], how.min_tokens, common)
     if shared is not None and len(shared):
         known: dict[str, int] = {}
-        for (_, found), mark in zip(pages, marks, strict=True):
-            begins = np.flatnonzero(np.isin(windows([t for _, t in found], how.min_tokens, known), shared))
-            for j in range(how.min_tokens):
-                mark[begins + j] = True
-    out = []
-    for (_, found), mark in zip(pages, marks, strict=True):
-        kept, at = [], 0
-        for kind, text in found:
-            words = text.split()
-            own = mark[at + 1 : at + 1 + len(words)]
-            at += 1 + len(words)
-            if kind == NEUTRAL and own.mean() >= how.covered:
-                words = [w for w, m in zip(words, own.tolist(), strict=True) if not m]
-            if kind == NEUTRAL and words:
-                kept.append(" ".join(words))
-        out.append(" ".join(kept))
-    return out
+        for (_, found), mark, many in zip(pages, marks, commons, strict=True):
+            hashes = windows([t for _, t, _ in found], how.min_tokens, known)
+            mark |= _spread(np.flatnonzero(np.isin(hashes, shared)), how.min_tokens, len(mark))
+            many |= _spread(np.flatnonzero(np.isin(hashes, often)), how.min_tokens, len(mark))
+    return [_text(found, mark, many, how) for (_, found), mark, many in zip(pages, marks, commons, strict=True)]
+
+
+def _text(found: list[tuple[int, str, int]], mark: np.ndarray, often: np.ndarray, how: Boilerplate) -> tuple[str, int, int, int]:
+    """A page's text of its blocks, by what of its stream is shared, and what is common; and settle's three numbers."""
+    spans, at = [], 0
+    sizes: dict[int, list[int]] = {}  # of each container's neutral blocks: tokens, shared ones
+    for kind, text, place in found:
+        words = text.split()
+        spans.append((at + 1, at + 1 + len(words)))
+        at += 1 + len(words)
+        if kind == NEUTRAL:
+            own = sizes.setdefault(place, [0, 0])
+            own[0] += len(words)
+            own[1] += int(mark[slice(*spans[-1])].sum())
+    beside = any(kind == MAIN for kind, _, _ in found)
+    bulk = None
+    if sizes and not beside:
+        bulk = max(sizes, key=lambda p: sizes[p][0])
+        if 2 * sizes[bulk][0] < sum(n for n, _ in sizes.values()):
+            bulk = None
+    kept, guarded, stayed, repeated = [], 0, 0, 0
+    for (kind, text, place), span in zip(found, spans, strict=True):
+        own = mark[slice(*span)]
+        is_shared = own.mean() >= how.covered
+        if kind == MAIN:
+            guarded += bool(is_shared)
+            kept.append(text)
+            continue
+        repeated += bool(is_shared)
+        if kind == CHROME or beside and (~own).sum() < how.min_tokens:
+            continue
+        n, n_shared = sizes[place]
+        gone = own if place != bulk and n_shared >= how.covered * n else often[slice(*span)]
+        if gone.mean() >= how.covered:
+            text = " ".join(w for w, m in zip(text.split(), gone.tolist(), strict=True) if not m)
+        if text:
+            stayed += 1
+            kept.append(text)
+    return " ".join(kept), guarded, stayed, repeated
+
+
+_PARSED = "page_id bigint, url string, host string, n_tokens bigint, asks boolean, kinds array<int>, places array<int>, texts array<string>"
+_FOUND = "page_id bigint, url string, text string, n_guarded bigint, n_neutral bigint, n_shared bigint"
 
 
 def parse(pages: DataFrame) -> DataFrame:
-    """page_id, url, host of each page; main, the text of its main blocks (null without any); kinds and texts of
-    its other blocks."""
+    """page_id, url, host of each page; its tokens, whether it has neutral blocks; and its blocks."""
     host = F.coalesce(F.regexp_extract("url", r"://([^/?#]*)", 1), F.lit(""))
 
     def run(batches):
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
-                found = [blocks(x) for x in part.column(3).to_pylist()]
-                main = [" ".join(t for k, t in f if k == MAIN) if any(k == MAIN for k, _ in f) else None for f in found]
-                kinds, texts = ([[x[i] for x in f if x[0] != MAIN] for f in found] for i in (0, 1))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in range(3)), pa.array(main, pa.string()), pa.array(kinds, pa.list_(pa.int32())), pa.array(texts, pa.list_(pa.string()))], ["page_id", "url", "host", "main", "kinds", "texts"])
+            for part in common.parts(batch, 3, 1 << 20):
+                found = [placed(None if x is None else x.decode("utf-8", "replace")) for x in common.byte_texts(part.column(3))]
+                tokens = [sum(t.count(" ") + 1 for _, t, _ in f) for f in found]
+                asks = [any(k == NEUTRAL for k, _, _ in f) for f in found]
+                kinds, texts, places = ([[x[i] for x in f] for f in found] for i in (0, 1, 2))
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(c) for c in range(3)), pa.array(tokens, pa.int64()), pa.array(asks, pa.bool_()), pa.array(kinds, pa.list_(pa.int32())), pa.array(places, pa.list_(pa.int32())), pa.array(texts, pa.list_(pa.string()))],
+                    [c.split()[0] for c in _PARSED.split(", ")],
+                )
 
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), host.alias("host"), F.col("html").cast("string").alias("html"))
-    return common.map_arrow(rows, run, "page_id bigint, url string, host string, main string, kinds array<int>, texts array<string>")
+    return common.map_arrow(rows, run, _PARSED)
+
+
+def _dealt(parsed: DataFrame, how: Boilerplate) -> DataFrame:
+    """parsed with shards and host_pages (1 and null for a host of one shard), whether the host has neutral blocks, and the page's shard."""
+    sums = parsed.groupBy("host").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("host_pages"), F.bool_or("asks").alias("host_asks"))
+    large = common.cut(sums.where(F.col("n") > how.shard_tokens).select("host", F.ceil(F.col("n") / how.shard_tokens).alias("shards"), "host_pages", "host_asks"))
+    if large.limit(how.lookup_rows + 1).count() <= how.lookup_rows:
+        joined = parsed.join(F.broadcast(large), "host", "left")
+    else:
+        # A host's pages are salted, and the merge join's two exchanges let Spark split what is still large.
+        salted = large.withColumn("salt", F.explode(F.array(*map(F.lit, range(how.salts)))))
+        joined = parsed.withColumn("salt", F.pmod(F.hash("page_id", "url"), F.lit(how.salts))).join(salted.hint("merge"), ["host", "salt"], "left").drop("salt")
+    shard = F.when(F.col("shards").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("page_id", "url"), F.col("shards")))
+    return joined.withColumn("shard", shard.cast("bigint"))
 
 
-def without_repeats(parsed: DataFrame, how: Boilerplate = Boilerplate()) -> DataFrame:
-    """page_id, url, text of the pages without main blocks. All pages' other blocks are evidence, so those alone
-    are shuffled: no page's main text is."""
-    # Hosts are counted by partial sums; each is dealt into as many shards as it needs. Looking a host's number up,
-    # its pages are salted, and the merge join's two exchanges let Spark split what is still large.
-    needed = parsed.groupBy("host").agg(F.ceil(F.count("*") / how.shard_pages).alias("shards"), F.max(F.col("main").isNull()).alias("needed")).where("needed").drop("needed")
-    sizes = needed.withColumn("salt", F.explode(F.array(*map(F.lit, range(how.salts)))))
-    open_ = parsed.select("host", "page_id", "url", "kinds", "texts", F.col("main").isNull().alias("open"), F.pmod(F.hash("page_id", "url"), F.lit(how.salts)).alias("salt"))
-    joined = open_.join(sizes.hint("merge"), ["host", "salt"]).withColumn("shard", F.pmod(F.xxhash64("page_id", "url"), F.col("shards")))
-    # Read twice, by the count of windows and by the shards; without this each would parse the pages again.
-    dealt = common.cut(joined.select("host", "shard", "shards", "page_id", "url", "kinds", "texts", "open"))
+def _evidence(dealt: DataFrame, how: Boilerplate) -> DataFrame:
+    """host, shard, and the hashes of that shard's windows in blocks to be decided that other pages of the host
+    hold too, with which of them are common. Of hosts with several shards, and with such blocks."""
+    rows = dealt.where("host_asks").select("host", "shard", F.coalesce("page_id", F.lit(-1)).alias("page"), "host_pages", "kinds", "texts")
 
     def counted(batches):
         for batch in batches:
             known: dict[str, int] = {}
             for a in range(0, batch.num_rows, 64):
                 part = batch.slice(a, 64)
-                found = [np.unique(windows(t, how.min_tokens, known)) for t in part.column(4).to_pylist()]
-                at = np.repeat(np.arange(part.num_rows), [len(x) for x in found])
-                yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(at)) for c in range(4)), pa.array(np.concatenate(found))], ["host", "shard", "page", "open", "window"])
-
-    # Partial sums by shard, so a notice on all pages of a hot host is a row of each shard; the shards that ask
-    # for a window are those that have it on an open page.
-    page = F.coalesce("page_id", F.lit(-1)).alias("page")
-    each = common.map_arrow(dealt.where("shards > 1").select("host", "shard", page, "open", "texts"), counted, "host string, shard bigint, page bigint, open boolean, window bigint")
-    sums = each.groupBy("host", "window").agg(F.min("page").alias("low"), F.max("page").alias("high"), F.collect_set(F.when(F.col("open"), F.col("shard"))).alias("asking"))
-    repeated = sums.where("low < high").select("host", F.explode("asking").alias("shard"), "window")
-    evidence = repeated.groupBy("host", "shard").agg(F.collect_list("window").alias("windows"))
+                at, hashes, asks = [], [], []
+                for k, (kinds, texts) in enumerate(zip(part.column(4).to_pylist(), part.column(5).to_pylist(), strict=True)):
+                    found = windows(texts, how.min_tokens, known)
+                    # The tokens that are to be decided, borders not.
+                    own = np.concatenate([[0], *([0, *[int(kind == NEUTRAL)] * len(t.split())] for kind, t in zip(kinds, texts, strict=True)), [0]])
+                    run = np.cumsum(own)
+                    asked = run[how.min_tokens : how.min_tokens + len(found)] > run[: len(found)]
+                    found, back = np.unique(found, return_inverse=True)
+                    at.append(np.full(len(found), k))
+                    hashes.append(found)
+                    asks.append(np.bincount(back, weights=asked, minlength=len(found)) > 0)
+                at = pa.array(np.concatenate(at))
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(at) for c in range(4)), pa.array(np.concatenate(hashes)), pa.array(np.concatenate(asks))], ["host", "shard", "page", "host_pages", "window", "asks"])
+
+    each = common.map_arrow(rows, counted, "host string, shard bigint, page bigint, host_pages bigint, window bigint, asks boolean")
+    # Partial sums by shard, so a notice on all pages of a hot host is a row of each shard.
+    by_shard = each.groupBy("host", "shard", "window").agg(F.count("*").alias("n"), F.min("page").alias("low"), F.max("page").alias("high"), F.bool_or("asks").alias("asks"), F.max("host_pages").alias("host_pages"))
+    sums = by_shard.groupBy("host", "window").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.bool_or("asks").alias("asked"), F.max("host_pages").alias("host_pages"))
+    many = F.col("n") >= F.greatest(F.lit(how.common_pages), F.ceil(F.lit(how.common_share) * F.col("host_pages")))
+    shared = sums.where("asked AND low < high").select("host", "window", many.alias("many"))
+    found = by_shard.where("asks").select("host", "shard", "window").join(shared, ["host", "window"])
+    return found.groupBy("host", "shard").agg(F.collect_list("window").alias("windows"), F.collect_list(F.when(F.col("many"), F.col("window"))).alias("often"))
+
+
+def decide(parsed: DataFrame, how: Boilerplate = Boilerplate()) -> DataFrame:
+    """The pages of a table of parse, in the columns of _FOUND."""
+    dealt = _dealt(parsed, how)
+    rows = dealt.select("host", "shard", "host_pages", "page_id", "url", "kinds", "places", "texts")
 
     def shard(batches):
         held = None
@@ -404,27 +511,26 @@ def without_repeats(parsed: DataFrame, how: Boilerplate = Boilerplate()) -> Data
                 part = held.slice(a, b - a)
                 # The shard's evidence, if it has any, is a row of its own.
                 own = part["windows"].is_valid()
-                shared = part.filter(own)["windows"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+                shared, often = (part.filter(own)[c].combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("windows", "often"))
                 part = part.filter(pc.invert(own))
                 if not part.num_rows:
                     continue
-                found = [list(zip(k, t, strict=True)) for k, t in zip(part["kinds"].to_pylist(), part["texts"].to_pylist(), strict=True)]
+                found = [list(zip(k, t, p, strict=True)) for k, t, p in zip(part["kinds"].to_pylist(), part["texts"].to_pylist(), part["places"].to_pylist(), strict=True)]
                 owner = [-1 if x is None else x for x in part["page_id"].to_pylist()]
-                texts = pa.array(settle(list(zip(owner, found, strict=True)), how, shared), pa.string())
-                out = pa.RecordBatch.from_arrays([part["page_id"].combine_chunks(), part["url"].combine_chunks(), texts], ["page_id", "url", "text"])
-                yield out.filter(part["open"].combine_chunks())
+                out = settle(list(zip(owner, found, strict=True)), how, part["host_pages"][0].as_py(), shared, often)
+                yield pa.RecordBatch.from_arrays([part["page_id"].combine_chunks(), part["url"].combine_chunks(), pa.array([x[0] for x in out], pa.string()), *(pa.array([x[k] for x in out], pa.int64()) for k in (1, 2, 3))], [c.split()[0] for c in _FOUND.split(", ")])
             held = held.slice(starts[-1])
 
-    rows = dealt.drop("shards").unionByName(evidence, allowMissingColumns=True)
-    ordered = rows.repartition("host", "shard").sortWithinPartitions("host", "shard")
-    return common.map_arrow(ordered, shard, "page_id bigint, url string, text string")
+    both = rows.unionByName(_evidence(dealt, how), allowMissingColumns=True)
+    ordered = both.repartition("host", "shard").sortWithinPartitions("host", "shard")
+    return common.map_arrow(ordered, shard, _FOUND)
 
 
 def extract(pages: DataFrame, how: Boilerplate = Boilerplate()) -> DataFrame:
-    """page_id, url, text, n_chars of each row of pages (page_id, url, html)."""
-    parsed = parse(pages)
-    sure = parsed.where(F.col("main").isNotNull()).select("page_id", "url", F.col("main").alias("text"))
-    return sure.unionByName(without_repeats(parsed, how)).withColumn("n_chars", F.length("text").cast("bigint"))
+    """page_id, url, text, n_chars of each row of pages (page_id, url, html); and n_guarded, n_neutral, n_shared: main
+    blocks that stayed though shared, other blocks that stayed, and blocks outside main that are shared."""
+    found = decide(common.written(parse(pages)), how)
+    return found.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"), "n_guarded", "n_neutral", "n_shared")
 
 
 def _then_none(batches):
