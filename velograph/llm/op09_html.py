@@ -36,6 +36,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -418,13 +419,18 @@ def _text(found: list[tuple[int, str, int]], mark: np.ndarray, often: np.ndarray
     return " ".join(kept), guarded, stayed, repeated
 
 
-_PARSED = "page_id bigint, url string, host string, n_tokens bigint, asks boolean, kinds array<int>, places array<int>, texts array<string>"
+_PARSED = "page_id bigint, url string, host string, n_tokens bigint, asks boolean, kinds array<int>, places array<int>, texts string"
 _FOUND = "page_id bigint, url string, text string, n_guarded bigint, n_neutral bigint, n_shared bigint"
 
 
+def _split(texts: str | None) -> list[str]:
+    """The texts of a page's blocks, which the table has in one: a block's text has no line end."""
+    return texts.split("\n") if texts else []
+
+
 def parse(pages: DataFrame) -> DataFrame:
     """page_id, url, host of each page; its tokens, whether it has neutral blocks; and its blocks."""
-    host = F.coalesce(F.regexp_extract("url", r"://([^/?#]*)", 1), F.lit(""))
+    host = F.coalesce(F.regexp_extract(F.make_valid_utf8(F.col("url").cast("string")), r"://([^/?#]*)", 1), F.lit(""))
 
     def run(batches):
         for batch in batches:
@@ -434,7 +440,7 @@ def parse(pages: DataFrame) -> DataFrame:
                 asks = [any(k == NEUTRAL for k, _, _ in f) for f in found]
                 kinds, texts, places = ([[x[i] for x in f] for f in found] for i in (0, 1, 2))
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in range(3)), pa.array(tokens, pa.int64()), pa.array(asks, pa.bool_()), pa.array(kinds, pa.list_(pa.int32())), pa.array(places, pa.list_(pa.int32())), pa.array(texts, pa.list_(pa.string()))],
+                    [*(part.column(c) for c in range(3)), pa.array(tokens, pa.int64()), pa.array(asks, pa.bool_()), pa.array(kinds, pa.list_(pa.int32())), pa.array(places, pa.list_(pa.int32())), pa.array(["\n".join(x) if x else None for x in texts], pa.string())],
                     [c.split()[0] for c in _PARSED.split(", ")],
                 )
 
@@ -467,7 +473,7 @@ def _evidence(dealt: DataFrame, how: Boilerplate) -> DataFrame:
             for a in range(0, batch.num_rows, 64):
                 part = batch.slice(a, 64)
                 at, hashes, asks = [], [], []
-                for k, (kinds, texts) in enumerate(zip(part.column(4).to_pylist(), part.column(5).to_pylist(), strict=True)):
+                for k, (kinds, texts) in enumerate(zip(part.column(4).to_pylist(), map(_split, part.column(5).to_pylist()), strict=True)):
                     found = windows(texts, how.min_tokens, known)
                     # The tokens that are to be decided, borders not.
                     own = np.concatenate([[0], *([0, *[int(kind == NEUTRAL)] * len(t.split())] for kind, t in zip(kinds, texts, strict=True)), [0]])
@@ -493,7 +499,16 @@ def _evidence(dealt: DataFrame, how: Boilerplate) -> DataFrame:
 def decide(parsed: DataFrame, how: Boilerplate = Boilerplate()) -> DataFrame:
     """The pages of a table of parse, in the columns of _FOUND."""
     dealt = _dealt(parsed, how)
-    rows = dealt.select("host", "shard", "host_pages", "page_id", "url", "kinds", "places", "texts")
+    schema = "host string, shard bigint, host_pages bigint, page_id bigint, url string, kinds array<int>, places array<int>, texts binary"
+
+    def packed(batches):
+        pack = zstandard.ZstdCompressor()
+        for batch in batches:
+            texts = pa.array([None if x is None else pack.compress(x) for x in common.byte_texts(batch.column(7))], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:7], texts], batch.schema.names)
+
+    # Compressed for the shuffle, which is most of what lies on disk.
+    rows = common.map_arrow(dealt.select(*[c.split()[0] for c in schema.split(", ")]), packed, schema)
 
     def shard(batches):
         held = None
@@ -515,7 +530,7 @@ def decide(parsed: DataFrame, how: Boilerplate = Boilerplate()) -> DataFrame:
                 part = part.filter(pc.invert(own))
                 if not part.num_rows:
                     continue
-                found = [list(zip(k, t, p, strict=True)) for k, t, p in zip(part["kinds"].to_pylist(), part["texts"].to_pylist(), part["places"].to_pylist(), strict=True)]
+                found = [list(zip(k, t, p, strict=True)) for k, t, p in zip(part["kinds"].to_pylist(), (_split(zstandard.decompress(x).decode() if x else None) for x in part["texts"].to_pylist()), part["places"].to_pylist(), strict=True)]
                 owner = [-1 if x is None else x for x in part["page_id"].to_pylist()]
                 out = settle(list(zip(owner, found, strict=True)), how, part["host_pages"][0].as_py(), shared, often)
                 yield pa.RecordBatch.from_arrays([part["page_id"].combine_chunks(), part["url"].combine_chunks(), pa.array([x[0] for x in out], pa.string()), *(pa.array([x[k] for x in out], pa.int64()) for k in (1, 2, 3))], [c.split()[0] for c in _FOUND.split(", ")])
