@@ -316,12 +316,63 @@ def test_chat_escapes_and_reads_back(spark):
         assert not any(c in op07_chat.escape(x) for c in op07_chat.CONTROL)
     rows = [(1, 2, "assistant", nasty[3]), (1, 1, "user", nasty[0]), (None, None, None, None), (1, 3, "assistant", nasty[5]), (2, 1, "system<s>", nasty[6]), (1, 3, "assistant", nasty[5])]
     turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
-    got = {r.conv_id: r for r in op07_chat.digests(op07_chat.format_turns(turns)).collect()}
+    encoded = op07_chat.format_turns(turns)
+    got = {r.conv_id: r for r in op07_chat.digests(op07_chat.assemble(encoded)).collect()}
+    for n in (1, 2, 3):
+        how = op07_chat.Template(piece_turns=n)
+        assert {r.conv_id: r for r in op07_chat.digests(op07_chat.assemble(encoded, how), how).collect()} == got
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
     assert got[1].n_turns == 4 and got[1].turns_sha256 == sha(f"user\n{nasty[0]}\nassistant\n{nasty[3]}\nassistant\n{nasty[5]}\nassistant\n{nasty[5]}\n")
     assert got[1].loss_sha256 == sha(nasty[3] + 2 * nasty[5]) and got[1].loss_chars == len(nasty[3] + 2 * nasty[5])
     assert got[2].turns_sha256 == sha(f"system<s>\n{nasty[6]}\n") and got[2].loss_chars == 0
-    assert got[None].turns_sha256 == sha("\n\n") and op07_chat.digests(op07_chat.format_turns(turns.where("false"))).count() == 0
+    assert got[None].turns_sha256 == sha("\n\n") and op07_chat.digests(op07_chat.assemble(op07_chat.format_turns(turns.where("false")))).count() == 0
+    whole = lambda turns: sum(len(op07_chat.escape(x)) for t in turns for x in t) + len("<|turn|><|text|><|end|>") * len(turns) + len("<s></s>")
+    assert got[1].formatted_chars == whole([("user", nasty[0]), ("assistant", nasty[3]), ("assistant", nasty[5]), ("assistant", nasty[5])]) and got[None].formatted_chars == whole([("", "")])
+
+
+def test_chat_ids_and_mask(spark):
+    """A conversation's ids and mask by plain concatenation; and an id or a mask changed anywhere shows."""
+    rows = [(1, 1, "user", "hi there"), (1, 2, "assistant", ""), (1, 3, "assistant", "all <s> well \\"), (2, 1, "assistant", "x")]
+    turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    data = op07_chat.load()
+    tok, ids = op07_chat._tokenizer(data), op07_chat.reserved(data)
+    assert min(ids.values()) == max(tok.get_vocab().values()) + 1
+    with pytest.raises(ValueError):
+        op07_chat.reserved(data, op07_chat.Template(first_reserved=50_000))
+    how = op07_chat.Template(piece_turns=2)
+    pieces = sorted(op07_chat.assemble(op07_chat.format_turns(turns, how), how).collect(), key=lambda r: (r.conv_id, r.first))
+    for conv in (1, 2):
+        want, mask = [ids["<s>"]], [False]
+        for c, _, role, text in rows:
+            if c == conv:
+                code = [tok.encode(op07_chat.escape(x), add_special_tokens=False).ids for x in (role, text)]
+                want += [ids["<|turn|>"], *code[0], ids["<|text|>"], *code[1], ids["<|end|>"]]
+                mask += [False] * (2 + len(code[0])) + [role == "assistant"] * len(code[1]) + [False]
+        own = [r for r in pieces if r.conv_id == conv]
+        assert [x for r in own for x in r.ids] == [*want, ids["</s>"]] and [x for r in own for x in r.mask] == [*mask, False]
+        assert [r.first for r in own] == [0, *np.cumsum([len(r.ids) for r in own])[:-1].tolist()]
+
+        def read(ids_, mask_):
+            reader = op07_chat.Reader(tok, ids)
+            assert reader.add(np.array(ids_, np.int32), np.array(mask_, bool))
+            return reader.row()
+
+        plain, mask = [*want, ids["</s>"]], [*mask, False]
+        right = read(plain, mask)
+        for k in range(len(plain)):
+            other = plain.copy()
+            other[k] = 70 if plain[k] != 70 else 71
+            try:
+                assert read(other, mask) != right, k
+            except (ValueError, AssertionError) as e:
+                assert plain[k] in ids.values(), e
+            if plain[k] not in ids.values() and tok.decode([plain[k]]) != "\\":  # an escape without which the text is the same
+                assert read(plain, [m != (i == k) for i, m in enumerate(mask)]) != right, k
+
+
+def test_chat_of_bytes_that_are_no_text(spark):
+    turns = spark.sql("SELECT 1L AS conv_id, 1L AS turn, CAST(X'61FF' AS STRING) AS role, CAST(X'C3' AS STRING) AS text")
+    assert op07_chat.digests(op07_chat.assemble(op07_chat.format_turns(turns))).first().turns_sha256 == hashlib.sha256("a\ufffd\n\ufffd\n".encode()).hexdigest()
 
 
 def test_license_sequences(spark):
