@@ -94,8 +94,29 @@ def test_round_trip_and_seed(spark):
     assert sorted(set(out[out.doc_id == 0].decoded)) == [texts[0]]
     assert out[out.doc_id == 1].n_tokens.tolist() == [0] == out[out.doc_id == 2].n_tokens.tolist()
     again = op01_sentencepiece.encode(docs.repartition(3)).toPandas()
-    key = lambda d: sorted(zip(d.doc_id.fillna(-1), d.sample_no, map(tuple, d.ids), strict=True))
+    key = lambda d: sorted(zip(d.doc_id.fillna(-1), d.sample_no, map(tuple, d.ids), d.log_prob, d.log_inclusion, strict=True))
     assert key(out) == key(again)
+    odd = op01_sentencepiece.decode(op01_sentencepiece.encode(spark.sql("SELECT 1L AS doc_id, CAST(X'61FF62' AS STRING) AS text"))).collect()
+    assert all(r.round_trip and r.decoded == "a\ufffdb" for r in odd)
+
+
+def test_scores_are_the_same_in_every_bit(spark):
+    """However a table is cut into batches: samples, their log probabilities and inclusion scores."""
+    rows = duckdb.sql(f"SELECT doc_id, text FROM '{SF}/documents.parquet' ORDER BY doc_id").fetchall()
+    texts = [None if t is None else t.encode() for _, t in rows]
+    keys, lex, how = np.array([2 * i + 1 for i, _ in rows], np.uint64), op01_sentencepiece.load(), op01_sentencepiece.Sampling(k=3)
+
+    def cut(size):
+        out = {}
+        for a in range(0, len(texts), size):
+            x = op01_sentencepiece.encode_batch(texts[a : a + size], keys[a : a + size], lex, how)
+            e = np.cumsum(x["n_tokens"])
+            for r, k, i, j, *scores in zip(x["row"], x["sample_no"], e - x["n_tokens"], e, x["log_prob"], x["log_inclusion"], strict=True):
+                out[a + int(r), int(k)] = (x["ids"][i:j].tobytes(), *map(float, scores))
+        return out
+
+    whole = cut(len(texts))
+    assert whole == cut(23) == cut(1)
 
 
 def test_library_agrees_on_pieces():

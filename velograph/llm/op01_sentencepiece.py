@@ -10,14 +10,17 @@ open is the threshold: with it, a sample's inclusion score is log(1 - exp(-exp(l
 and 0 where the lattice has no more paths.
 
 The noise is a hash of the row key, the sample and the place, so a row gives the same samples wherever it
-is read. Pieces don't reach across a word's start, so the lattice is built once for each distinct word of
+is read, with the same scores in every bit. Pieces don't reach across a word's start, so the lattice is built once for each distinct word of
 a batch and shared by its occurrences, in numpy; a long text is one more text, and a task holds
 `slice_bytes` of text (one text at least) at a time.
 
 Piece scores of a unigram model are log probabilities; those of a BPE model are ranks, which are taken as
 Zipf weights. Characters out of the vocabulary are spelled in byte pieces. A null or empty text has one
 segmentation, the empty one. U+2581 in a text is spelled in bytes too, so decoding gives the exact text.
-A null doc_id has a key like any other. Repeated rows give repeated, equal samples.
+A null doc_id has a key like any other. Repeated rows give repeated, equal samples, and texts of one id share their
+noise. Equal open nodes are taken in order of path and place. A text longer than `slice_bytes` is a slice of its own. An empty
+table gives none. Bytes that are no UTF-8 are read as U+FFFD, and the round trip is of what was read. Other columns of
+the table, whatever their names, aren't read.
 """
 
 from __future__ import annotations
@@ -232,10 +235,12 @@ class Lattice:
         self.piece[at], self.to[at], self.cond[at] = piece, target, lex.weight[piece] + back[target] - back[begin]
         share = np.exp(self.cond)
         starts = self.first[1:-1]
-        run = np.cumsum(share)
         held = np.diff(self.first)[1:]
-        before = np.concatenate([[0.0], run])[starts] if len(starts) else np.zeros(0)
-        run -= np.repeat(before, held)
+        # Added up place by place, so that rounding doesn't depend on what else is in the batch.
+        run = share.copy()
+        for k in range(1, int(held.max(initial=0))):
+            more = starts[held > k] + k
+            run[more] += run[more - 1]
         with np.errstate(divide="ignore"):
             rest = np.log(np.maximum(np.repeat(np.add.reduceat(share, starts), held) - share, 0)) if len(starts) else np.zeros(0)
         # An edge that holds nearly all leaves a difference too rough: there the others are added up.
@@ -356,15 +361,20 @@ def sample(lat: Lattice, units: np.ndarray, offset: np.ndarray, keys: np.ndarray
         own = ragged(off[:-1] + owned_from, sizes - owned_from)
         own_off = np.concatenate([[0], np.cumsum(sizes - owned_from)])
         own_edge = edge[own]
-        run = np.concatenate([[0.0], np.cumsum(lat.cond[own_edge])])
-        prefix = run[:-1] + np.repeat(before - run[own_off[:-1]], np.diff(own_off))
+        # Added up document by document, so that scores are the same in every bit whatever the batch.
+        cond = lat.cond[own_edge]
+        prefix, log_prob = np.empty(len(own)), before.astype(np.float64)
+        for d, (a, b) in enumerate(zip(own_off[:-1].tolist(), own_off[1:].tolist(), strict=True)):
+            if b > a:
+                run = np.cumsum(np.concatenate([before[d : d + 1], cond[a:b]]))
+                prefix[a:b], log_prob[d] = run[:-1], run[-1]
         rest = lat.rest[own_edge]
         live = np.flatnonzero(rest > -np.inf)
         row = np.repeat(np.arange(len(docs)), np.diff(own_off))[live]
         opened = np.full(len(own), -np.inf)
         opened[live] = cut_gumbel(prefix[live] + rest[live], bound[row], uniform(keys[docs[row]], 7 + number_of, own[live] - off[row]))
         paths.append(_Paths(docs, edge, occ, off, own, own_off, prefix, opened))
-        out.append({"docs": docs, "offset": off, "edge": edge, "log_prob": before + run[own_off[1:]] - run[own_off[:-1]], "perturbed": bound})
+        out.append({"docs": docs, "offset": off, "edge": edge, "log_prob": log_prob, "perturbed": bound})
 
     who, edge = _walk(lat, begin, keys[unit_doc], 3, number)
     settle(np.arange(n_docs), edge, who, np.zeros(n_docs, np.int64), np.zeros(n_docs), root)
@@ -402,7 +412,7 @@ def sample(lat: Lattice, units: np.ndarray, offset: np.ndarray, keys: np.ndarray
             for t, e in zip(token.tolist(), chosen.tolist(), strict=True):
                 p.taken[t].append(e)
             with np.errstate(divide="ignore"):
-                mu = p.prefix[node] + np.log(free.sum(axis=1))
+                mu = p.prefix[node] + np.log(np.cumsum(free, axis=1)[:, -1])
             p.open[node] = cut_gumbel(mu, best[docs[mine]], uniform(keys[docs[mine]], 11, j))
         # The tokens before the node, the chosen edge, the rest of its unit, the units after.
         later = ragged(node_occ + 1, offset[docs + 1] - node_occ - 1)
@@ -500,7 +510,7 @@ def encode_batch(texts: list[bytes | None], keys: np.ndarray, lex: Lexicon, how:
         scores.append(score + 0.0)
         counts.append(np.diff(run))
         ids.append(own)
-        trips += [packed[a + 1 : b] == (texts[d] or b"") for d, a, b in zip(s["docs"].tolist(), d_run, d_run[1:], strict=False)]
+        trips += [packed[a + 1 : b] == (texts[d] or b"") or packed[a + 1 : b] == (texts[d] or b"").decode("utf-8", "replace").encode() for d, a, b in zip(s["docs"].tolist(), d_run, d_run[1:], strict=False)]
     return {"row": np.concatenate(rows), "sample_no": np.concatenate(numbers), "log_prob": np.concatenate(logs), "log_inclusion": np.concatenate(scores), "n_tokens": np.concatenate(counts), "ids": np.concatenate(ids), "round_trip": np.array(trips, bool)}
 
 
