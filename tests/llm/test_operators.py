@@ -668,10 +668,86 @@ def test_quality_rejects_texts_without_common_words(spark):
     extra = spark.createDataFrame([(-1, salad, "en"), (-2, salad, None)], "doc_id bigint, text string, lang string")
     both = docs.unionByName(extra)
     got = both.select("doc_id", op10_quality.judge(both).alias("r")).select("doc_id", "r.*").toPandas().set_index("doc_id")
-    assert not got.base_failed[[-1, -2]].any() and (got.class_distance[[-1, -2]] <= op10_quality.Rules().class_limit).all() and not got.kept[[-1, -2]].any()
+    model = op10_quality.references(both)
+    of_word = model.limits[model.langs.index("en")][1]
+    assert not got.base_failed[[-1, -2]].any() and (got.word_distance[[-1, -2]] > of_word).all() and not got.kept[[-1, -2]].any()
+    assert not model.kept(0, 0.0, 0.36, 0.36) and model.kept(0, 0.0, 0.3, 0.3) and not model.kept(0, 0.0, 0.3, 0.1)
     good = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("quality = 1").toPandas().doc_id
     good = got.loc[good]
-    assert good[~good.base_failed & (good.class_distance.fillna(0) <= 0.27)].kept.all()
+    assert good[~good.base_failed].kept.all()
+
+
+def _plain_kept(rows, rules):
+    """kept of (text, lang) rows, by plain counts, distances and sorted lists of them."""
+
+    def words_of(text):
+        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+
+    def class_of(c):
+        if "a" <= c <= "z" or "A" <= c <= "Z":
+            return "lower" if c >= "a" else "upper"
+        if "0" <= c <= "9":
+            return None
+        return "space" if c in " \t\n\x0b\x0c\r" else "stop" if c in ".,;:'\"-()?" else "symbol" if c in "#*$%&|<>!@^~\\_={}[]`+/" else "beyond" if c > "\x7f" else "other"
+
+    def js(p, q):
+        keys = set(p) | set(q)
+        half = lambda a, b: sum(a[k] * math.log2(a[k] / ((a[k] + b.get(k, 0)) / 2)) for k in keys if a.get(k, 0) > 0)
+        return math.sqrt(max(0, min(1, (half(p, q) + half(q, p)) / 2)))
+
+    share = lambda counts: {k: v / sum(counts.values()) for k, v in counts.items()}
+    kinds = [Counter(k for c in t or "" if (k := class_of(c))) for t, _ in rows]
+    tokens = [words_of(t or "") for t, _ in rows]
+    langs = sorted(k for k, n in Counter(x for _, x in rows if x is not None).items() if n >= rules.min_docs)
+    lists = {}
+    for k in langs:
+        often = Counter(w for (_, x), ws in zip(rows, tokens, strict=True) if x == k for w in ws)
+        lists[k] = rules.common_words.get(k) or sorted(often, key=lambda w: (often[w], w), reverse=True)[: rules.n_common]
+    known = {w for ws in lists.values() for w in ws}
+    texts = [Counter(w if w in known else "" for w in ws) for ws in tokens]
+    long_ = lambda i: (sum(kinds[i].values()) >= rules.class_min_chars, len(tokens[i]) >= rules.word_min_words)
+
+    def mean(found):
+        keys = {k for f in found for k in f}
+        return {k: sum(f.get(k, 0) for f in found) / len(found) for k in keys} if found else None
+
+    refs = [{k: mean([share(x[i]) for i, (_, own) in enumerate(rows) if own == k and long_(i)[kind]]) for k in langs} for kind, x in enumerate((kinds, texts))]
+    far = [[{k: js(share(x[i]), r) for k, r in refs[kind].items() if r} if rows[i][0] and long_(i)[kind] else {} for i in range(len(rows))] for kind, x in enumerate((kinds, texts))]
+    limits = {}
+    for k in langs:
+        limits[k] = []
+        for kind, fence in enumerate((rules.class_fence, rules.word_fence)):
+            d = sorted(int(far[kind][i][k] * 1000) for i, (_, own) in enumerate(rows) if own == k and k in far[kind][i])
+            low, high = ((d[math.ceil(q * len(d)) - 1] + 1) / 1000 for q in (0.25, 0.75)) if d else (0, math.inf)
+            limits[k].append(high + max(fence * (high - low), rules.least))
+        if refs[1][k]:
+            limits[k][1] = min(limits[k][1], rules.word_reach * js({"": 1.0}, refs[1][k]))
+    out = []
+    for i, (text, own) in enumerate(rows):
+        by = far[1][i] or far[0][i]
+        k = own if own is not None else min(by, key=by.get) if by else None
+        verdict = k not in langs or all(far[kind][i].get(k, 0) <= limits[k][kind] for kind in (0, 1)) and (k not in far[1][i] or far[1][i][k] - min(far[1][i].values()) <= rules.foreign)
+        out.append(verdict and not _base(text)[5])
+    return out
+
+
+def test_quality_kept_by_brute_force(spark):
+    rows = [(k, t, x) for k, (t, x) in enumerate(duckdb.sql("SELECT text, CASE WHEN doc_id % 37 > 0 THEN lang END FROM '/root/testdata/sf0.01/documents.parquet' ORDER BY doc_id").fetchall())]
+    rng = np.random.default_rng(8)
+    some = ["casa", "vento", "quale", "sempre", "della", "nostro", "perso", "tempo", "lungo", "strada"]
+    rows += [(2000 + k, ". ".join(" ".join(rng.choice(some, 9)).capitalize() + f" n{k}x{j}" for j in range(20)), "it") for k in range(60)]
+    rows += [(3000 + k, t, "en") for k, t, x in rows if x == "de"] + [(5000, rows[0][1], "xx"), (5001, None, "en"), (5002, " ".join(f"q{j}" for j in range(300)), "it"), (5003, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = {r.doc_id: r.kept for r in docs.select("doc_id", op10_quality.judge(docs)["kept"].alias("kept")).collect()}
+    want = dict(zip((r[0] for r in rows), _plain_kept([r[1:] for r in rows], op10_quality.Rules()), strict=True))
+    assert got == want
+    long_ = [k for k, t, _ in rows if 3000 <= k < 5000 and len(t.split()) > 110 and not _base(t)[5]]
+    assert len(long_) > 80 and sum(got[k] for k in long_) <= 0.03 * len(long_) and not got[5002] and got[5000] == got[0]
+
+
+def test_quality_of_bytes_that_are_no_text(spark):
+    docs = spark.sql("SELECT CAST(X'61FF62C320E282' AS STRING) AS text, CAST(X'FF' AS STRING) AS lang")
+    assert docs.select(op10_quality.judge(docs).alias("r")).first().r.word_chars == 5
 
 
 def test_quality_of_another_language_with_enough_documents(spark):
@@ -686,4 +762,4 @@ def test_quality_of_another_language_with_enough_documents(spark):
     assert not got.base_failed[[-100, -101, -102, -103]].any()
     assert got.kept[[-100, -101, -102, -103]].tolist() == [False, False, True, False]
     good = got.loc[list(range(-60, 0))]
-    assert (good.kept == ~good.base_failed).all() and good.kept.sum() > 30 and good.word_distance.isna().all()
+    assert (good.kept == ~good.base_failed).all() and good.kept.sum() > 30 and good.word_distance.notna().all()

@@ -1,17 +1,22 @@
 """Quality rules: counts over words and lines, and the divergence of a document from its language.
 
-A language's reference is the mean histogram of its documents, over all documents of the
-corpus. A document fails if its Jensen-Shannon distance from every reference is over the
-limit, for character classes or for common words. The limit for common words is a share of the distance
-that a text without any common word has from the reference: the corpus sets it, so it is always in reach.
-Texts under the minimum lengths are not
-compared: a few words say nothing about a distribution. The languages with a list of common words are references to
-all documents, whichever is nearest. Another language with `min_docs` documents or more has a reference of
-character classes, for its own documents, which aren't compared by words. Documents of a language
-with neither are left to the base rule.
+Every language (value of `lang`) with `min_docs` documents or more has a reference: the mean histogram of its
+documents, over all of them that are long enough, of character classes and of common words. The common words of some
+languages are listed; those of the others are their own `n_common` most frequent words. A document fails if its
+Jensen-Shannon distance from its own language's reference is over the limit, for character classes or for common words.
+Limits come from the language's own documents: the upper quartile of their distances, and so many
+interquartile ranges more; that for common words stays under `word_reach` of the distance that a text
+without any of them has, so it is always in reach. A document also fails if another language's reference is nearer by words
+by more than `foreign`. Texts under the minimum lengths are not
+compared: a few words say nothing about a distribution. A document without `lang` is compared with the nearest
+reference by words (by classes, if too short; of equal ones the first by name), and one of a language without reference is left to
+the base rule.
 
 Null and empty texts have no words, so the base rule rejects them. Repeated rows are judged one
-by one, alike. An empty corpus gives no reference, so only the base rule holds.
+by one, alike, and count each. An empty corpus gives no reference, so only the base rule holds. A text of any
+length is read whole, in time that grows with its length. Bytes that are no UTF-8 count as a character each where no character
+begins before. Equal distances are equal verdicts: a limit itself still passes. Other columns, whatever their
+names, aren't read.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from velograph.llm import common
@@ -36,22 +41,28 @@ COMMON_WORDS = {
 }
 #: Digits are left out: a telephone number in a short text says nothing about its prose.
 CLASSES = ("lower", "upper", "space", "stop", "symbol", "other", "beyond")
-#: Of a document, and last its distance from each reference without a word list.
 _STRUCT = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean, class_distance double, word_distance double"
-_OTHERS = "others array<double>"
+#: Parts of a whole to which shares are rounded, so that sums are the same in any order.
+_ONE = 1 << 20
+#: Of distances, for their quartiles.
+_BINS = 1000
 
 
 @dataclass(frozen=True)
 class Rules:
     min_words: int = 10
     max_repeat_percent: int = 20
-    class_limit: float = 0.27
-    #: Of the distance of a text without common words, which is 0.391 to 0.395 on sf0.1; there documents labelled
-    #: good lie at 0.875 of it or less, 99.9% of them at 0.70.
-    word_limit: float = 0.9
+    class_fence: float = 10.0
+    word_fence: float = 2.0
+    #: What a limit is over the upper quartile, at least.
+    least: float = 0.05
+    word_reach: float = 0.9
+    #: By how much another language's reference may be nearer by words.
+    foreign: float = 0.1
     class_min_chars: int = 200
     word_min_words: int = 100
     min_docs: int = 50
+    n_common: int = 24
     common_words: dict[str, list[str]] = field(default_factory=lambda: COMMON_WORDS)
 
 
@@ -91,7 +102,7 @@ def base(text: bytes) -> tuple[int, int, int, int, int]:
     words = text.split()
     tight = text.translate(None, common.ASCII_SPACE)
     lines = [x for x in text.split(b"\n") if x.strip()]
-    return len(words), len(tight.decode()), len(text) - len(text.translate(None, SYMBOLS)), len(lines) - len(set(lines)), repeat_words(words)
+    return len(words), len(tight.decode("utf-8", "replace")), len(text) - len(text.translate(None, SYMBOLS)), len(lines) - len(set(lines)), repeat_words(words)
 
 
 def histograms(text: bytes, place: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, int]:
@@ -109,91 +120,151 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     m = (p + q) / 2
     with np.errstate(divide="ignore", invalid="ignore"):
         left = np.where(p > 0, p * np.log2(p / m), 0).sum(axis=1)
-        right = np.where(q > 0, q * np.log2(q / m), 0).sum(axis=1)
+        right = np.where(q == 0, 0, q * np.log2(q / m)).sum(axis=1)
     return np.sqrt(np.clip((left + right) / 2, 0, 1))
 
 
-def _places(rules: Rules) -> dict[bytes, int]:
-    return {w.encode(): i for i, w in enumerate(sorted({w for ws in rules.common_words.values() for w in ws}))}
-
-
-def references(docs: DataFrame, rules: Rules = Rules()) -> dict[str, np.ndarray]:
-    """By language a row of mean class and word shares, over all documents long enough; the state
-    that a task keeps and sends is one row of numbers for each language. Those without a word list have
-    class shares alone, of min_docs documents or more."""
-    place, known = _places(rules), sorted(rules.common_words)
-    width = len(CLASSES) + len(place) + 1
+class Model:
+    """Of each language a row of reference shares of classes and of words, NaN where no document is long enough; and
+    the limits of both distances."""
+
+    def __init__(self, langs: list[str], place: dict[bytes, int], classes: np.ndarray, words: np.ndarray, rules: Rules):
+        self.langs, self.place, self.classes, self.words, self.rules = langs, place, classes, words, rules
+        self.limits: list[tuple[float, float]] = [(np.inf, np.inf)] * len(langs)
+
+    def compared(self, text: bytes | None, lang: str | None) -> tuple[int | None, float | None, float | None, float | None]:
+        """The language that a text is compared with, its distances, and the least distance by words of any; None
+        where not compared."""
+        if not text or not self.langs or lang is not None and lang not in self.langs:
+            return None, None, None, None
+        c, w, n = histograms(text, self.place)
+        shapes = (c, c.sum(), c.sum() >= self.rules.class_min_chars, self.classes), (w, n, n >= self.rules.word_min_words, self.words)
+        # What has no reference is at the distance NaN.
+        far = [js_distance(x / size, refs) if enough and len(refs) else None for x, size, enough, refs in shapes]
+        by = far[1] if far[1] is not None and not np.isnan(far[1]).all() else far[0]
+        if by is None or np.isnan(by).all():
+            return None, None, None, None
+        k = int(np.nanargmin(by)) if lang is None else self.langs.index(lang)
+        own = [None if x is None or np.isnan(x[k]) else float(x[k]) for x in far]
+        return k, *own, None if own[1] is None else float(np.nanmin(far[1]))
+
+    def kept(self, k: int | None, far_class: float | None, far_word: float | None, near_word: float | None) -> bool:
+        if k is None:
+            return True
+        of_class, of_word = self.limits[k]
+        return (far_class is None or far_class <= of_class) and (far_word is None or far_word <= of_word and far_word - near_word <= self.rules.foreign)
+
+
+def _langs_of(column: pa.Array) -> list[str | None]:
+    return [None if x is None else x.decode("utf-8", "replace") for x in common.byte_texts(column)]
+
+
+def common_words(docs: DataFrame, langs: list[str], rules: Rules = Rules()) -> dict[str, list[str]]:
+    """The words listed; for other languages their most frequent ones, counted over all their documents."""
+    found = {k: list(rules.common_words[k]) for k in langs if k in rules.common_words}
+    others = [k for k in langs if k not in found]
+    if not others:
+        return found
+    words = F.regexp_extract_all(F.translate(F.col("text"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0))
+    counts = docs.where(F.col("lang").isin(*others)).select("lang", F.explode(words).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
+    # Of partial sums; each task puts n_common rows of a language forward at most.
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), F.desc("word")))
+    for r in counts.withColumn("place", place).where(F.col("place") <= rules.n_common).collect():
+        found.setdefault(r.lang, []).append(r.word)
+    return found
+
+
+def references(docs: DataFrame, rules: Rules = Rules()) -> Model:
+    """The references and limits, over all documents long enough. What a task keeps and sends is one row of
+    numbers for each language."""
+    own = docs.select("text", "lang")
+    langs = sorted(r.lang for r in own.where(F.col("lang").isNotNull()).groupBy("lang").agg(F.count("*").alias("n")).where(F.col("n") >= rules.min_docs).collect())
+    lists = common_words(own, langs, rules)
+    place = {w.encode("utf-8"): i for i, w in enumerate(sorted({w for ws in lists.values() for w in ws}))}
+    n_classes, width = len(CLASSES), len(CLASSES) + len(place) + 1
+    rows = own.where(F.col("lang").isin(*langs)) if langs else own.where(F.lit(False))
 
     def sums(batches):
-        total = {k: np.zeros(width + 2) for k in known}
+        total = np.zeros((len(langs), width + 2), np.int64)
         for batch in batches:
-            for lang, text in zip(batch.column(1).to_pylist(), common.byte_texts(batch.column(0)), strict=True):
-                if lang is None or not text:
+            for lang, text in zip(_langs_of(batch.column(1)), common.byte_texts(batch.column(0)), strict=True):
+                if not text:
                     continue
-                if lang not in total:
-                    total[lang] = np.zeros(width + 2)
                 classes, words, n = histograms(text, place)
-                row = total[lang]
+                row = total[langs.index(lang)]
                 if classes.sum() >= rules.class_min_chars:
-                    row[: len(CLASSES)] += classes / classes.sum()
+                    row[:n_classes] += np.rint(classes / classes.sum() * _ONE).astype(np.int64)
                     row[-2] += 1
-                if n >= rules.word_min_words and lang in rules.common_words:
-                    row[len(CLASSES) : width] += words / n
+                if n >= rules.word_min_words:
+                    row[n_classes:width] += np.rint(words / n * _ONE).astype(np.int64)
                     row[-1] += 1
-        yield pa.RecordBatch.from_pydict({"ref": [k for k in total for _ in range(width + 2)], "at": list(range(width + 2)) * len(total), "part": [x for v in total.values() for x in v.tolist()]})
+        ref, at = np.nonzero(total)
+        yield pa.RecordBatch.from_pydict({"ref": ref, "at": at, "part": total[ref, at]})
+
+    def added(fn, schema: str, shape: tuple[int, ...]) -> np.ndarray:
+        keys = [c.split()[0] for c in schema.split(", ")]
+        out = np.zeros(shape)
+        for r in common.map_arrow(rows, fn, schema).groupBy(*keys[:-1]).agg(F.sum(keys[-1]).alias("total")).collect():
+            out[tuple(r[k] for k in keys[:-1])] = r.total
+        return out
+
+    total = added(sums, "ref bigint, at bigint, part bigint", (len(langs), width + 2))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        shares = [part / _ONE / n[:, None] for part, n in ((total[:, :n_classes], total[:, -2]), (total[:, n_classes:width], total[:, -1]))]
+    model = Model(langs, place, *shares, rules)
 
-    found = common.map_arrow(docs.select("text", "lang"), sums, "ref string, at bigint, part double").groupBy("ref", "at").agg(F.sum("part").alias("total")).collect()
-    out = {k: np.zeros(width + 2) for k in [*known, *sorted({r.ref for r in found} - set(known))]}
-    for r in found:
-        out[r.ref][r.at] = r.total
-    return {k: np.concatenate([v[: len(CLASSES)] / max(v[-2], 1), v[len(CLASSES) : width] / max(v[-1], 1)]) for k, v in out.items() if v[-2] >= (1 if k in rules.common_words else rules.min_docs)}
+    def distances(batches):
+        count = np.zeros((len(langs), 2, _BINS), np.int64)
+        for batch in batches:
+            for lang, text in zip(_langs_of(batch.column(1)), common.byte_texts(batch.column(0)), strict=True):
+                k, *far, _ = model.compared(text, lang)
+                for i, x in enumerate(far):
+                    if x is not None:
+                        count[k, i, min(int(x * _BINS), _BINS - 1)] += 1
+        at = np.nonzero(count)
+        yield pa.RecordBatch.from_pydict({**dict(zip(("ref", "kind", "bin"), at, strict=True)), "n": count[at]})
+
+    model.limits = [_limits(model, k, h) for k, h in enumerate(added(distances, "ref bigint, kind bigint, bin bigint, n bigint", (len(langs), 2, _BINS)))]
+    return model
+
+
+def _limits(model: Model, k: int, held: np.ndarray) -> tuple[float, float]:
+    """The limits of a language, of how many of its documents' distances lie in each bin."""
+    rules, out = model.rules, []
+    for bins, fence in zip(held, (rules.class_fence, rules.word_fence), strict=True):
+        if not bins.sum():
+            out.append(np.inf)
+            continue
+        run = np.cumsum(bins)
+        low, high = ((np.searchsorted(run, q * run[-1]) + 1) / _BINS for q in (0.25, 0.75))
+        out.append(high + max(fence * (high - low), rules.least))
+    if not np.isnan(model.words[k]).any():
+        bare = np.eye(len(model.place) + 1)[-1]
+        out[1] = min(out[1], rules.word_reach * float(js_distance(bare, model.words[k][None])[0]))
+    return tuple(out)
 
 
 def judge(docs: DataFrame, rules: Rules = Rules()) -> Column:
-    """A struct column of the counts, the distances (null where not compared) and the verdict."""
-    every, place = references(docs, rules), _places(rules)
-    refs = {k: v for k, v in every.items() if k in rules.common_words}
-    foreign_refs = [k for k in every if k not in refs]
-    own_classes = np.array([every[k][: len(CLASSES)] for k in foreign_refs]).reshape(len(foreign_refs), len(CLASSES))
-    classes = np.array([v[: len(CLASSES)] for v in refs.values()]).reshape(len(refs), len(CLASSES))
-    words = np.array([v[len(CLASSES) :] for v in refs.values()]).reshape(len(refs), len(place) + 1)
-    words = words[words[:, :-1].sum(axis=1) > 0]
-    limits = rules.word_limit * js_distance(np.eye(len(place) + 1)[-1], words)
-
-    def verdicts(texts: list[bytes | None]) -> pa.Array:
-        rows = []
-        for text in texts:
-            n, chars, symbols, lines, repeats = base(text or b"")
-            failed = n < rules.min_words or 100 * repeats > rules.max_repeat_percent * n
-            far_class = far_word = None
-            near_word, others = True, None
-            if text:
-                c, w, m = histograms(text, place)
-                if len(classes) and c.sum() >= rules.class_min_chars:
-                    far_class = float(js_distance(c / c.sum(), classes).min())
-                if len(own_classes) and c.sum() >= rules.class_min_chars:
-                    others = js_distance(c / c.sum(), own_classes).tolist()
-                if len(words) and m >= rules.word_min_words:
-                    each = js_distance(w / m, words)
-                    far_word, near_word = float(each.min()), bool((each <= limits).any())
-            kept = not failed and (far_class is None or far_class <= rules.class_limit) and near_word
-            rows.append((n, chars, symbols, lines, repeats, failed, kept, far_class, far_word, others))
-        names = [x.split()[0] for x in f"{_STRUCT}, {_OTHERS}".split(", ")]
-        kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 2 + [pa.list_(pa.float64())]
-        return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(len(names))], names)
-
-    found = common.row_udf(verdicts, f"struct<{f'{_STRUCT}, {_OTHERS}'.replace(' ', ':').replace(',:', ',')}>")(F.col("text"))
-    foreign = F.col("lang").isNotNull() & ~F.col("lang").isin(*refs)
-    if not foreign_refs:
-        return found.withField("kept", F.when(foreign, ~found["base_failed"]).otherwise(found["kept"])).dropFields("others")
-    place_of = F.lit(None).cast("int")
-    for i, k in enumerate(foreign_refs):
-        place_of = F.when(F.col("lang") == k, i).otherwise(place_of)
-    own = F.get(found["others"], place_of)
-    near = own.isNull() | (own <= rules.class_limit)
-    judged = found.withField("kept", F.when(foreign, ~found["base_failed"] & near).otherwise(found["kept"]))
-    with_own = judged.withField("class_distance", F.when(place_of.isNotNull(), own).otherwise(found["class_distance"]))
-    return with_own.withField("word_distance", F.when(place_of.isNull(), found["word_distance"])).dropFields("others")
+    """A struct column of the counts, the distances (null where not compared) and the verdict, of text and lang."""
+    shared = docs.sparkSession.sparkContext.broadcast(references(docs, rules))  # a row of numbers for each language
+
+    def run(batches):
+        model = shared.value
+        for batch in batches:
+            texts, langs = batch.flatten()
+            rows = []
+            for text, lang in zip(common.byte_texts(texts), _langs_of(langs), strict=True):
+                n, chars, symbols, lines, repeats = base(text or b"")
+                failed = n < rules.min_words or 100 * repeats > rules.max_repeat_percent * n
+                found = model.compared(text, lang)
+                rows.append((n, chars, symbols, lines, repeats, failed, not failed and model.kept(*found), *found[1:3]))
+            kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 2
+            names = [x.split()[0] for x in _STRUCT.split(", ")]
+            yield pa.StructArray.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
+
+    run.__annotations__ = common.ARRAY_ITERATOR
+    returns = f"struct<{_STRUCT.replace(' ', ':').replace(',:', ',')}>"
+    return F.arrow_udf(run, returns)(F.struct(F.col("text").cast("string"), F.col("lang").cast("string")))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
