@@ -134,14 +134,17 @@ def load(path: str) -> Run:
         return from_mapping(yaml.safe_load(f))
 
 
-def parse_args(args: list[str]) -> tuple[Run, dict[str, Any]]:
+def is_yaml(path: str) -> bool:
+    return Path(path).suffix in (".yaml", ".yml")
+
+
+def parse_args(args: list[str], usage: str = "usage: velograph CONFIG.yaml STORE.yaml") -> tuple[Run, dict[str, Any]]:
     """The run and the store's settings, of two YAML paths; else a usage message and a failing exit."""
-    usage = "usage: velograph CONFIG.yaml STORE.yaml"
     if len(args) < 2:
         print(usage, file=sys.stderr)
         raise SystemExit(1)
     for p in args[:2]:
-        if Path(p).suffix not in (".yaml", ".yml"):
+        if not is_yaml(p):
             print(f"expected a .yaml file, not {p}\n{usage}", file=sys.stderr)
             raise SystemExit(1)
     import yaml

@@ -37,14 +37,14 @@ def initial(spark: SparkSession, run: Run, partitions: int | None = None) -> Dat
     return f.select(*POINT, maxwellian(c("vpar"), c("mu"), c("n_maxw"), c("t_maxw"), c("upar_maxw")).alias("f"))
 
 
-def factor(run: Run, tor2: Column, tor3: Column, s2: Column, s3: Column, eps: float | None = None) -> Column:
+def factor(run: Run, tor2: Column, tor3: Column, s2: Column, s3: Column, eps: Column | float | None = None) -> Column:
     """1 + eps cos(2 pi (tor2 / L2 - s2)) cos(2 pi (tor3 / L3 - s3)); tor2 and tor3 aren't taken from their start."""
     e, l2, l3 = run.eps if eps is None else eps, run.axes["tor2"].length, run.axes["tor3"].length
     wave = lambda x, length, s: F.cos(F.lit(2 * math.pi) * (x / F.lit(length) - s))
-    return F.lit(1.0) + F.lit(e) * wave(tor2, l2, s2) * wave(tor3, l3, s3)
+    return F.lit(1.0) + (e if isinstance(e, Column) else F.lit(e)) * wave(tor2, l2, s2) * wave(tor3, l3, s3)
 
 
-def perturb(f: DataFrame, spark: SparkSession, run: Run, shifts: DataFrame, n_shifts: int, eps: float | None = None) -> DataFrame:
+def perturb(f: DataFrame, spark: SparkSession, run: Run, shifts: DataFrame, n_shifts: int, eps: Column | float | None = None) -> DataFrame:
     """States k of state 0, each from state 0 anew: a row for each point and iteration of shifts."""
     f = with_coordinate(with_coordinate(f, spark, run, "tor2", "i2"), spark, run, "tor3", "i3")
     spread = f.crossJoin(generate.small(shifts, n_shifts))

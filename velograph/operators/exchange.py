@@ -25,6 +25,11 @@ def velocity_split(f: DataFrame, partitions: int | None = None) -> DataFrame:
     return _dealt(f, VELOCITY, partitions)
 
 
+def chunks_by(f: DataFrame, *columns: str, partitions: int | None = None) -> DataFrame:
+    """Rows of one index together, as a chunk."""
+    return _dealt(f, columns, partitions)
+
+
 def transpose_v2d(f: DataFrame, partitions: int | None = None) -> DataFrame:
     """From any layout to the velocity split, columns and rows in the order species, velocity, space."""
     return velocity_split(f, partitions).select(*TRANSPOSED, "f").sortWithinPartitions(*TRANSPOSED)

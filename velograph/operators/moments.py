@@ -1,8 +1,9 @@
 """Fluid moments of a distribution: density, mean velocity, temperature.
 
 Three ways with equal results up to rounding: one pass of moments about a fixed velocity (one shuffle of
-partial sums; the default), two passes (the central moment summed about the mean, as defined), and a block
-layout, where a cell's values are one array and nothing is shuffled.
+partial sums; the default), two passes (the central moment summed about the mean, as defined; two shuffles of
+partial sums, as long as the cells' means are few enough to be broadcast), and a block layout, where a cell's values
+are one array and nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from velograph.functions.numeric import ieee_div, total
 from velograph.schemas import CELL
+from velograph.sources.generate import small
 
 ALL = ("density", "mean_velocity", "temperature")
 
@@ -45,25 +47,25 @@ def one_pass(f: DataFrame, keys: Sequence[str] = CELL, about: Column | float = 0
     return sums.select(*keys, m0.alias("density"), (F.col("about") + d).alias("mean_velocity"), (ieee_div(m2, m0) - d * d).alias("temperature"))
 
 
-def two_pass(f: DataFrame, keys: Sequence[str] = CELL, skipna: bool = False) -> DataFrame:
-    """First density and mean velocity, then the second moment about that mean. f is dealt out by cell
-    once; both sums and the join in between keep that partitioning."""
-    dealt = f.repartition(*keys)
+def two_pass(f: DataFrame, keys: Sequence[str] = CELL, skipna: bool = False, cells: int | None = None) -> DataFrame:
+    """First density and mean velocity, by partial sums; then the second moment about that mean. cells: how many there
+    are, if known. Few are broadcast, so f itself isn't shuffled; else Spark chooses the join, and the sums
+    keep its partitioning."""
     wf = F.col("w") * F.col("f")
-    first = dealt.groupBy(*keys).agg(total(wf, skipna).alias("density"), total(wf * F.col("vpar"), skipna).alias("m1")).select(*keys, "density", ieee_div(F.col("m1"), F.col("density")).alias("mean_velocity"))
+    first = f.groupBy(*keys).agg(total(wf, skipna).alias("density"), total(wf * F.col("vpar"), skipna).alias("m1")).select(*keys, "density", ieee_div(F.col("m1"), F.col("density")).alias("mean_velocity"))
     v = F.col("vpar") - F.col("mean_velocity")
-    second = dealt.join(first, list(keys)).groupBy(*keys).agg(F.first("density").alias("density"), F.first("mean_velocity").alias("mean_velocity"), total(wf * v * v, skipna).alias("m2"))
+    second = f.join(small(first, cells) if cells else first, list(keys)).groupBy(*keys).agg(F.first("density").alias("density"), F.first("mean_velocity").alias("mean_velocity"), total(wf * v * v, skipna).alias("m2"))
     return second.select(*keys, "density", "mean_velocity", ieee_div(F.col("m2"), F.col("density")).alias("temperature"))
 
 
-def moments(f: DataFrame, which: Sequence[str] = ALL, keys: Sequence[str] = CELL, *, method: str = "one_pass", about: Column | float = 0.0, skipna: bool = False) -> DataFrame:
-    """The moments named, of f with vpar and w."""
+def moments(f: DataFrame, which: Sequence[str] = ALL, keys: Sequence[str] = CELL, *, method: str = "one_pass", about: Column | float = 0.0, skipna: bool = False, cells: int | None = None) -> DataFrame:
+    """The moments named, of f with vpar and w; cells: how many there are, if known."""
     if unknown := set(which) - set(ALL):
         raise ValueError(f"unknown moments: {sorted(unknown)}")
     if method == "one_pass":
         out = one_pass(f, keys, about, skipna)
     elif method == "two_pass":
-        out = two_pass(f, keys, skipna)
+        out = two_pass(f, keys, skipna, cells)
     else:
         raise ValueError(f"unknown method {method!r}")
     return out.select(*keys, *which)

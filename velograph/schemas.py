@@ -30,6 +30,7 @@ WEIGHTS = _struct(iv="int", im="int", vpar="double", mu="double", w="double")
 SHIFTS = _struct(iteration="int", shift_tor2="double", shift_tor3="double")
 EXTENTS = _struct(name="string", extents="bigints")
 PARTITION_PLAN = _struct(part="int", starts="bigints", extents="bigints")
+FILE_NAMES = _struct(kind="string", name="string")
 TIMING = _struct(ord="int", name="string", seconds="double")
 
 CELL = ("sp", "i1", "i2", "i3")

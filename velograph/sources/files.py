@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import logging
 
 from pyspark.errors import AnalysisException
@@ -16,12 +17,38 @@ from velograph.sources import generate
 
 log = logging.getLogger(__name__)
 DISTRIBUTION, MOMENTS, TIMING, IN_SITU = "fdistribu", "fluid_moments", "cpu_time", "fluid_moments_in_situ"
+TRANSPOSED, BLOCKS, FILE_NAMES = "fdistribu_transposed", "fdistribu_blocks", "file_names"
+_scratch = itertools.count()
+
+
+def _hadoop(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path of any store that Spark reads exists."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    store, p = _hadoop(spark, path)
+    return store.exists(p)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    store, p = _hadoop(spark, path)
+    store.delete(p, True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """Where the driver and all executors write and read: spark.checkpoint.dir, else a folder of the warehouse."""
+    return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
+
+
+def scratch(spark: SparkSession, name: str = "scratch") -> str:
+    """A new folder's name there; the folder goes when the application ends."""
+    path = f"{shared_folder(spark)}/{name}-{spark.sparkContext.applicationId}-{next(_scratch)}"
+    store, p = _hadoop(spark, path)
+    store.mkdirs(p)
+    store.deleteOnExit(p)
+    return path
 
 
 def replace_and_warn(df: DataFrame, path: str, *partition_by: str) -> None:
@@ -31,19 +58,32 @@ def replace_and_warn(df: DataFrame, path: str, *partition_by: str) -> None:
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
-def write_distribution(f: DataFrame, run: Run, top: str) -> None:
+def write_distribution(f: DataFrame, run: Run, top: str, *, name: str = DISTRIBUTION, dealt: bool = False) -> None:
     """f, stored by species and tor1, which scans then prune; and the axes and extents beside it. Rows are dealt
-    out by cell planes first, so a folder gets few files."""
-    dealt = f.select(*schemas.POINT, "f").repartition("sp", "i1", "i2")
-    replace_and_warn(dealt.sortWithinPartitions(*schemas.POINT), f"{top}/{DISTRIBUTION}", "sp", "i1")
+    out by cell planes first, so a folder gets few files; where they lie so already (a mesh, a stored f), nothing is
+    shuffled."""
+    f = f.select(*schemas.POINT, "f")
+    rows = f if dealt else f.repartition("sp", "i1", "i2")
+    replace_and_warn(rows.sortWithinPartitions(*schemas.POINT), f"{top}/{name}", "sp", "i1")
     write_mesh(f.sparkSession, run, top)
 
 
+def write_transposed(f: DataFrame, top: str) -> None:
+    """A distribution in velocity split, stored by species and vpar."""
+    replace_and_warn(f, f"{top}/{TRANSPOSED}", "sp", "iv")
+
+
+def write_blocks(blocks: DataFrame, top: str) -> None:
+    """A distribution in block layout, stored by species and tor1: its moments need no shuffle."""
+    replace_and_warn(blocks, f"{top}/{BLOCKS}", "sp", "i1")
+
+
 def write_mesh(spark: SparkSession, run: Run, top: str) -> None:
     replace_and_warn(generate.axis_table(spark, run).coalesce(1), f"{top}/axis")
     replace_and_warn(generate.breakpoint_table(spark, run).coalesce(1), f"{top}/breakpoints")
     replace_and_warn(generate.extents_table(spark, run).coalesce(1), f"{top}/extents")
     replace_and_warn(generate.species_table(spark, run).coalesce(1), f"{top}/species")
+    replace_and_warn(spark.createDataFrame([("input", run.file_name)], schemas.FILE_NAMES).coalesce(1), f"{top}/{FILE_NAMES}")
 
 
 def write_moments(moments: DataFrame, top: str, name: str = MOMENTS) -> None:
@@ -62,6 +102,10 @@ def write_timing(spark: SparkSession, names: list[str], seconds: list[float], to
     replace_and_warn(spark.createDataFrame(rows, schemas.TIMING).coalesce(1), f"{top}/{TIMING}")
 
 
+def read_file_names(spark: SparkSession, top: str) -> DataFrame:
+    return spark.read.schema(schemas.FILE_NAMES).parquet(f"{top}/{FILE_NAMES}")
+
+
 def read_species(spark: SparkSession, top: str) -> DataFrame:
     return spark.read.schema(schemas.SPECIES).parquet(f"{top}/species")
 
@@ -84,12 +128,20 @@ def axis_size(spark: SparkSession, top: str, axis: str) -> int:
     return read_axis(spark, top, axis).count()
 
 
-def read_distribution(spark: SparkSession, top: str, starts: dict[str, int] | None = None, sizes: dict[str, int] | None = None) -> DataFrame:
+def read_distribution(spark: SparkSession, top: str, starts: dict[str, int] | None = None, sizes: dict[str, int] | None = None, name: str = DISTRIBUTION) -> DataFrame:
     """f, or a hyperslab of it: species and tor1 prune folders, the others are pushed into the scan."""
-    f = spark.read.schema(schemas.DISTRIBUTION).parquet(f"{top}/{DISTRIBUTION}").select(*schemas.POINT, "f")
+    f = spark.read.schema(schemas.DISTRIBUTION).parquet(f"{top}/{name}").select(*schemas.POINT, "f")
     return exchange.hyperslab(f, starts, sizes or {}) if starts else f
 
 
+def read_transposed(spark: SparkSession, top: str) -> DataFrame:
+    return spark.read.schema(schemas.DISTRIBUTION).parquet(f"{top}/{TRANSPOSED}").select(*exchange.TRANSPOSED, "f")
+
+
+def read_blocks(spark: SparkSession, top: str) -> DataFrame:
+    return spark.read.schema(schemas.BLOCKS).parquet(f"{top}/{BLOCKS}").select(*schemas.CELL, "f")
+
+
 def read_moments(spark: SparkSession, top: str, name: str = MOMENTS) -> DataFrame:
     return spark.read.schema(schemas.MOMENTS).parquet(f"{top}/{name}")
 
@@ -113,6 +165,10 @@ def timing_rows(raw: DataFrame) -> DataFrame:
     return rows.select("ord", (decode_padded(name) if "binary" in kind else F.rtrim(name, F.lit("\0"))).alias("name"), "seconds")
 
 
+def timing_table(spark: SparkSession, top: str) -> DataFrame:
+    return spark.read.schema(schemas.TIMING).parquet(f"{top}/{TIMING}")
+
+
 def read_timing(spark: SparkSession, top: str) -> str:
     """The timing table as text. No file: a failing exit; no column: a message."""
     path = f"{top}/{TIMING}"
@@ -122,6 +178,7 @@ def read_timing(spark: SparkSession, top: str) -> str:
         df = spark.read.parquet(path)
     except AnalysisException as e:
         raise SystemExit(f"Error reading {path}: {e}") from None
+    # Title, rules and columns of the table.
     lines = ["CPU Timing Statistics", "=" * 50]
     if "name" not in df.columns:
         return "\n".join([*lines, f"Error: name not found; columns: {', '.join(df.columns)}"])

@@ -16,15 +16,16 @@ from velograph.sources import files
 
 
 def run_stream(spark: SparkSession, run: Run, shifts_path: str, top: str, checkpoint: str, events: Events | None = None) -> StreamingQuery:
-    """Diagnoses the state of every row of shifts that arrives as Parquet in a folder (iteration 0 with any
-    shifts and eps 0 is state 0). A batch's iterations are written each to a folder of its own, so a batch
+    """Diagnoses the state of every row of shifts that arrives as Parquet in a folder; that of iteration 0 is state 0,
+    whatever its shifts. A batch's iterations are written each to a folder of its own, so a batch
     that is run again after a failure replaces its own output."""
     events = events or Events()
 
     def diagnose(batch: DataFrame, epoch: int) -> None:
         session = batch.sparkSession
         shifts = batch.select("iteration", "shift_tor2", "shift_tor3").dropDuplicates(["iteration"])
-        f = distribution.perturb(distribution.initial(session, run), session, run, shifts, 1)
+        eps = F.when(F.col("iteration") == 0, F.lit(0.0)).otherwise(F.lit(run.eps))
+        f = distribution.perturb(distribution.initial(session, run), session, run, shifts, shifts.count(), eps)
         found = simulate.moments_of(f, session, run, ("iteration", *CELL))
         files.write_in_situ(found, top)
         events.publish("FluidMoments", epoch=epoch)
