@@ -19,9 +19,9 @@ def maxwellian(vpar: Column, mu: Column, n: Column, t: Column, u: Column) -> Col
 
 
 def with_coordinate(f: DataFrame, spark: SparkSession, run: Run, axis: str, index: str) -> DataFrame:
-    """f with the coordinate of an axis, looked up by index; the column has the axis's name."""
+    """f with the coordinate of an axis by index: by the axis's formula, or looked up; the column has the axis's name."""
     a = run.axes[axis]
-    if len(a.points) > 256 and a.kind != "greville":
+    if a.kind != "greville":
         return f.withColumn(axis, F.lit(a.lo) + F.col(index) * F.lit(a.length / a.ncells))
     table = generate.axis_table(spark, run, axis).select(F.col("idx").alias(index), F.col("coord").alias(axis))
     return f.join(generate.small(table, len(a.points)), index)
@@ -30,8 +30,11 @@ def with_coordinate(f: DataFrame, spark: SparkSession, run: Run, axis: str, inde
 def initial(spark: SparkSession, run: Run, partitions: int | None = None) -> DataFrame:
     """State 0: the Maxwellian of each species at every point of the mesh."""
     f = generate.mesh(spark, run, partitions)
-    species = generate.species_table(spark, run).select("sp", "n_maxw", "t_maxw", "upar_maxw")
-    f = f.join(generate.small(species, len(run.species)), "sp")
+    if len(run.species) <= generate.LISTED:
+        f = f.withColumns({c: generate.listed([getattr(s, c) for s in run.species], F.col("sp")) for c in ("n_maxw", "t_maxw", "upar_maxw")})
+    else:
+        species = generate.species_table(spark, run).select("sp", "n_maxw", "t_maxw", "upar_maxw")
+        f = f.join(generate.small(species, len(run.species)), "sp")
     f = with_coordinate(with_coordinate(f, spark, run, "vpar", "iv"), spark, run, "mu", "im")
     c = F.col
     return f.select(*POINT, maxwellian(c("vpar"), c("mu"), c("n_maxw"), c("t_maxw"), c("upar_maxw")).alias("f"))

@@ -54,6 +54,23 @@ def weighted(f: DataFrame, weights: DataFrame, n_weights: int | None = None) ->
     return f.join(generate.small(weights, n_weights) if n_weights else weights, ["iv", "im"])
 
 
+def axis_weights(points: list[float]) -> list[float]:
+    """Trapezoid weights of an axis known beforehand, by the formula of trapezoid_weights."""
+    return [0.5 * (points[min(i + 1, len(points) - 1)] - points[max(i - 1, 0)]) for i in range(len(points))]
+
+
+def weighted_of(f: DataFrame, spark: SparkSession, run: Run) -> DataFrame:
+    """f with vpar, mu and w of its (iv, im) on the axes of a run: from lists in the plan, or looked up if they are long."""
+    vpar, mu = (run.axes[n].points for n in ("vpar", "mu"))
+    for n, points in (("vpar", vpar), ("mu", mu)):
+        check_axis(points, n)
+    if max(len(vpar), len(mu)) > generate.LISTED:
+        return weighted(f, velocity_weights(spark, run), len(vpar) * len(mu))
+    at = generate.listed
+    w = at(axis_weights(vpar), F.col("iv")) * at(axis_weights(mu), F.col("im"))
+    return f.withColumns({"vpar": at(vpar, F.col("iv")), "mu": at(mu, F.col("im")), "w": w})
+
+
 def integrate(f: DataFrame, integrand: Callable[[DataFrame], Column] | Column, keys: tuple[str, ...] = CELL, *, name: str = "integral", skipna: bool = False) -> DataFrame:
     """The weighted sum of an integrand over each cell; f has w. Partial sums come before the one shuffle."""
     value = integrand(f) if callable(integrand) else integrand

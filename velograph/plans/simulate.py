@@ -25,8 +25,7 @@ log = logging.getLogger(__name__)
 
 def moments_of(f: DataFrame, spark: SparkSession, run: Run, keys: tuple[str, ...] = CELL, method: str = "one_pass") -> DataFrame:
     """All moments of a run's distribution, about each species's initial mean velocity."""
-    weights = quadrature.velocity_weights(spark, run)
-    f = quadrature.weighted(f, weights, run.extents["vpar"] * run.extents["mu"])
+    f = quadrature.weighted_of(f, spark, run)
     about = F.element_at(F.array(*[F.lit(s.upar_maxw) for s in run.species]), F.col("sp") + 1)
     return moments.moments(f, keys=keys, method=method, about=about, cells=cells_of(run) if keys == CELL else None)
 

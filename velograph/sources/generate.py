@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from velograph import schemas
@@ -10,6 +10,8 @@ from velograph.config import Run
 
 #: Rows up to which a table whose size is known beforehand is broadcast.
 SMALL = 100_000
+#: Numbers up to which a list known beforehand stands in the plan itself.
+LISTED = 1_024
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
@@ -17,6 +19,11 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= SMALL else df
 
 
+def listed(numbers: list[float], at: Column) -> Column:
+    """The number of a list at a place, from 0 on: a constant of the plan, where a join would look it up."""
+    return F.array(*[F.lit(float(x)) for x in numbers])[at]
+
+
 def species_table(spark: SparkSession, run: Run) -> DataFrame:
     rows = [(i, s.name, *map(float, (s.charge, s.mass, s.n_maxw, s.t_maxw, s.upar_maxw))) for i, s in enumerate(run.species)]
     return spark.createDataFrame(rows, schemas.SPECIES)
