@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import itertools
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import velograph
+from velograph.sources import files
 
 #: The white space of `[^\x20\x09-\x0D]+`; bytes.split() splits at just these.
 ASCII_SPACE = b" \t\n\x0b\x0c\r"
@@ -26,97 +27,92 @@ ARRAY_ITERATOR = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-   return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-   """Sends this package to the workers, once for each application; they need not have it."""
-   sc = spark.sparkContext
-   if sc.applicationId in _shipped:
-       return
-   top = Path(velograph.__file__).parent
-   packed = os.path.join(tempfile.mkdtemp(), "velograph.zip")
-   with zipfile.ZipFile(packed, "w") as z:
-       for p in sorted(top.rglob("*.py")):
-           z.write(p, p.relative_to(top.parent))
-   sc.addPyFile(packed)
-   _shipped.add(sc.applicationId)
+    """Sends this package to the workers, once for each application; they need not have it."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    top = Path(velograph.__file__).parent
+    # On the driver alone: Spark serves it to the executors for as long as the application runs.
+    folder = tempfile.mkdtemp()
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    packed = os.path.join(folder, "velograph.zip")
+    with zipfile.ZipFile(packed, "w") as z:
+        for p in sorted(top.rglob("*.py")):
+            z.write(p, p.relative_to(top.parent))
+    sc.addPyFile(packed)
+    _shipped.add(sc.applicationId)
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-   ship(df.sparkSession)
-   return df.mapInArrow(fn, schema)
+    ship(df.sparkSession)
+    return df.mapInArrow(fn, schema)
 
 
 def byte_texts(column: pa.Array) -> list[bytes | None]:
-   """UTF-8 of each text, None for null."""
-   if isinstance(column, pa.ChunkedArray):
-       column = column.combine_chunks()
-   kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
-   return column.cast(kind).to_pylist()
+    """UTF-8 of each text, None for null."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
+    return column.cast(kind).to_pylist()
 
 
 def held_out(doc_id: Column) -> Column:
-   """True where crc32 of the id as text leaves 2 modulo 4; a null id counts as the empty text."""
-   return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == HELD_OUT
+    """True where crc32 of the id as text leaves 2 modulo 4; a null id counts as the empty text."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == HELD_OUT
 
 
 def ready_checkpoints(spark: SparkSession) -> None:
-   """Keeps the session's checkpoint folder; sets one only where none is set, as in tests."""
-   sc = spark.sparkContext
-   if sc._jsc.sc().getCheckpointDir().isEmpty():
-       sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+    """Keeps the session's checkpoint folder; where none is set, it is in the folder that all executors share."""
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(files.shared_folder(spark))
 
 
 def cut(df: DataFrame) -> DataFrame:
-   """df, written to the reliable checkpoint folder, so that lost executors cost no recomputation."""
-   ready_checkpoints(df.sparkSession)
-   return df.checkpoint(eager=True)
-
-
-_written = itertools.count()
-
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-   """A new folder's name, where the driver and all executors can write and read; Spark's own checkpoints lie beside it."""
-   ready_checkpoints(spark)
-   return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{spark.sparkContext.applicationId}-{next(_written)}"
+    """df, written to the reliable checkpoint folder, so that lost executors cost no recomputation."""
+    ready_checkpoints(df.sparkSession)
+    return df.checkpoint(eager=True)
 
 
 def written(df: DataFrame, name: str = "table") -> DataFrame:
-   """df as a Parquet table in the shared folder: computed once, read by columns, smaller than a checkpoint."""
-   path = shared_folder(df.sparkSession, name)
-   df.write.option("compression", "zstd").parquet(path)
-   return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df as a Parquet table in the shared folder: computed once, read by columns, smaller than a checkpoint. The
+    table goes when the application ends."""
+    path = f"{files.scratch(df.sparkSession, name)}/rows"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def row_udf(fn: Callable[[list[bytes | None]], pa.Array], returns: str) -> Callable[[Column], Column]:
-   """An Arrow UDF over one text column; fn maps a batch of UTF-8 texts to an array of results."""
+    """An Arrow UDF over one text column; fn maps a batch of UTF-8 texts to an array of results."""
 
-   ship(SparkSession.active())
+    ship(SparkSession.active())
 
-   def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-       for batch in batches:
-           yield fn(byte_texts(batch))
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield fn(byte_texts(batch))
 
-   run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-   return F.arrow_udf(run, returns)
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, returns)
 
 
 def sliced(texts: list[bytes | None], most: int) -> Iterator[tuple[int, int]]:
-   """Ranges of texts of about `most` bytes together, one text at least."""
-   start, size = 0, 0
-   for i, t in enumerate(texts):
-       n = len(t) if t else 0
-       if i > start and size + n > most:
-           yield start, i
-           start, size = i, 0
-       size += n
-   if start < len(texts):
-       yield start, len(texts)
+    """Ranges of texts of about `most` bytes together, one text at least."""
+    start, size = 0, 0
+    for i, t in enumerate(texts):
+        n = len(t) if t else 0
+        if i > start and size + n > most:
+            yield start, i
+            start, size = i, 0
+        size += n
+    if start < len(texts):
+        yield start, len(texts)
 
 
 def parts(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
@@ -138,4 +134,4 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 
 def as_matrix(rows: list, columns: int) -> np.ndarray:
-   return np.asarray(rows, dtype=np.float64).reshape(len(rows), columns)
+    return np.asarray(rows, dtype=np.float64).reshape(len(rows), columns)
