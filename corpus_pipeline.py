@@ -1,18 +1,19 @@
-"""The corpus pipeline: documents through five operators, each on all that the one before kept."""
+"""The corpus pipeline: documents through five operators, each on all that the one before kept.
 
-from __future__ import annotations
+Stages read doc_id, text and lang; other columns, whatever their names, pass through all but the last. An empty table
+gives an empty table. Texts of any length are read whole, ties are decided as the stage or its operator states.
+"""
 
-import itertools
+from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from velograph.llm import common, op01_sentencepiece, op03_decontaminate, op04_simhash, op05_classifier, op10_quality
-
-_RUNS = itertools.count()
+from velograph.sources import files
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep. A text that is null or empty goes, having no words."""
+    """Documents that the rules keep. A text that is null or empty goes, having no words. Repeated rows are kept or go alike."""
     return docs.where(op10_quality.judge(docs)["kept"])
 
 
@@ -25,17 +26,19 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies: that of the smallest doc_id, null last; of its rows that of the smallest
+    text hash, so of repeated rows one. Null and empty texts are copies of each other."""
     return op04_simhash.dedup(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no window of a benchmark item occurs."""
+    """Documents in which no window of a benchmark item occurs; null and empty texts have none. Without items, all."""
     return docs.where(~op03_decontaminate.judge(docs, common.table(spark, sf_dir, "benchmark"))["contaminated"])
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The sampled segmentations of each document, two at most."""
+    """The sampled segmentations of each document, two at most; of a null or empty text the empty one. Repeated rows
+    give theirs each."""
     return op01_sentencepiece.encode(docs)
 
 
@@ -52,11 +55,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over sf_dir's documents, each written to the shared folder and read again."""
-    common.ready_checkpoints(spark)
-    top = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{spark.sparkContext.applicationId}-{next(_RUNS)}"
-    docs = common.table(spark, sf_dir, "documents")
+    """All stages over sf_dir's documents, each written to the shared folder and read again. A stage's table goes
+    when the next one is written, the last one's when the application ends."""
+    docs, top = common.table(spark, sf_dir, "documents"), files.scratch(spark, "pipeline")
     for k, (name, stage) in enumerate(STAGES[:-1]):
-        stage(spark, docs, sf_dir).write.mode("overwrite").parquet(f"{top}/{k}-{name}")
+        stage(spark, docs, sf_dir).write.parquet(f"{top}/{k}-{name}")
         docs = spark.read.parquet(f"{top}/{k}-{name}")
+        if k:
+            files.remove(spark, f"{top}/{k - 1}-{STAGES[k - 1][0]}")
     return STAGES[-1][1](spark, docs, sf_dir)
