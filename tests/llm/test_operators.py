@@ -32,7 +32,7 @@ def same(got, want):
         assert ((a[c] == b[c]) | (a[c].isna() & b[c].isna())).all(), c
 
 
-@pytest.mark.parametrize("name,sql", [("op3_decontaminate", op03_decontaminate.ORACLE_SQL), ("op7_chat_formatting", op07_chat.ORACLE_SQL), ("op8_license_scans", op08_licenses.ORACLE_SQL)])
+@pytest.mark.parametrize("name,sql", [("op3_decontaminate", op03_decontaminate.ORACLE_SQL), ("op6_url_filters", op06_urls.ORACLE_SQL), ("op7_chat_formatting", op07_chat.ORACLE_SQL), ("op8_license_scans", op08_licenses.ORACLE_SQL)])
 def test_against_sql(spark, duck, name, sql):
     same(QUERIES[name](spark, SF).toPandas(), duck.execute(sql).df())
 
@@ -289,6 +289,21 @@ def test_url_rules(spark):
     assert all(v[3] in ("allow", "block") for v in got.values())
 
 
+def test_url_verdicts_against_sql(spark, tmp_path):
+    """Threshold and verdicts on ten times the URLs, on odd ones, and without examples of one kind."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")
+    odd = spark.createDataFrame([(None, None), (-1, ""), (-1, "no scheme"), (-2, "://"), (-3, "http://ü.ORG/é\n🙂?x"), (-3, "http://ü.ORG/é\n🙂?x"), (-4, "http://a.org/" + "x" * 50_000)], "page_id bigint, url string")
+    for k, some in enumerate((pages.unionByName(odd), pages.where("url LIKE '%.com/%'"), odd)):
+        some.write.parquet(str(tmp_path / str(k) / "pages.parquet"))
+        c = duckdb.connect()
+        c.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/{k}/pages.parquet/*.parquet'")
+        want = c.execute(op06_urls.ORACLE_SQL).df()
+        same(QUERIES["op6_url_filters"](spark, str(tmp_path / str(k))).toPandas(), want)
+        if k == 0:
+            free = want[want.rule.isna()].verdict.value_counts()
+            assert free["allow"] > 100 and free["block"] > 100
+
+
 def test_url_model_by_hand(spark):
     """The table of log ratios, and a URL's score, by plain arithmetic."""
     urls = [("abab.org", "/x", "allow"), ("abc.org", "/y", "allow"), ("zz.org", "/z0", "block")]

@@ -1,6 +1,6 @@
 """Operators for building training corpora. Nothing else in the package imports this one."""
 
-from velograph.llm import op03_decontaminate, op07_chat, op08_licenses
+from velograph.llm import op03_decontaminate, op06_urls, op07_chat, op08_licenses
 from velograph.llm.op01_sentencepiece import op1_sentencepiece
 from velograph.llm.op02_language import op2_language_id
 from velograph.llm.op03_decontaminate import op3_decontaminate
@@ -29,6 +29,7 @@ QUERIES = {
 }
 ORACLES: dict[str, str] = {
     "op3_decontaminate": op03_decontaminate.ORACLE_SQL,
+    "op6_url_filters": op06_urls.ORACLE_SQL,
     "op7_chat_formatting": op07_chat.ORACLE_SQL,
     "op8_license_scans": op08_licenses.ORACLE_SQL,
 }

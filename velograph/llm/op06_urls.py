@@ -5,14 +5,15 @@ model is a Markov chain of variable order: the probability of a symbol after two
 that after one, and that towards the symbol's own share, by the number of different followers (Witten and
 Bell). A URL's score is the mean log ratio of its symbols, so length doesn't count. The chains are
 counted over three quarters of the examples, by hash of the host; the threshold is the score that
-parts the rest best (highest hit rate less false rate), 0 if they lack a kind.
+parts the rest best (highest hit rate less false rate, in whole numbers; of equal ones that next to 0, then the higher), 0
+if they lack a kind.
 
 All in DataFrame functions. The table of log ratios has 36^3 numbers for any corpus; it is one value of a
 scalar subquery, so scoring needs no join and no shuffle.
 
 A null URL, or one without `://`, has empty host and path, and the score of the empty URL. Repeated
-rows are judged alike. Without examples of both kinds the ratio is 0 everywhere and such URLs are
-allowed.
+rows are judged alike, and count each as examples. Without examples of both kinds the ratio is 0 everywhere and such URLs are
+allowed. A URL of any length is read whole. An empty table gives none. Other columns, whatever their names, aren't read.
 """
 
 from __future__ import annotations
@@ -138,10 +139,12 @@ def threshold(scored: DataFrame, bins: int = 400, reach: float = 2.0) -> DataFra
     held = scored.groupBy(at.alias("bin")).agg(F.sum((F.col("verdict") == "allow").cast("long")).alias("good"), F.sum((F.col("verdict") == "block").cast("long")).alias("bad"))
     # One row of `bins` pairs: an array, as wide for any corpus.
     row = held.agg(F.array_sort(F.collect_list(F.struct("bin", "good", "bad"))).alias("h"), F.sum("good").alias("goods"), F.sum("bad").alias("bads"))
+    whole = lambda x: x.cast("decimal(38,0)")
     edges = F.transform(
         F.sequence(F.lit(0), F.lit(bins - 1)),
         lambda b: F.struct(
-            F.aggregate(F.filter("h", lambda x: x["bin"] >= b), F.lit(0.0), lambda s, x: s + x["good"] / F.col("goods") - x["bad"] / F.col("bads")).alias("gain"),
+            # In whole numbers, so that equal gains are equal.
+            F.aggregate(F.filter("h", lambda x: x["bin"] >= b), whole(F.lit(0)), lambda s, x: whole(s + whole(x["good"]) * whole(F.col("bads")) - whole(x["bad"]) * whole(F.col("goods")))).alias("gain"),
             (-F.abs(b - bins // 2)).alias("near"),
             (b / bins * (2 * reach) - reach).alias("edge"),
         ),
@@ -154,7 +157,7 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     host, path = host_and_path(F.col("url"))
     parted = pages.select("page_id", host.alias("host"), path.alias("path"))
     ruled = parted.withColumn("r", rule_of(F.col("host"), F.col("path"), rules))
-    examples = ruled.where(F.col("r").isNotNull()).select("host", "path", F.col("r.verdict").alias("verdict"), (F.crc32(F.col("host").cast("binary")) % 4 == 0).alias("calibrates"))
+    examples = ruled.where(F.col("r").isNotNull()).select("host", "path", F.col("r.verdict").alias("verdict"), (F.md5(F.col("host").cast("binary")) < "4").alias("calibrates"))
     table = common.cut(log_ratios(examples.where(~F.col("calibrates"))))
     tried = with_score(examples.where("calibrates"), table)
     edge = common.cut(threshold(tried)).scalar()
@@ -165,3 +168,36 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(common.table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def _oracle(bins: int = 400, reach: float = 2.0) -> str:
+    q = lambda s: "'" + s.replace("'", "''") + "'"
+    fits = lambda r: f"(host = {q(r.host)} OR ends_with(host, {q('.' + r.host)})) AND starts_with(path, {q(r.path)})"
+    longest = sorted(RULES, key=lambda r: (len(r.name), r.name), reverse=True)
+    named, judged = (" ".join(f"WHEN {fits(r)} THEN {q(getattr(r, x))}" for r in longest) for x in ("name", "verdict"))
+    return f"""
+WITH p AS (SELECT row_number() OVER () AS row, page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT row, page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), {q(_UPPER)}, {q(_LOWER)}) AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
+r AS (SELECT *, CASE {named} END AS rule, CASE {judged} END AS told, md5(host) < '4' AS calibrates FROM h),
+c AS (SELECT row, list_transform(string_split(regexp_replace(translate(host || path, {q(_UPPER + "123456789")}, {q(_LOWER + "0" * 9)}), '[^a-z0./\\-_%~]', '*', 'g') || '$', ''), lambda x: strpos({q(SYMBOLS)}, x) - 1) AS codes FROM r),
+g AS (SELECT row, CASE WHEN i > 2 THEN codes[i - 2] ELSE {N - 1} END AS a, CASE WHEN i > 1 THEN codes[i - 1] ELSE {N - 1} END AS b, codes[i] AS c FROM c, unnest(range(1, len(codes) + 1)) AS t(i)),
+n AS (SELECT told, a, b, c, count(*) AS n FROM g JOIN r USING (row) WHERE told IS NOT NULL AND NOT calibrates GROUP BY told, a, b, c),
+n2 AS (SELECT told, a, b, sum(n) AS n, count(*) AS t FROM n GROUP BY told, a, b),
+bc AS (SELECT told, b, c, sum(n) AS n FROM n GROUP BY told, b, c),
+n1 AS (SELECT told, b, sum(n) AS n, count(*) AS t FROM bc GROUP BY told, b),
+o AS (SELECT told, c, sum(n) AS n FROM bc GROUP BY told, c),
+z AS (SELECT told, sum(n) AS n FROM o GROUP BY told),
+grid AS (SELECT told, a::BIGINT AS a, b::BIGINT AS b, c::BIGINT AS c FROM (VALUES ('allow'), ('block')) AS t(told), range(0, {N}) AS x(a), range(0, {N}) AS y(b), range(0, {N}) AS w(c)),
+p0 AS (SELECT grid.*, (coalesce(o.n, 0) + 1)::DOUBLE / (coalesce(z.n, 0) + {N}) AS p0 FROM grid LEFT JOIN o USING (told, c) LEFT JOIN z USING (told)),
+p1 AS (SELECT p0.*, CASE WHEN n1.n > 0 THEN (coalesce(bc.n, 0) + n1.t * p0) / (n1.n + n1.t) ELSE p0 END AS p1 FROM p0 LEFT JOIN bc USING (told, b, c) LEFT JOIN n1 USING (told, b)),
+p2 AS (SELECT p1.*, CASE WHEN n2.n > 0 THEN (coalesce(n.n, 0) + n2.t * p1) / (n2.n + n2.t) ELSE p1 END AS p2 FROM p1 LEFT JOIN n USING (told, a, b, c) LEFT JOIN n2 USING (told, a, b)),
+v AS (SELECT x.a, x.b, x.c, CASE WHEN (SELECT count(DISTINCT told) FROM n) = 2 THEN ln(x.p2) - ln(y.p2) ELSE 0 END AS v FROM p2 x JOIN p2 y USING (a, b, c) WHERE x.told = 'allow' AND y.told = 'block'),
+s AS (SELECT row, sum(v) / count(*) AS score FROM g JOIN v USING (a, b, c) GROUP BY row),
+hist AS (SELECT least(greatest(floor((score + {reach}) / {2 * reach} * {bins}), 0), {bins - 1})::INT AS bin, count(*) FILTER (told = 'allow') AS good, count(*) FILTER (told = 'block') AS bad FROM s JOIN r USING (row) WHERE told IS NOT NULL AND calibrates GROUP BY 1),
+e AS (SELECT e AS b, (SELECT coalesce(sum(good), 0) FROM hist WHERE bin >= e) * (SELECT sum(bad) FROM hist) - (SELECT coalesce(sum(bad), 0) FROM hist WHERE bin >= e) * (SELECT sum(good) FROM hist) AS gain FROM range(0, {bins}) AS t(e)),
+edge AS (SELECT CASE WHEN (SELECT sum(good) > 0 AND sum(bad) > 0 FROM hist) THEN (SELECT b::DOUBLE / {bins} * {2 * reach} - {reach} FROM e ORDER BY gain DESC, abs(b - {bins // 2}), b DESC LIMIT 1) ELSE 0 END AS edge)
+SELECT page_id, host, path, rule, coalesce(told, CASE WHEN score >= edge THEN 'allow' ELSE 'block' END) AS verdict FROM r JOIN s USING (row), edge
+"""
+
+
+ORACLE_SQL = _oracle()
