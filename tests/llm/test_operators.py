@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from velograph.llm import QUERIES, op01_sentencepiece, op03_decontaminate, op04_simhash, op05_classifier, op06_urls, op07_chat, op08_licenses, op09_html, op10_quality
+from velograph.llm import QUERIES, op01_sentencepiece, op02_language, op03_decontaminate, op04_simhash, op05_classifier, op06_urls, op07_chat, op08_licenses, op09_html, op10_quality
 
 SF = "/root/testdata/sf0.001"
 
@@ -150,6 +150,105 @@ def test_quality_held_out(spark):
     assert got.score.between(0, 1).all() and ((got.score >= 0.7) == (got.predicted == 1)).all()
 
 
+def _held(doc_id):
+    import zlib
+
+    return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % 4 == 2
+
+
+def test_language_by_brute_force(spark):
+    """Predictions and scores of every document by plain counts of plain grams."""
+    rows = duckdb.sql(f"SELECT doc_id, text, lang FROM '{SF}/documents.parquet'").fetchall()
+    rows += [(9001, "ΣΊΓΜΑ İx ß 日本 a1b", "xx"), (9002, None, "en"), (9003, "12 !", "en"), (9004, "no label at all", None), (None, "wort ohne nummer", "de")]
+    how = op02_language.Fit()
+    u32 = lambda x: x & 0xFFFFFFFF
+    one, two, three = 0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D
+
+    def letter(c):
+        return " " if not c.isalpha() else c.lower() if len(c.lower()) == 1 else c
+
+    def grams(text):
+        s = re.sub(" +", " ", "".join(letter(c) for c in f" {text or ''} "))
+        out = Counter()
+        for i in range(len(s)):
+            a, b, c = (ord(x) for x in (s[i : i + 3] + "\0\0")[:3])
+            h = u32(a * one)
+            hashes = [h]
+            if i + 1 < len(s):
+                h = u32(u32((h ^ (h >> 15)) * two) + b)
+                hashes.append(u32(h * two))
+            if i + 2 < len(s):
+                h = u32(u32((h ^ (h >> 13)) * three) + c)
+                hashes.append(u32(h * one))
+            for x in hashes:
+                out[(u32((x ^ (x >> 16)) * three) >> 7) % how.buckets] += 1
+        return out, sum(x != " " for x in s)
+
+    found = [grams(t) for _, t, _ in rows]
+    counts, docs = {}, Counter()
+    for (i, t, x), (g, _) in zip(rows, found, strict=True):
+        if x is not None and t is not None and not _held(i):
+            counts.setdefault(x, Counter()).update(g)
+            docs[x] += 1
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = op02_language.fit(table, how)
+    assert model.langs == sorted(counts)
+    got = {r.doc_id: (r.r.lang_pred, r.r.score) for r in table.select("doc_id", op02_language.predict(spark, model).alias("r")).collect()}
+    totals = {x: sum(c.values()) for x, c in counts.items()}
+    for (i, t, _), (g, letters) in zip(rows, found, strict=True):
+        sums = {x: math.log(docs[x] / sum(docs.values())) + sum(n * math.log((c[k] + how.smooth) / (totals[x] + how.smooth * how.buckets)) for k, n in g.items()) for x, c in counts.items()}
+        best = max(sorted(sums), key=sums.get)
+        want = (best, 1 / sum(math.exp(v - sums[best]) for v in sums.values())) if letters else ("und", 0.0)
+        assert got[i][0] == want[0] and got[i][1] == pytest.approx(want[1], abs=1e-3), (i, t)
+
+
+def test_quality_scores_by_brute_force(spark):
+    """Scores of every document by plain statistics, one dense system for each fold, and isotonic means by their definition."""
+    top = "/root/testdata/sf0.01"
+    rows = duckdb.sql(f"SELECT doc_id, text FROM '{top}/documents.parquet'").fetchall()
+    labels = [(i, q) for i, q in duckdb.sql(f"SELECT doc_id, quality FROM '{top}/labels.parquet'").fetchall() if not _held(i)]
+    how = op05_classifier.Fit()
+
+    def stats(text):
+        b = (text or "").encode()
+        n, words, plain = max(len(b), 1), re.findall(rb"[^ \t\n\x0b\x0c\r]+", b), re.findall(rb"[0-9a-z\x80-\xff]+", b.lower())
+        groups = (b"a-z", b"A-Z", b"0-9", b" ", b"\n", b".,;:", b"!?", b"#$%&*", rb"|<>{}\[\]_=/\\~^", rb"'\"()\-", b"\x80-\xbf", b"\xc0-\xff")
+        lines = [x for x in b.split(b"\n") if re.search(rb"[^ \t\n\x0b\x0c\r]", x)]
+        w, p, k = max(len(words), 1), max(len(plain), 1), max(len(lines), 1)
+        again = sum(x == y for x, y in zip(plain, plain[1:], strict=False))
+        share = [math.sqrt(len(re.findall(b"[" + g + b"]", b)) / n) for g in groups]
+        return [*share, math.log(1 + len(words)) / 4, len(b) / w / 8, math.log(1 + len(set(plain))) / math.log(1 + p) if plain else 1.0, math.sqrt(again / p), len(set(lines)) / k, math.log(1 + w / k) / 4, len(plain) / w - 1]
+
+    x = {i: np.array(stats(t)) for i, t in rows}
+    labels = [(i, q) for i, q in labels if i in x]
+    folds = {r.i: r.fold for r in spark.createDataFrame([(i,) for i, _ in labels], "i bigint").select("i", F.pmod(F.xxhash64("i"), F.lit(how.folds)).alias("fold")).collect()}
+    fit_x, y = np.array([x[i] for i, _ in labels]), np.array([q for _, q in labels], float)
+    mean, spread = fit_x.mean(axis=0), np.maximum(fit_x.std(axis=0), 1e-3)
+    rng = np.random.default_rng(how.seed)
+    omega, phase = rng.normal(0, 1 / how.width, (fit_x.shape[1], how.features)), rng.uniform(0, 2 * np.pi, how.features)
+
+    def features(z):
+        z = np.clip((z - mean) / spread, -8, 8)
+        return np.append(np.cos(z @ omega + phase) * math.sqrt(2 / how.features), 1.0)
+
+    phi = np.array([features(z) for z in fit_x])
+    solve = lambda use: np.linalg.solve(phi[use].T @ phi[use] + how.ridge * np.eye(phi.shape[1]), phi[use].T @ y[use])
+    fold = np.array([folds[i] for i, _ in labels])
+    unseen = np.array([phi[k] @ solve(fold != fold[k]) for k in range(len(y))])
+    knots = np.unique(unseen)
+    means = np.full((len(knots), len(knots)), np.inf)
+    for a in range(len(knots)):
+        inside = [y[(unseen >= knots[a]) & (unseen <= knots[b])] for b in range(a, len(knots))]
+        means[a, a:] = [v.mean() for v in inside]
+    low = np.minimum.accumulate(means[:, ::-1], axis=1)[:, ::-1]  # the least mean from a to b or beyond
+    values = np.array([low[: k + 1, k].max() for k in range(len(knots))])
+    beta = solve(np.ones(len(y), bool))
+    got = {r.doc_id: (r.held_out, r.score, r.predicted) for r in QUERIES["op5_quality_classifier"](spark, top).collect()}
+    for i, z in x.items():
+        want = np.interp(features(z) @ beta, knots, values)
+        assert got[i][0] == _held(i) and got[i][1] == pytest.approx(want, abs=1e-6) and got[i][2] == (got[i][1] >= 0.7), i
+
+
 def test_isotonic():
     x, y = np.array([1.0, 2, 3, 3, 4]), np.array([0, 1, 0, 1, 1])
     knots, values = op05_classifier.isotonic(x, y)
