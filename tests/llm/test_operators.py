@@ -259,7 +259,7 @@ def test_isotonic():
 # --- op3 --------------------------------------------------------------------------------------------
 
 
-def test_decontamination_blocks_and_brute_force(spark):
+def test_decontamination_by_brute_force(spark):
     item = "Alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
     rows = [(1, "x " + item.upper() + " y"), (2, " ".join(item.split()[1:11]) + "."), (3, " ".join(item.split()[:9])), (4, None), (5, ""), (6, "one two, ONE! two"), (1, "x " + item.upper() + " y"), (None, "é É two one two")]
     bench = [(10, item), (9, "one two"), (11, None), (12, "  !! "), (10, item), (None, "É two")]
@@ -279,12 +279,36 @@ def test_decontamination_blocks_and_brute_force(spark):
                         ids.add("" if i is None else str(i))
         return len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), bool(hit)
 
-    for how in (op03_decontaminate.Windows(), op03_decontaminate.Windows(block_bytes=30)):
-        got = docs.select("doc_id", op03_decontaminate.judge(docs, items, how).alias("r")).select("doc_id", "r.*").collect()
+    for how in (op03_decontaminate.Windows(), op03_decontaminate.Windows(broadcast_bytes=0), op03_decontaminate.Windows(broadcast_bytes=0, lookup_rows=0, salts=2)):
+        clash = docs.withColumn("digest", F.lit("x")).withColumn("N_HIT", F.lit(7))
+        out = op03_decontaminate.judged(clash, items, how)
+        assert out.columns == [*clash.columns, "r"] and out.where("N_HIT = 7 AND digest = 'x'").count() == len(rows)
+        got = out.select("doc_id", "r.*").collect()
         want = [(i, *brute(t)) for i, t in rows]
         assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
-    none = docs.select(op03_decontaminate.judge(docs, items.where("false")).alias("r")).select("r.*")
-    assert none.where("contaminated").count() == 0
+        none = op03_decontaminate.judged(docs, items.where("false"), how).select("r.*")
+        assert none.where("contaminated").count() == 0 and op03_decontaminate.judged(docs.where("false"), items, how).count() == 0
+
+
+def test_decontamination_of_a_large_benchmark(spark):
+    """As a shuffle join the same as by broadcast, with as many jobs for 197 items as for 8."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    items = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").select("item_id", "text")
+    more = docs.where("doc_id % 5 = 0 AND length(text) < 3000").select((F.col("doc_id") + 10**6).alias("item_id"), "text")
+    every = items.unionByName(more)
+    table = lambda x: sorted(map(str, map(tuple, x.select("doc_id", "r.*").collect())))
+    want = table(op03_decontaminate.judged(docs, every))
+    assert table(op03_decontaminate.judged(docs, every, op03_decontaminate.Windows(broadcast_bytes=0))) == want and sum("True" in r for r in want) > 200
+    jobs = []
+    count = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup())
+    with_aqe = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    for some in (items.limit(8), every):
+        before = count()
+        op03_decontaminate.judged(docs, some, op03_decontaminate.Windows(broadcast_bytes=0)).count()
+        jobs.append(count() - before)
+    spark.conf.set("spark.sql.adaptive.enabled", with_aqe)
+    assert every.count() > 150 and jobs[0] == jobs[1]
 
 
 # --- op4 --------------------------------------------------------------------------------------------
