@@ -33,7 +33,9 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of a benchmark item occurs; null and empty texts have none. Without items, all."""
-    return docs.where(~op03_decontaminate.judge(docs, common.table(spark, sf_dir, "benchmark"))["contaminated"])
+    (found,) = common.fresh(docs, "found")
+    judged = op03_decontaminate.judged(docs, common.table(spark, sf_dir, "benchmark"), name=found)
+    return judged.where(~judged[found]["contaminated"]).drop(found)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
