@@ -387,7 +387,20 @@ def test_tree_search_is_exact():
 def test_components_of_a_path(spark):
     edges = spark.range(200).select((F.col("id") + 1).alias("a"), F.col("id").alias("b")).repartition(7)
     got = op04_simhash.components(edges).collect()
-    assert {r.fp for r in got} == set(range(201)) and {r.root for r in got} == {0}
+    assert {r.fp for r in got} == set(range(201)) and len({r.root for r in got}) == 1
+
+
+def test_components_in_few_rounds(spark, monkeypatch):
+    """A path whose labels rise, dealt so that no task sees two neighbours, and a star, with salted lookups: all one component each."""
+    rounds = []
+    looked_up = op04_simhash.common.looked_up
+    monkeypatch.setattr(op04_simhash.common, "looked_up", lambda rows, table, key, *more, **named: (rounds.append(key), looked_up(rows, table, key, *more, **named))[1])
+    path = spark.range(1000).select((F.col("id") + 1).alias("a"), F.col("id").alias("b"))
+    star = spark.range(5001, 6000).select(F.col("id").alias("a"), F.lit(5000).cast("bigint").alias("b"))
+    monkeypatch.setattr(op04_simhash, "_local", lambda batches: batches)
+    got = op04_simhash.components(path.unionByName(star).repartition(4), op04_simhash.Near(lookup_rows=10)).collect()
+    assert len(got) == 2001 and len({r.root for r in got if r.fp <= 1000}) == 1 == len({r.root for r in got if r.fp >= 5000})
+    assert rounds.count("up") < 25
 
 
 def test_dedup_keeps_one(spark):

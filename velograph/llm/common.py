@@ -89,6 +89,16 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def looked_up(rows: DataFrame, table: DataFrame, key: str, salt_by: str, most: int = 100_000, salts: int = 16, how: str = "inner") -> DataFrame:
+    """rows joined with a table of one row for each key: broadcast if it has `most` rows or fewer, else with every key
+    in as many parts as salts, by hash of another column, so that a key with a third of all rows is no single task."""
+    if table.limit(most + 1).count() <= most:
+        return rows.join(F.broadcast(table), key, how)
+    (salt,) = fresh(rows, "salt")
+    parts = table.withColumn(salt, F.explode(F.array(*map(F.lit, range(salts)))))
+    return rows.withColumn(salt, F.pmod(F.xxhash64(salt_by), F.lit(salts)).cast("int")).join(parts, [key, salt], how).drop(salt)
+
+
 def row_udf(fn: Callable[[list[bytes | None]], pa.Array], returns: str) -> Callable[[Column], Column]:
     """An Arrow UDF over one text column; fn maps a batch of UTF-8 texts to an array of results."""
 

@@ -10,11 +10,14 @@ Below an upper node, fingerprints stand in order of their Gray rank; runs of 16,
 carry the bits that all of theirs share. Two runs are compared by the shared bits that differ: over
 `distance`, all their pairs are pruned at once. What is linked is emitted as a spanning forest, a row less than
 the node has fingerprints at most, never all pairs. The forests are joined into components by
-rounds of contraction.
+rounds of contraction; in each, a node goes to the first of its neighbours and itself in an order by hash that is
+another one each round, so a path of any labels shrinks by a share of its nodes.
 
-Copies count once, by their fingerprint. Null and empty texts have fingerprint zero and link like any
+Copies count once, by their fingerprint; lookups by fingerprint or node are broadcast under a checked size,
+else salted, so copies of a third of all rows are no single task. Null and empty texts have fingerprint zero and link like any
 other. component_id is the smallest doc_id reachable; null ids are passed over, and it is null where all
-are. Repeated rows come back once each.
+are. Repeated rows come back once each. A bit set in just half the hashes is 0. A text of any length is one task's, in
+constant memory beside its words. An empty table gives an empty one. Other columns, whatever their names, pass through dedup.
 """
 
 from __future__ import annotations
@@ -38,6 +41,8 @@ class Near:
     seed: int = 42
     node_rows: int = 4096
     fan: int = 16
+    #: Rows of a lookup up to which it is broadcast.
+    lookup_rows: int = 100_000
 
 
 def simhash(text: bytes | None, how: Near = Near()) -> int:
@@ -229,22 +234,25 @@ def _starred(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return names[moved], names[label[moved]]
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(fp, root) of every node of the edges (a, b), by rounds of contraction: each node takes the smallest
-    of its neighbours and itself, twice over; edges move up to those, and vanish within one."""
+def components(edges: DataFrame, how: Near = Near()) -> DataFrame:
+    """(fp, root) of every node of the edges (a, b), by rounds of contraction: each node takes the first in the round's
+    order of its neighbours and itself, twice over; edges move up to those, and vanish within one."""
     edges = common.cut(common.map_arrow(edges, _local, "a bigint, b bigint"))
-    roots = None
+    roots, n = None, 0
     while not edges.isEmpty():
+        n += 1
+        place = lambda c, n=n: F.struct(F.xxhash64(F.col(c), F.lit(n)).alias("p"), F.col(c).alias("v"))
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        parent = common.cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("up")))
+        parent = common.cut(both.groupBy("a").agg(F.min(place("b")).alias("m")).select(F.col("a").alias("node"), F.least(place("a"), F.col("m"))["v"].alias("up")))
         upper = parent.select(F.col("node").alias("up"), F.col("up").alias("upper"))
-        parent = common.cut(parent.join(upper, "up").select("node", F.col("upper").alias("up")))
+        parent = common.cut(common.looked_up(parent, upper, "up", "node", how.lookup_rows).select("node", F.col("upper").alias("up")))
         if roots is None:
             roots = parent.select(F.col("node").alias("fp"), F.col("up").alias("root"))
         else:
-            moved = roots.join(parent.select(F.col("node").alias("root"), "up"), "root", "left")
+            moved = common.looked_up(roots, parent.select(F.col("node").alias("root"), "up"), "root", "fp", how.lookup_rows, how="left")
             roots = common.cut(moved.select("fp", F.coalesce("up", "root").alias("root")))
-        edges = edges.join(parent.select(F.col("node").alias("a"), F.col("up").alias("x")), "a").join(parent.select(F.col("node").alias("b"), F.col("up").alias("y")), "b")
+        edges = common.looked_up(edges, parent.select(F.col("node").alias("a"), F.col("up").alias("x")), "a", "b", how.lookup_rows)
+        edges = common.looked_up(edges, parent.select(F.col("node").alias("b"), F.col("up").alias("y")), "b", "a", how.lookup_rows)
         edges = edges.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b"))
         edges = common.cut(common.map_arrow(edges, _local, "a bigint, b bigint"))
     if roots is None:
@@ -255,7 +263,7 @@ def components(edges: DataFrame) -> DataFrame:
 def groups(prints: DataFrame, how: Near = Near()) -> DataFrame:
     """prints: doc_id, fp. A row for each distinct fp: fp, root (a fingerprint that stands for the group)."""
     distinct = common.cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(distinct.select("fp"), how))
+    roots = components(links(distinct.select("fp"), how), how)
     return distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
 
 
@@ -264,7 +272,8 @@ def near_duplicates(docs: DataFrame, how: Near = Near()) -> DataFrame:
     prints = common.cut(docs.select("doc_id", fingerprint(how).alias("fp")))
     found = common.cut(groups(prints, how))
     named = found.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(found.select("fp", "root").join(named, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    table = common.cut(common.looked_up(found.select("fp", "root"), common.cut(named), "root", "fp", how.lookup_rows).select("fp", "component_id"))
+    return common.looked_up(prints, table, "fp", "doc_id", how.lookup_rows).select("doc_id", "fp", "component_id")
 
 
 def dedup(docs: DataFrame, how: Near = Near()) -> DataFrame:
