@@ -577,14 +577,19 @@ def test_license_texts_wrapped_over_lines(spark):
         "GPL-3.0-or-later": gpl,
         "Apache-2.0": apache,
         "MPL-2.0": [s["mpl-short"] + ". If a copy of the MPL was not distributed"],
+        "GPL-3.0-only": ["GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007", "Copyright (C) 2007 Some Foundation <https://f.org/>", s["gnu-verbatim"] + ".", "Preamble. The licence is free.", s["terms-end"], *gpl],
+        "GPL-2.0-only": ["GNU GENERAL PUBLIC LICENSE\nVersion 2, June 1991", s["gnu-verbatim"] + "."],
+        "LGPL-2.1-or-later": ["This library is free software; " + s["lgpl-grant-2.1"] + "."],
+        "Zlib": ["Copyright (c) 2020 Z", s["zlib-asis"] + ". In no event will the authors be held liable.", s["zlib-grant"] + ":"],
     }
+    full = ["Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/", s["apache-terms"], "1. Definitions. Terms of use.", s["terms-end"], "APPENDIX: How to apply.", *apache]
     marks = {"": ("", "", ""), "c": ("/*\n", " * ", "\n */"), "hash": ("#!/bin/sh\n", "# ", "\nx = 1"), "slash": ("", "// ", "")}
     rows = []
-    for name, parts in texts.items():
+    for name, parts in [*texts.items(), ("Apache-2.0", full)]:
         for kind, (top, mark, bottom) in marks.items():
             for width in (40, 72, 5000):
                 for gap in ("\n", "\n\n"):
-                    wrapped = gap.join("\n".join(textwrap.wrap(x, width)) for x in parts)
+                    wrapped = gap.join("\n".join(line for y in x.split("\n") for line in textwrap.wrap(y, width)) for x in parts)
                     for end in ("\n", "\r\n"):
                         rows.append((name, f"{kind} {width}", (top + "\n".join((mark + x).rstrip() for x in wrapped.split("\n")) + bottom).replace("\n", end)))
     rows.append(("BSD-2-Clause", "numbered", "\n".join([bsd[0], "(1) " + s["bsd-source"] + ".", "(2) " + s["bsd-binary"] + "."])))

@@ -11,7 +11,9 @@ place, whole texts before single notices. What no rule takes is reported as unma
 All in DataFrame functions, row by row, with no shuffle: known sentences are one constant pattern, a tree of
 their words tried at cuts only, so a row
 costs as much as its text is long. Null and empty texts have no sentences and no licences. A text of
-any length is one row; licences are listed once, in order of their first place. Repeated rows come back each.
+any length is one row; licences are listed once, in order of their first place. Repeated rows come back each. Of rules that
+fit the one that stands first takes its identifiers. Bytes beyond ASCII, UTF-8 or not, part words. An empty table gives none.
+Other columns, whatever their names, aren't read.
 """
 
 from __future__ import annotations
@@ -53,6 +55,23 @@ SENTENCES: dict[str, tuple[str, ...]] = {
     "public-domain": ("This work is in the public domain", "Released into the public domain"),
     "cc0": ("Licensed under CC0 1.0", "This work is licensed under CC0 1.0"),
     "reserved": ("All rights reserved",),
+    "apache-title": ("Apache License Version 2.0, January 2004",),
+    "apache-terms": ("TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION",),
+    "gpl-3-title": ("GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",),
+    "gpl-2-title": ("GNU GENERAL PUBLIC LICENSE Version 2, June 1991",),
+    "lgpl-3-title": ("GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",),
+    "lgpl-2.1-title": ("GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",),
+    "agpl-3-title": ("GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",),
+    "gnu-verbatim": ("Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed",),
+    "terms-end": ("END OF TERMS AND CONDITIONS",),
+    "lgpl-grant-3": ("you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",),
+    "lgpl-grant-2.1": ("you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version",),
+    "agpl-grant-3": ("you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",),
+    "mpl-title": ("Mozilla Public License Version 2.0", "Mozilla Public License, version 2.0"),
+    "bsl-title": ("Boost Software License - Version 1.0 - August 17th, 2003",),
+    "epl-title": ("Eclipse Public License - v 2.0",),
+    "zlib-asis": ("This software is provided 'as-is', without any express or implied warranty",),
+    "zlib-grant": ("Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions",),
 }
 SENTENCES |= {
     f"cc-{kind}-{version}": (f"Licensed under CC {kind.upper()} {version}", f"This work is licensed under CC {kind.upper()} {version}", f"Released under CC {kind.upper()} {version}")
@@ -66,11 +85,37 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("MIT", ("mit-grant", "mit-notice", "mit-asis", "mit-liability")),
     ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-names")),
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
+    ("Apache-2.0", ("apache-title", "apache-terms", "terms-end", "apache-short", "apache-comply", "apache-copy")),
+    ("Apache-2.0", ("apache-title", "apache-terms", "terms-end")),
     ("Apache-2.0", ("apache-short", "apache-comply", "apache-copy")),
+    ("GPL-3.0-only", ("gpl-3-title", "gnu-verbatim", "terms-end", "gpl-grant-3", "gpl-hope")),
+    ("GPL-3.0-only", ("gpl-3-title", "gnu-verbatim", "terms-end")),
+    ("GPL-2.0-only", ("gpl-2-title", "gnu-verbatim", "terms-end", "gpl-grant-2", "gpl-hope")),
+    ("GPL-2.0-only", ("gpl-2-title", "gnu-verbatim", "terms-end")),
+    ("AGPL-3.0-only", ("agpl-3-title", "gnu-verbatim", "terms-end", "agpl-grant-3", "gpl-hope")),
+    ("LGPL-2.1-only", ("lgpl-2.1-title", "gnu-verbatim", "terms-end", "lgpl-grant-2.1", "gpl-hope")),
+    ("LGPL-3.0-only", ("lgpl-3-title", "gnu-verbatim")),
+    ("LGPL-3.0-or-later", ("lgpl-grant-3", "gpl-hope")),
+    ("LGPL-2.1-or-later", ("lgpl-grant-2.1", "gpl-hope")),
+    ("AGPL-3.0-or-later", ("agpl-grant-3", "gpl-hope")),
+    ("Zlib", ("zlib-asis", "zlib-grant")),
     ("GPL-3.0-or-later", ("gpl-grant-3", "gpl-hope")),
     ("GPL-2.0-or-later", ("gpl-grant-2", "gpl-hope")),
     ("GPL-3.0-or-later", ("gpl-grant-3",)),
     ("GPL-2.0-or-later", ("gpl-grant-2",)),
+    ("LGPL-3.0-or-later", ("lgpl-grant-3",)),
+    ("LGPL-2.1-or-later", ("lgpl-grant-2.1",)),
+    ("AGPL-3.0-or-later", ("agpl-grant-3",)),
+    ("Apache-2.0", ("apache-title",)),
+    ("GPL-3.0-only", ("gpl-3-title",)),
+    ("GPL-2.0-only", ("gpl-2-title",)),
+    ("LGPL-3.0-only", ("lgpl-3-title",)),
+    ("LGPL-2.1-only", ("lgpl-2.1-title",)),
+    ("AGPL-3.0-only", ("agpl-3-title",)),
+    ("MPL-2.0", ("mpl-title", "mpl-short")),
+    ("MPL-2.0", ("mpl-title",)),
+    ("BSL-1.0", ("bsl-title",)),
+    ("EPL-2.0", ("epl-title",)),
     ("ISC", ("isc-grant",)),
     ("ISC", ("isc-short",)),
     ("MIT", ("mit-grant",)),
