@@ -95,6 +95,10 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("AGPL-3.0-only", ("agpl-3-title", "gnu-verbatim", "terms-end", "agpl-grant-3", "gpl-hope")),
     ("LGPL-2.1-only", ("lgpl-2.1-title", "gnu-verbatim", "terms-end", "lgpl-grant-2.1", "gpl-hope")),
     ("LGPL-3.0-only", ("lgpl-3-title", "gnu-verbatim")),
+    ("GPL-3.0-only", ("gpl-3-title", "gnu-verbatim")),
+    ("GPL-2.0-only", ("gpl-2-title", "gnu-verbatim")),
+    ("AGPL-3.0-only", ("agpl-3-title", "gnu-verbatim")),
+    ("LGPL-2.1-only", ("lgpl-2.1-title", "gnu-verbatim")),
     ("LGPL-3.0-or-later", ("lgpl-grant-3", "gpl-hope")),
     ("LGPL-2.1-or-later", ("lgpl-grant-2.1", "gpl-hope")),
     ("AGPL-3.0-or-later", ("agpl-grant-3", "gpl-hope")),
