@@ -89,7 +89,7 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def looked_up(rows: DataFrame, table: DataFrame, key: str, salt_by: str, most: int = 100_000, salts: int = 16, how: str = "inner") -> DataFrame:
+def looked_up(rows: DataFrame, table: DataFrame, key: str, salt_by: str, most: int = 100_000, salts: int = 8, how: str = "inner") -> DataFrame:
     """rows joined with a table of one row for each key: broadcast if it has `most` rows or fewer, else with every key
     in as many parts as salts, by hash of another column, so that a key with a third of all rows is no single task."""
     if table.limit(most + 1).count() <= most:
