@@ -2,13 +2,15 @@
 
 Grams of 1 to 3 characters are taken from the lower-cased text, where every run of characters that
 are no letters is one space. Training counts them over at most `fit_rows` labelled rows (those of
-the smallest hash of doc_id and text); the smoothed log probabilities, one row of `buckets` for each
+the smallest hash of doc_id; rows of one id come or stay away together, null ids are one); the smoothed log probabilities, one row of `buckets` for each
 language, are broadcast, and a batch of texts is scored as a sparse count matrix: gathered rows summed
 by document.
 
 A null text, or one without a letter, is `und` with score 0. A text that is all unknown grams still gets
 the most likely language. Ties go to the language that sorts first. Without any labelled row every
-text is `und`.
+text is `und`. Repeated rows are predicted alike, and count each in training. A text longer than `slice_bytes` is a slice of its
+own, read whole. An empty table gives none. Bytes that are no UTF-8 are read as U+FFFD, no letter. Other columns,
+whatever their names, aren't read.
 """
 
 from __future__ import annotations
@@ -114,7 +116,7 @@ def fit(docs: DataFrame, how: Fit = Fit()) -> Model:
     def count(batches):
         letters, total, seen = _Letters(), {}, {}
         for batch in batches:
-            texts, langs = common.byte_texts(batch.column(0)), batch.column(1).to_pylist()
+            texts, langs = common.byte_texts(batch.column(0)), [x.decode("utf-8", "replace") for x in common.byte_texts(batch.column(1))]
             for a, b in common.sliced(texts, how.slice_bytes):
                 index, owner, _ = grams(texts[a:b], letters, how.buckets)
                 names = sorted(set(langs[a:b]))

@@ -161,7 +161,8 @@ def judged(docs: DataFrame, benchmark: DataFrame, how: Windows = Windows(), name
 
 def judge(docs: DataFrame, benchmark: DataFrame, how: Windows = Windows()) -> Column:
     """That column, of a benchmark that may be broadcast whole."""
-    items = [(r.id, w) for r in _items(benchmark).sort("id", "text").toLocalIterator() if (w := words_of(r.text.encode()))]
+    rows = _items(benchmark).sort("id", "text").select("id", F.col("text").cast("binary").alias("text"))
+    items = [(r.id, w) for r in rows.toLocalIterator() if (w := words_of(bytes(r.text)))]
     shared = docs.sparkSession.sparkContext.broadcast(Index(items, counts(docs, _vocabulary(items, how)), how)) if items else None
 
     def whole(texts):

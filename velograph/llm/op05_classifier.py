@@ -9,7 +9,9 @@ that haven't seen their row (cross-fitted over folds of the hash of doc_id).
 The model is fitted on at most `fit_rows` labelled rows, those of the smallest hash of doc_id; every
 row is scored from its whole text. Null and empty texts get the score of the empty text's
 statistics. Without labels of both kinds every score is the share of label 1 (0.5 without any).
-Null labels are ignored; contradicting labels of a doc_id count each.
+Null labels are ignored; contradicting labels of a doc_id count each, and so do repeated rows of a text. Equal scores are one
+knot of the calibration; a score at the cutoff is predicted 1. A text of any length is read whole, as bytes, UTF-8 or not. An
+empty table gives none. Other columns, whatever their names, aren't read.
 """
 
 from __future__ import annotations
