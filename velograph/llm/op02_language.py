@@ -89,9 +89,10 @@ class Model:
     def predict(self, texts: list[bytes | None]) -> tuple[list[str], list[float]]:
         letters = _Letters()
         names, scores = [], []
+        columns = self.log_likelihood.T.astype(np.float64, order="C")  # of each language side by side, as they are gathered
         for a, b in common.sliced(texts, self.how.slice_bytes):
             index, owner, n_letters = grams(texts[a:b], letters, self.how.buckets)
-            sums = np.stack([np.bincount(owner, weights=self.log_likelihood[:, k][index], minlength=b - a) for k in range(len(self.langs))], axis=1) if self.langs else np.zeros((b - a, 0))
+            sums = np.stack([np.bincount(owner, weights=columns[k].take(index), minlength=b - a) for k in range(len(self.langs))], axis=1) if self.langs else np.zeros((b - a, 0))
             sums = sums + self.log_prior
             for row, n in zip(sums, n_letters, strict=True):
                 if not n or not self.langs:
