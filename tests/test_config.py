@@ -7,7 +7,7 @@ from velograph import config
 from velograph.config import Run, axis_points
 
 TREE = {
-    "FileNames": {"any": "plasma1.h5"},
+    "FileNames": {"any": "input.h5"},
     "SplineMesh": {f"{k}_{p}": v for k, vs in {"Tor1": (3, 0, 1), "Tor2": (4, 0, 6.28), "Tor3": (4, 0, 6.28), "Vpar": (5, -7, 7), "Mu": (4, 0, 12)}.items() for p, v in zip(("ncells", "min", "max"), vs, strict=True)},
     "SpeciesInfo": [{"name": "ion", "charge": 1, "mass": 1, "N_maxw": 1, "T_maxw": 2, "Upar_maxw": 0.5}],
     "Application": {"version": "mpi_transpose", "n_iterations": 0, "eps": 0.1},
@@ -31,7 +31,7 @@ def test_points():
 
 def test_mapping_and_errors():
     run = config.from_mapping(TREE)
-    assert run.file_name == "plasma1.h5" and run.extents["tor1"] == 6 and run.species[0].t_maxw == 2
+    assert run.file_name == "input.h5" and run.extents["tor1"] == 6 and run.species[0].t_maxw == 2
     with pytest.raises(ValueError, match="gpu2cpu"):
         config.from_mapping(TREE | {"Application": TREE["Application"] | {"version": "gpu2cpu"}})
     with pytest.raises(ValueError, match="Mu_max"):

@@ -327,9 +327,9 @@ def _stored_f(spark: SparkSession, run: Run = GRID) -> str:
     return top
 
 
-@query("SELECT 'input' AS kind, 'plasma1.h5' AS name")
+@query("SELECT 'input' AS kind, 'input.h5' AS name")
 def stored_file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    run = Run(GRID.axes, GRID.species, file_name="plasma1.h5")
+    run = Run(GRID.axes, GRID.species, file_name="input.h5")
     return files.read_file_names(spark, _stored_mesh(spark, run))
 
 
