@@ -149,15 +149,11 @@ def normalised(sentence: str) -> str:
 KNOWN = {normalised(s): k for k, ss in SENTENCES.items() for s in ss}
 
 
-def sentences(text: Column) -> Column:
-    """The normalised sentences of a text, in order; without empty ones."""
-    low = F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER)
-    parts = F.split(F.regexp_replace(low, _CUT, "\n"), "\n")
-    return F.filter(F.transform(parts, lambda s: F.trim(F.regexp_replace(s, _ODD, " "))), lambda s: s != "")
-
-
-#: In a text as `_marked` gives it, a word is of a-z and 0-9; S is a sentence mark, L a line end.
-_GAP, _END = "(?: L? ?|L ?)", "(?= ?(?:[SL]|$))"
+#: In a text as `_marked` gives it, a word is of a-z and 0-9; S is a sentence mark, L a line end. All between
+#: is one gap, taken whole: the next thing is none of it, so there is nothing to go back for.
+_SOME, _ANY_GAP = "[^a-z0-9SL]++", "[^a-z0-9SL]*+"
+_GAP, _END = f"(?:{_SOME}L?{_ANY_GAP}|L{_ANY_GAP})", f"(?={_ANY_GAP}(?:[SL]|$))"
+_NAME_GAP = f"(?:{_SOME}S?{_ANY_GAP}L?{_ANY_GAP}|[SL]{_ANY_GAP}L?{_ANY_GAP})"
 #: Sentences with a name of one to 20 words at *, in which "Inc." and the like may stand; as pieces.
 NAMED: dict[str, tuple[str, ...]] = {
     "bsd-names": (
@@ -169,7 +165,7 @@ NAMED: dict[str, tuple[str, ...]] = {
         "The names of * may not be used to endorse or promote products derived from this software without specific prior written permission",
     )
 }
-_ANY = "[a-z0-9]+(?:(?: S? ?L? ?|[SL] ?L? ?)[a-z0-9]+){0,19}?"
+_ANY = f"[a-z0-9]+(?:{_NAME_GAP}[a-z0-9]+){{0,19}}?"
 
 
 def _steps(sentence: str) -> list[str]:
@@ -179,10 +175,10 @@ def _steps(sentence: str) -> list[str]:
     out, gap = [], ""
     for w in marked:
         if w == "S":
-            gap = " ?S ?L? ?"
+            gap = f"{_ANY_GAP}S{_ANY_GAP}L?{_ANY_GAP}"
             continue
         out.append(gap + (_ANY if w == "*" else w))
-        gap = "(?: S? ?L? ?|[SL] ?L? ?)" if w == "*" else _GAP
+        gap = _NAME_GAP if w == "*" else _GAP
     return out
 
 
@@ -198,20 +194,25 @@ def _tree(ways: list[list[str]]) -> str:
     return f"(?:{inner})?" if [] in ways else inner if len(heads) == 1 else f"(?:{inner})"
 
 
-_KNOWN_PATTERN = f"[SL] ?({_tree([_steps(x) for xs in [*SENTENCES.values(), *NAMED.values()] for x in xs])}){_END}"
+_KNOWN_PATTERN = f"[SL]{_ANY_GAP}({_tree([_steps(x) for xs in [*SENTENCES.values(), *NAMED.values()] for x in xs])}){_END}"
+
 
+def _cut(text: Column) -> Column:
+    """The text with A-Z in lower case, S for sentence marks and L for line ends."""
+    # lower() makes ASCII letters of these two alone besides A-Z; to the rules they are no letters.
+    plain = F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit("\u212a"), F.lit("-")), F.lit("\u0130"), F.lit("-"))
+    low = F.concat(F.lit("L"), F.replace(F.lower(plain), F.lit("\n"), F.lit("L")))
+    return F.regexp_replace(low, r"[.!?;:]+(?=[ \t\r\f\x0BL]|\z)", "S")
 
-def _marked(text: Column) -> Column:
-    """Lower-case words with one space between, S for sentence marks and L for line ends; what numbers a line ends it."""
-    low = F.concat(F.lit("L"), F.translate(F.coalesce(text, F.lit("")), _UPPER + "\n", _LOWER + "L"))
-    cut = F.regexp_replace(low, r"[.!?;:]+(?=[ \t\r\f\x0BL]|\z)", "S")
-    numbered = F.regexp_replace(cut, r"(L[^a-z0-9SL]*)\(?[0-9a-z]{1,2}\)(?=[ \t])", "$1S")
-    return F.regexp_replace(numbered, "[^a-z0-9SL]+", " ")
 
+def _marked(cut: Column) -> Column:
+    """The same, with a mark in place of what numbers a line."""
+    return F.regexp_replace(cut, r"(L[^a-z0-9SL]*)\(?[0-9a-z]{1,2}\)(?=[ \t])", "$1S")
 
-def known(text: Column) -> Column:
+
+def _known(cut: Column) -> Column:
     """The known sentences of a text, normalised, in order."""
-    return F.transform(F.regexp_extract_all(_marked(text), F.lit(_KNOWN_PATTERN), F.lit(1)), lambda s: F.regexp_replace(s, "[SL ]+", " "))
+    return F.transform(F.regexp_extract_all(_marked(cut), F.lit(_KNOWN_PATTERN), F.lit(1)), lambda s: F.regexp_replace(s, "[^a-z0-9]+", " "))
 
 
 def _named(sentence: Column) -> Column:
@@ -225,10 +226,15 @@ def _named(sentence: Column) -> Column:
     return out
 
 
+def _scanned(cut: Column) -> dict[str, Column]:
+    # A sentence has a letter or digit, and ends at a mark or line end.
+    ids = F.transform(_known(cut), _named)
+    return {"n_sentences": F.regexp_count(cut, F.lit("[a-z0-9][^SL]*")).cast("bigint"), "sentence_ids": F.array_join(ids, " ")}
+
+
 def scan(text: Column) -> dict[str, Column]:
-    """Columns: n_sentences, sentence_ids, licenses, n_unmatched. sentence_ids is of the known ones."""
-    ids = F.transform(known(text), _named)
-    return {"n_sentences": F.size(sentences(text)).cast("bigint"), "sentence_ids": F.array_join(ids, " ")}
+    """Columns: n_sentences, sentence_ids. sentence_ids is of the known ones."""
+    return _scanned(_cut(text))
 
 
 def matched(sentence_ids: Column) -> tuple[Column, Column]:
@@ -244,7 +250,8 @@ def matched(sentence_ids: Column) -> tuple[Column, Column]:
 
 def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = docs.select("doc_id", *[c.alias(k) for k, c in scan(F.col("text")).items()])
+    # Cut once for both columns: what is used twice isn't put into its uses.
+    found = docs.select("doc_id", _cut(F.col("text")).alias("cut")).select("doc_id", *[c.alias(k) for k, c in _scanned(F.col("cut")).items()])
     names, rest = matched(F.col("sentence_ids"))
     return found.select("doc_id", "n_sentences", "sentence_ids", names.alias("licenses"), rest.alias("n_unmatched"))
 

@@ -116,11 +116,11 @@ def histograms(text: bytes, place: dict[bytes, int]) -> tuple[np.ndarray, np.nda
 
 
 def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Of one distribution p from each row of q: the root of the divergence in bits, 0 to 1."""
+    """Of distribution p from each of q, along the last axis: the root of the divergence in bits, 0 to 1."""
     m = (p + q) / 2
     with np.errstate(divide="ignore", invalid="ignore"):
-        left = np.where(p > 0, p * np.log2(p / m), 0).sum(axis=1)
-        right = np.where(q == 0, 0, q * np.log2(q / m)).sum(axis=1)
+        left = np.where(p > 0, p * np.log2(p / m), 0).sum(axis=-1)
+        right = np.where(q == 0, 0, q * np.log2(q / m)).sum(axis=-1)
     return np.sqrt(np.clip((left + right) / 2, 0, 1))
 
 
@@ -132,21 +132,34 @@ class Model:
         self.langs, self.place, self.classes, self.words, self.rules = langs, place, classes, words, rules
         self.limits: list[tuple[float, float]] = [(np.inf, np.inf)] * len(langs)
 
-    def compared(self, text: bytes | None, lang: str | None) -> tuple[int | None, float | None, float | None, float | None]:
-        """The language that a text is compared with, its distances, and the least distance by words of any; None
-        where not compared."""
-        if not text or not self.langs or lang is not None and lang not in self.langs:
-            return None, None, None, None
-        c, w, n = histograms(text, self.place)
-        shapes = (c, c.sum(), c.sum() >= self.rules.class_min_chars, self.classes), (w, n, n >= self.rules.word_min_words, self.words)
-        # What has no reference is at the distance NaN.
-        far = [js_distance(x / size, refs) if enough and len(refs) else None for x, size, enough, refs in shapes]
-        by = far[1] if far[1] is not None and not np.isnan(far[1]).all() else far[0]
-        if by is None or np.isnan(by).all():
-            return None, None, None, None
-        k = int(np.nanargmin(by)) if lang is None else self.langs.index(lang)
-        own = [None if x is None or np.isnan(x[k]) else float(x[k]) for x in far]
-        return k, *own, None if own[1] is None else float(np.nanmin(far[1]))
+    def compared(self, texts: list[bytes | None], langs: list[str | None]) -> list[tuple[int | None, float | None, float | None, float | None]]:
+        """Of each text the language that it is compared with, its distances, and the least distance by words of any;
+        None where not compared."""
+        out = [(None, None, None, None)] * len(texts)
+        rows = [i for i, (text, lang) in enumerate(zip(texts, langs, strict=True)) if text and self.langs and (lang is None or lang in self.langs)]
+        # As many texts at a time as there are about a million numbers in their tables of distances.
+        step = max(1, (1 << 20) // max(1, self.words.size + self.classes.size))
+        for a in range(0, len(rows), step):
+            part = rows[a : a + step]
+            classes, words, n = map(np.array, zip(*(histograms(texts[i], self.place) for i in part), strict=True))
+            by_class = self._far(classes, classes.sum(axis=1), self.rules.class_min_chars, self.classes)
+            by_word = self._far(words, n, self.rules.word_min_words, self.words)
+            for i, far_class, far_word in zip(part, by_class, by_word, strict=True):
+                by = far_class if np.isnan(far_word).all() else far_word
+                if np.isnan(by).all():
+                    continue
+                k = int(np.nanargmin(by)) if langs[i] is None else self.langs.index(langs[i])
+                own = [None if np.isnan(x[k]) else float(x[k]) for x in (far_class, far_word)]
+                out[i] = k, *own, None if own[1] is None else float(np.nanmin(far_word))
+        return out
+
+    @staticmethod
+    def _far(counts: np.ndarray, sizes: np.ndarray, least: int, refs: np.ndarray) -> np.ndarray:
+        """Distances of each row of counts from each reference; NaN where the row is too small or there is no reference."""
+        far = np.full((len(counts), len(refs)), np.nan)
+        enough = sizes >= least
+        far[enough] = js_distance((counts[enough] / sizes[enough, None])[:, None], refs)
+        return far
 
     def kept(self, k: int | None, far_class: float | None, far_word: float | None, near_word: float | None) -> bool:
         if k is None:
@@ -216,8 +229,7 @@ def references(docs: DataFrame, rules: Rules = Rules()) -> Model:
     def distances(batches):
         count = np.zeros((len(langs), 2, _BINS), np.int64)
         for batch in batches:
-            for lang, text in zip(_langs_of(batch.column(1)), common.byte_texts(batch.column(0)), strict=True):
-                k, *far, _ = model.compared(text, lang)
+            for k, *far, _ in model.compared(common.byte_texts(batch.column(0)), _langs_of(batch.column(1))):
                 for i, x in enumerate(far):
                     if x is not None:
                         count[k, i, min(int(x * _BINS), _BINS - 1)] += 1
@@ -252,11 +264,10 @@ def judge(docs: DataFrame, rules: Rules = Rules()) -> Column:
         model = shared.value
         for batch in batches:
             texts, langs = batch.flatten()
-            rows = []
-            for text, lang in zip(common.byte_texts(texts), _langs_of(langs), strict=True):
+            texts, rows = common.byte_texts(texts), []
+            for text, found in zip(texts, model.compared(texts, _langs_of(langs)), strict=True):
                 n, chars, symbols, lines, repeats = base(text or b"")
                 failed = n < rules.min_words or 100 * repeats > rules.max_repeat_percent * n
-                found = model.compared(text, lang)
                 rows.append((n, chars, symbols, lines, repeats, failed, not failed and model.kept(*found), *found[1:3]))
             kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 2
             names = [x.split()[0] for x in _STRUCT.split(", ")]
