@@ -1,6 +1,6 @@
 """Operators for building training corpora. Nothing else in the package imports this one."""
 
-from velograph.llm import op03_decontaminate, op06_urls, op07_chat, op08_licenses
+from velograph.llm import op03_decontaminate, op06_urls, op07_chat, op08_licenses, op11_codes, op12_centroids
 from velograph.llm.op01_sentencepiece import op1_sentencepiece
 from velograph.llm.op02_language import op2_language_id
 from velograph.llm.op03_decontaminate import op3_decontaminate
@@ -11,6 +11,8 @@ from velograph.llm.op07_chat import op7_chat_formatting
 from velograph.llm.op08_licenses import op8_license_scans
 from velograph.llm.op09_html import op9_html_extraction
 from velograph.llm.op10_quality import op10_quality_rules
+from velograph.llm.op11_codes import op11_vector_codes
+from velograph.llm.op12_centroids import op12_centroid_clusters
 
 QUERIES = {
     f.__name__: f
@@ -25,6 +27,8 @@ QUERIES = {
         op8_license_scans,
         op9_html_extraction,
         op10_quality_rules,
+        op11_vector_codes,
+        op12_centroid_clusters,
     )
 }
 ORACLES: dict[str, str] = {
@@ -32,4 +36,6 @@ ORACLES: dict[str, str] = {
     "op6_url_filters": op06_urls.ORACLE_SQL,
     "op7_chat_formatting": op07_chat.ORACLE_SQL,
     "op8_license_scans": op08_licenses.ORACLE_SQL,
+    "op11_vector_codes": op11_codes.ORACLE_SQL,
+    "op12_centroid_clusters": op12_centroids.ORACLE_SQL,
 }
