@@ -1,6 +1,6 @@
 """Operators for building training corpora. Nothing else in the package imports this one."""
 
-from velograph.llm import op03_decontaminate, op06_urls, op07_chat, op08_licenses, op11_codes, op12_centroids
+from velograph.llm import op03_decontaminate, op06_urls, op07_chat, op08_licenses, op11_codes, op12_centroids, op13_setsketch
 from velograph.llm.op01_sentencepiece import op1_sentencepiece
 from velograph.llm.op02_language import op2_language_id
 from velograph.llm.op03_decontaminate import op3_decontaminate
@@ -13,6 +13,7 @@ from velograph.llm.op09_html import op9_html_extraction
 from velograph.llm.op10_quality import op10_quality_rules
 from velograph.llm.op11_codes import op11_vector_codes
 from velograph.llm.op12_centroids import op12_centroid_clusters
+from velograph.llm.op13_setsketch import op13_setsketch_dedup
 
 QUERIES = {
     f.__name__: f
@@ -29,6 +30,7 @@ QUERIES = {
         op10_quality_rules,
         op11_vector_codes,
         op12_centroid_clusters,
+        op13_setsketch_dedup,
     )
 }
 ORACLES: dict[str, str] = {
@@ -38,4 +40,5 @@ ORACLES: dict[str, str] = {
     "op8_license_scans": op08_licenses.ORACLE_SQL,
     "op11_vector_codes": op11_codes.ORACLE_SQL,
     "op12_centroid_clusters": op12_centroids.ORACLE_SQL,
+    "op13_setsketch_dedup": op13_setsketch.ORACLE_SQL,
 }

@@ -99,6 +99,11 @@ def looked_up(rows: DataFrame, table: DataFrame, key: str, salt_by: str, most: i
     return rows.withColumn(salt, F.pmod(F.xxhash64(salt_by), F.lit(salts)).cast("int")).join(parts, [key, salt], how).drop(salt)
 
 
+def small_or_all(table: DataFrame, most: int = 100_000) -> DataFrame:
+    """table with a broadcast hint if it has `most` rows or fewer; else Spark chooses the join."""
+    return F.broadcast(table) if table.limit(most + 1).count() <= most else table
+
+
 def row_udf(fn: Callable[[list[bytes | None]], pa.Array], returns: str) -> Callable[[Column], Column]:
     """An Arrow UDF over one text column; fn maps a batch of UTF-8 texts to an array of results."""
 
