@@ -234,30 +234,45 @@ def _starred(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return names[moved], names[label[moved]]
 
 
+def _settled(batches):
+    """Of all links, few enough for one task: every node with the smallest of its tree."""
+    rows = [np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(2)]) for batch in batches]
+    if rows:
+        names, at = np.unique(np.concatenate(rows, axis=1), return_inverse=True)
+        label = np.arange(len(names))
+        _union(label, *at.reshape(2, -1))
+        yield pa.RecordBatch.from_pydict({"fp": pa.array(names), "root": pa.array(names[label])})
+
+
 def components(edges: DataFrame, how: Near = Near()) -> DataFrame:
     """(fp, root) of every node of the edges (a, b), by rounds of contraction: each node takes the first in the round's
-    order of its neighbours and itself, twice over; edges move up to those, and vanish within one."""
-    edges = common.cut(common.map_arrow(edges, _local, "a bigint, b bigint"))
+    order of its neighbours and itself, twice over; edges move up to those, and vanish within one. Up to lookup_rows edges, as
+    they are or as rounds leave them, are one task's. Rounds are written as tables, whose sizes Spark then knows; a checkpoint
+    keeps the estimate of its plan, which a join squares."""
+    kept = lambda df: common.written(df, "components")
     roots, n = None, 0
-    while not edges.isEmpty():
+    while True:
+        edges = kept(common.map_arrow(edges, _local, "a bigint, b bigint"))
+        if edges.limit(how.lookup_rows + 1).count() <= how.lookup_rows:
+            found = common.map_arrow(edges.coalesce(1), _settled, "fp bigint, root bigint")
+            if roots is None:
+                return found
+            moved = common.looked_up(roots, kept(found.select(F.col("fp").alias("root"), F.col("root").alias("up"))), "root", "fp", how.lookup_rows, how="left")
+            return moved.select("fp", F.coalesce("up", "root").alias("root"))
         n += 1
         place = lambda c, n=n: F.struct(F.xxhash64(F.col(c), F.lit(n)).alias("p"), F.col(c).alias("v"))
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        parent = common.cut(both.groupBy("a").agg(F.min(place("b")).alias("m")).select(F.col("a").alias("node"), F.least(place("a"), F.col("m"))["v"].alias("up")))
+        parent = kept(both.groupBy("a").agg(F.min(place("b")).alias("m")).select(F.col("a").alias("node"), F.least(place("a"), F.col("m"))["v"].alias("up")))
         upper = parent.select(F.col("node").alias("up"), F.col("up").alias("upper"))
-        parent = common.cut(common.looked_up(parent, upper, "up", "node", how.lookup_rows).select("node", F.col("upper").alias("up")))
+        parent = kept(common.looked_up(parent, upper, "up", "node", how.lookup_rows).select("node", F.col("upper").alias("up")))
         if roots is None:
             roots = parent.select(F.col("node").alias("fp"), F.col("up").alias("root"))
         else:
             moved = common.looked_up(roots, parent.select(F.col("node").alias("root"), "up"), "root", "fp", how.lookup_rows, how="left")
-            roots = common.cut(moved.select("fp", F.coalesce("up", "root").alias("root")))
+            roots = kept(moved.select("fp", F.coalesce("up", "root").alias("root")))
         edges = common.looked_up(edges, parent.select(F.col("node").alias("a"), F.col("up").alias("x")), "a", "b", how.lookup_rows)
         edges = common.looked_up(edges, parent.select(F.col("node").alias("b"), F.col("up").alias("y")), "b", "a", how.lookup_rows)
         edges = edges.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b"))
-        edges = common.cut(common.map_arrow(edges, _local, "a bigint, b bigint"))
-    if roots is None:
-        return edges.select(F.col("a").alias("fp"), F.col("b").alias("root"))
-    return roots
 
 
 def groups(prints: DataFrame, how: Near = Near()) -> DataFrame:
