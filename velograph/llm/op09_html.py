@@ -5,7 +5,8 @@ all pages of a host, of all their blocks, are concatenated; a suffix array with
 substrings of `min_tokens` or more that two distinct pages share, and how many pages share them. Then, for each block:
 
 - one inside navigation, header, footer, sidebar, notice, advert, form or reader comments, by tag, role or class,
-  goes; repetition can't tell such text where it differs from page to page;
+  goes; repetition can't tell such text where it differs from page to page. Where that leaves a page without any text,
+  class and id make no chrome, nor does a form, and repetition decides;
 - one inside an article or main element stays, whole: what an article quotes is no boilerplate, however often its
   host repeats it. A class or id makes no article or main element chrome, nor an element around the only ones;
 - any other one is decided by repetition. If its container is mostly covered by shared substrings, and isn't the bulk of
@@ -27,10 +28,12 @@ columns of the table, whatever their names, aren't read.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import html
 import math
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -75,7 +78,11 @@ _CHROME_TAGS = {"nav", "header", "footer", "aside", "form", "head", "button", "s
 #: Tags that end an svg or math left open, and what may hold such tags inside one.
 _BREAKOUT = set("article main section body blockquote center dd div dl dt em h1 h2 h3 h4 h5 h6 header footer nav aside figure hr li ol p pre table ul".split())
 _INNER_HTML = re.compile(r"<(?:foreignobject|annotation-xml|mtext|title|desc)\b", re.I)
-_ENDS = {tag: re.compile(rf"</{tag}[\s>/]", re.I) for tag in _UNSEEN | _RAW}
+#: An end tag may have white space, a slash or attributes behind its name.
+_ENDS = {tag: re.compile(rf"</{tag}(?=[\s>/])[^>]*>", re.I) for tag in _UNSEEN | _RAW}
+#: Elements beside the text, by tag, and their start and end tags.
+_SIDES = ("nav", "header", "head", "aside")
+_SIDE_TAGS = {tag: re.compile(rf"<(/?){tag}(?=[\s>/])", re.I) for tag in _SIDES}
 _CHROME_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"}
 _CHROME_NAMES = set(
     "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion sidebar sidebars widget widgets menu menus nav navbar navigation "
@@ -115,11 +122,13 @@ def _named_chrome(names: str) -> bool:
     return False
 
 
-def _kind(tag: str, raw: str, inside: int) -> int | None:
-    """What an element makes of its content; None if nothing."""
-    named = tag not in ("html", "body", "article", "main") and not (tag == "header" and inside == MAIN)
+def _kind(tag: str, raw: str, inside: int, lenient: bool = False) -> int | None:
+    """What an element makes of its content; None if nothing. Lenient: no name makes it chrome, and no form is."""
+    named = not lenient and tag not in ("html", "body", "article", "main") and not (tag == "header" and inside == MAIN)
     if tag in ("article", "main"):
         kind = MAIN
+    elif tag == "form":
+        kind = None if lenient else BY_NAME  # some pages are one form
     elif tag in _CHROME_TAGS and not (tag == "header" and inside == MAIN):
         return CHROME
     else:
@@ -128,7 +137,9 @@ def _kind(tag: str, raw: str, inside: int) -> int | None:
         return kind
     found = _attributes(raw)
     role = found.get("role", "").lower()
-    if "hidden" in found or found.get("aria-hidden") == "true" or role in _CHROME_ROLES:
+    if tag in ("html", "body"):
+        pass  # a script shows a page that is hidden as a whole, or hides it behind a dialog for a while
+    elif "hidden" in found or found.get("aria-hidden") == "true" or role in _CHROME_ROLES:
         return CHROME
     if role in _MAIN_ROLES or found.get("itemprop", "").lower() == "articlebody":
         kind = MAIN
@@ -152,12 +163,18 @@ def placed(page: str | None) -> list[tuple[int, str, int]]:
         framed, _ = _blocks(page, True)
         if sum(len(t) for k, t, _ in framed if k == MAIN) > sum(len(t) for k, t, _ in out if k == NEUTRAL):
             return framed
+    if all(k == CHROME for k, _, _ in out):
+        # A name, or a form around all, doesn't take a page's whole text: repetition decides.
+        lenient, _ = _blocks(page, True, True)
+        if any(k != CHROME for k, _, _ in lenient):
+            return lenient
     return out
 
 
-def _blocks(page: str | None, frames: bool) -> tuple[list[tuple[int, str, int]], bool]:
-    """The blocks, and whether an article was met in an element that is chrome by name. With `frames`, such an
-    element is none from there on; around a main element it never is."""
+def _blocks(page: str | None, frames: bool, lenient: bool = False) -> tuple[list[tuple[int, str, int]], bool]:
+    """The blocks, and whether an article was met in an element that is chrome by name, or a form. With `frames`, such an
+    element is none from there on; around a main element it never is. Lenient: names make no chrome, nor do forms, and an
+    article leaves any nav, header or aside that it is in."""
     out: list[tuple[int, str, int]] = []
     held: list[str] = []
     groups: list[tuple[str, int]] = []  # open elements of _GROUPS and their numbers
@@ -167,6 +184,9 @@ def _blocks(page: str | None, frames: bool) -> tuple[list[tuple[int, str, int]],
     around = False
     by_name = False  # whether the chrome on top is by name
     last: dict[str, int] = {}  # where the last end tag of a name begins
+    n_open: Counter[str] = Counter()  # how many of open_ have a name
+    n_grouped: Counter[str] = Counter()  # and of groups
+    sides: dict[str, tuple[list[int], list[bool]]] = {}  # of a name of _SIDES its tags, and whether an end tag without a start follows
     inner = -1  # where HTML inside svg or math begins last
 
     def ends_later(tag):
@@ -174,6 +194,24 @@ def _blocks(page: str | None, frames: bool) -> tuple[list[tuple[int, str, int]],
             last[tag] = max((m.start() for m in _ENDS[tag].finditer(page)), default=-1)
         return last[tag] >= at
 
+    def ended_later(tag):
+        """Whether the innermost open element of a name of _SIDES gets its end tag."""
+        if tag not in sides:
+            found = [(m.start(), -1 if m[1] else 1) for m in _SIDE_TAGS[tag].finditer(page)]
+            least, low = [], 0
+            for _, step in reversed(found):
+                low = step + min(0, low)
+                least.append(low < 0)
+            sides[tag] = [p for p, _ in found], least[::-1]
+        places, ends = sides[tag]
+        k = bisect.bisect_left(places, at)
+        return k < len(places) and ends[k]
+
+    def leave(k):
+        """Closes the open elements from the k-th on."""
+        n_open.subtract(t for t, _ in open_[k:])
+        del open_[k:], kinds[k + 1 :]
+
     def close_block():
         if held:
             text = " ".join(html.unescape("".join(held)).split())
@@ -209,7 +247,7 @@ def _blocks(page: str | None, frames: bool) -> tuple[list[tuple[int, str, int]],
         tag = m[2].lower()
         if not m[1] and tag in _RAW:
             # Left open, a script or style takes what follows, as in a browser; of others the start tag alone goes.
-            stop = re.compile(rf"</{tag}\s*>", re.I).search(page, at) if ends_later(tag) else None
+            stop = _ENDS[tag].search(page, at) if ends_later(tag) else None
             at = stop.end() if stop else end if tag in ("script", "style") else at
             if tag not in _INLINE:
                 close_block()
@@ -217,42 +255,38 @@ def _blocks(page: str | None, frames: bool) -> tuple[list[tuple[int, str, int]],
         if tag not in _INLINE:
             close_block()
         if m[1]:
-            if tag in _GROUPS:
-                for k in range(len(groups) - 1, -1, -1):
-                    if groups[k][0] == tag:
-                        del groups[k:]
-                        break
-            for k in range(len(open_) - 1, -1, -1):
-                if open_[k][0] == tag:
-                    if open_[k][1]:
-                        open_[k] = (tag, open_[k][1] - 1)
-                    else:
-                        close_block()
-                        del open_[k:], kinds[k + 1 :]
-                    break
+            if n_grouped[tag] > 0:
+                k = next(k for k in range(len(groups) - 1, -1, -1) if groups[k][0] == tag)
+                n_grouped.subtract(t for t, _ in groups[k:])
+                del groups[k:]
+            if n_open[tag] > 0:
+                k = next(k for k in range(len(open_) - 1, -1, -1) if open_[k][0] == tag)
+                if open_[k][1]:
+                    open_[k] = (tag, open_[k][1] - 1)
+                else:
+                    close_block()
+                    leave(k)
             continue
         if tag in _VOID or m[3].endswith("/") or tag in _UNSEEN and not ends_later(tag):
             continue
         if tag in _GROUPS:
             n_groups += 1
             groups.append((tag, n_groups))
+            n_grouped[tag] += 1
         if open_ and open_[-1][0] in _FOREIGN:
             if _INNER_HTML.match(m[0]):
                 inner = len(open_)
             elif tag in _BREAKOUT and inner != len(open_):
-                open_.pop()
-                kinds.pop()
+                leave(len(open_) - 1)
         if tag in _FOREIGN and kinds[-1] != CHROME:
             inner = -1
-        if tag in ("article", "main") and kinds[-1] == CHROME and open_[-1][0] in ("nav", "header", "head", "aside") and not _named_chrome(_names(_attributes(m[3]))):
-            while open_ and open_[-1][0] in ("nav", "header", "head", "aside"):  # left open by mistake
-                open_.pop()
-                kinds.pop()
+        if tag in ("article", "main") and kinds[-1] == CHROME and open_[-1][0] in _SIDES and not _named_chrome(_names(_attributes(m[3]))):
+            while open_ and open_[-1][0] in _SIDES and (lenient or not ended_later(open_[-1][0])):  # left open by mistake
+                leave(len(open_) - 1)
         if tag == "body":
             while open_ and open_[-1][0] == "head":
-                open_.pop()
-                kinds.pop()
-        kind = _kind(tag, m[3], kinds[-1])
+                leave(len(open_) - 1)
+        kind = _kind(tag, m[3], kinds[-1], lenient)
         if kind == MAIN and kinds[-1] == CHROME and by_name:
             own = _attributes(m[3])
             if tag == "main" or not _named_chrome(_names(own)):
@@ -263,13 +297,12 @@ def _blocks(page: str | None, frames: bool) -> tuple[list[tuple[int, str, int]],
         if kind is not None and kinds[-1] != CHROME:
             close_block()
             open_.append((tag, 0))
+            n_open[tag] += 1
             by_name = kind == BY_NAME
             kinds.append(CHROME if by_name else kind)
-        else:
-            for k in range(len(open_) - 1, -1, -1):
-                if open_[k][0] == tag:
-                    open_[k] = (tag, open_[k][1] + 1)
-                    break
+        elif n_open[tag] > 0:
+            k = next(k for k in range(len(open_) - 1, -1, -1) if open_[k][0] == tag)
+            open_[k] = (tag, open_[k][1] + 1)
     close_block()
     return out, around
 
@@ -420,7 +453,7 @@ def _text(found: list[tuple[int, str, int]], mark: np.ndarray, often: np.ndarray
 
 
 _PARSED = "page_id bigint, url string, host string, n_tokens bigint, asks boolean, kinds array<int>, places array<int>, texts string"
-_FOUND = "page_id bigint, url string, text string, n_guarded bigint, n_neutral bigint, n_shared bigint"
+_FOUND = "page_id bigint, url string, text string, n_neutral bigint"
 
 
 def _split(texts: str | None) -> list[str]:
@@ -533,7 +566,7 @@ def decide(parsed: DataFrame, how: Boilerplate = Boilerplate()) -> DataFrame:
                 found = [list(zip(k, t, p, strict=True)) for k, t, p in zip(part["kinds"].to_pylist(), (_split(zstandard.decompress(x).decode() if x else None) for x in part["texts"].to_pylist()), part["places"].to_pylist(), strict=True)]
                 owner = [-1 if x is None else x for x in part["page_id"].to_pylist()]
                 out = settle(list(zip(owner, found, strict=True)), how, part["host_pages"][0].as_py(), shared, often)
-                yield pa.RecordBatch.from_arrays([part["page_id"].combine_chunks(), part["url"].combine_chunks(), pa.array([x[0] for x in out], pa.string()), *(pa.array([x[k] for x in out], pa.int64()) for k in (1, 2, 3))], [c.split()[0] for c in _FOUND.split(", ")])
+                yield pa.RecordBatch.from_arrays([part["page_id"].combine_chunks(), part["url"].combine_chunks(), pa.array([x[0] for x in out], pa.string()), pa.array([x[2] for x in out], pa.int64())], [c.split()[0] for c in _FOUND.split(", ")])
             held = held.slice(starts[-1])
 
     both = rows.unionByName(_evidence(dealt, how), allowMissingColumns=True)
@@ -542,10 +575,9 @@ def decide(parsed: DataFrame, how: Boilerplate = Boilerplate()) -> DataFrame:
 
 
 def extract(pages: DataFrame, how: Boilerplate = Boilerplate()) -> DataFrame:
-    """page_id, url, text, n_chars of each row of pages (page_id, url, html); and n_guarded, n_neutral, n_shared: main
-    blocks that stayed though shared, other blocks that stayed, and blocks outside main that are shared."""
+    """page_id, url, text, n_chars of each row of pages (page_id, url, html); and n_neutral: how many blocks outside main stayed."""
     found = decide(common.written(parse(pages)), how)
-    return found.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"), "n_guarded", "n_neutral", "n_shared")
+    return found.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"), "n_neutral")
 
 
 def _then_none(batches):
