@@ -1,9 +1,9 @@
 """Fluid moments of a distribution: density, mean velocity, temperature.
 
-Three ways with equal results up to rounding: one pass of moments about a fixed velocity (one shuffle of
+Four ways with equal results up to rounding: one pass of moments about a fixed velocity (one shuffle of
 partial sums; the default), two passes (the central moment summed about the mean, as defined; two shuffles of
-partial sums, as long as the cells' means are few enough to be broadcast), and a block layout, where a cell's values
-are one array and nothing is shuffled.
+partial sums, as long as the cells' means are few enough to be broadcast), one pass of exact sums (the same bits for any
+partitioning), and a block layout, where a cell's values are one array and nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from velograph.functions.exact import exact_total
 from velograph.functions.numeric import ieee_div, total
 from velograph.schemas import CELL
 from velograph.sources.generate import small
@@ -47,17 +48,28 @@ def one_pass(f: DataFrame, keys: Sequence[str] = CELL, about: Column | float = 0
     return sums.select(*keys, m0.alias("density"), (F.col("about") + d).alias("mean_velocity"), (ieee_div(m2, m0) - d * d).alias("temperature"))
 
 
-def two_pass(f: DataFrame, keys: Sequence[str] = CELL, skipna: bool = False, cells: int | None = None) -> DataFrame:
+def two_pass(f: DataFrame, keys: Sequence[str] = CELL, skipna: bool = False, cells: int | None = None, colocated: bool = False) -> DataFrame:
     """First density and mean velocity, by partial sums; then the second moment about that mean. cells: how many there
     are, if known. Few are broadcast, so f itself isn't shuffled; else Spark chooses the join, and the sums
     keep its partitioning."""
     wf = F.col("w") * F.col("f")
     first = f.groupBy(*keys).agg(total(wf, skipna).alias("density"), total(wf * F.col("vpar"), skipna).alias("m1")).select(*keys, "density", ieee_div(F.col("m1"), F.col("density")).alias("mean_velocity"))
     v = F.col("vpar") - F.col("mean_velocity")
-    second = f.join(small(first, cells) if cells else first, list(keys)).groupBy(*keys).agg(F.first("density").alias("density"), F.first("mean_velocity").alias("mean_velocity"), total(wf * v * v, skipna).alias("m2"))
+    means = first.hint("merge") if colocated else small(first, cells) if cells else first
+    second = f.join(means, list(keys)).groupBy(*keys).agg(F.first("density").alias("density"), F.first("mean_velocity").alias("mean_velocity"), total(wf * v * v, skipna).alias("m2"))
     return second.select(*keys, "density", "mean_velocity", ieee_div(F.col("m2"), F.col("density")).alias("temperature"))
 
 
+def exact(f: DataFrame, keys: Sequence[str] = CELL, about: Column | float = 0.0, skipna: bool = False) -> DataFrame:
+    """One pass, with sums whose bits don't depend on how rows are split or ordered."""
+    about = F.lit(about) if isinstance(about, float | int) else about
+    wf, v = F.col("w") * F.col("f"), F.col("vpar") - about
+    sums = f.groupBy(*keys).agg(*[exact_total(x, skipna).alias(n) for n, x in (("m0", wf), ("m1", wf * v), ("m2", wf * v * v))], F.max(about).alias("about"))
+    m0, m1, m2 = (F.col(c) for c in ("m0", "m1", "m2"))
+    d = ieee_div(m1, m0)
+    return sums.select(*keys, m0.alias("density"), (F.col("about") + d).alias("mean_velocity"), (ieee_div(m2, m0) - d * d).alias("temperature"))
+
+
 def moments(f: DataFrame, which: Sequence[str] = ALL, keys: Sequence[str] = CELL, *, method: str = "one_pass", about: Column | float = 0.0, skipna: bool = False, cells: int | None = None) -> DataFrame:
     """The moments named, of f with vpar and w; cells: how many there are, if known."""
     if unknown := set(which) - set(ALL):
@@ -66,6 +78,8 @@ def moments(f: DataFrame, which: Sequence[str] = ALL, keys: Sequence[str] = CELL
         out = one_pass(f, keys, about, skipna)
     elif method == "two_pass":
         out = two_pass(f, keys, skipna, cells)
+    elif method == "exact":
+        out = exact(f, keys, about, skipna)
     else:
         raise ValueError(f"unknown method {method!r}")
     return out.select(*keys, *which)
@@ -77,6 +91,13 @@ def to_blocks(f: DataFrame, keys: Sequence[str] = CELL) -> DataFrame:
     return f.groupBy(*keys).agg(rows.alias("x")).select(*keys, F.transform("x", lambda r: r["f"]).alias("f"))
 
 
+def to_dense_blocks(f: DataFrame, keys: Sequence[str], n_iv: int, n_im: int) -> DataFrame:
+    """As to_blocks, of a distribution that lacks points: 0 there. A point comes once at most."""
+    at = F.map_from_entries(F.collect_list(F.struct((F.col("iv") * n_im + F.col("im")).alias("k"), "f")))
+    places = F.sequence(F.lit(0), F.lit(n_iv * n_im - 1))
+    return f.groupBy(*keys).agg(at.alias("x")).select(*keys, F.transform(places, lambda k: F.coalesce(F.try_element_at("x", k), F.lit(0.0))).alias("f"))
+
+
 def weight_arrays(weights: DataFrame) -> tuple[list[float], list[float]]:
     """w and vpar in the order of (iv, im); as many as velocity points, which a block has too."""
     rows = sorted(weights.select("iv", "im", "w", "vpar").collect())

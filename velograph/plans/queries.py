@@ -5,16 +5,15 @@ that write and read the store, are on smaller ones of the same kind."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from velograph.config import KINDS, Run, from_mapping, is_yaml
 from velograph.functions.numeric import ieee_div, pad_to, steady
 from velograph.operators import distribution, exchange, moments, quadrature, verify
-from velograph.plans import simulate, timing
+from velograph.plans import simulate, table_queries, timing  # noqa: F401  (its queries are registered too)
 from velograph.plans.events import Events
+from velograph.plans.registry import ORACLES, QUERIES, query, rounded  # noqa: F401
 from velograph.schemas import CELL, POINT
 from velograph.sources import files, generate
 from velograph.streaming import insitu
@@ -28,23 +27,6 @@ SHIFTS = [(1, 0.0, 0.0), (2, 0.25, -0.5), (3, -0.75, 0.125)]
 #: Durations between fixed time points, in order.
 TIME_POINTS = [("initialisation", 0.0), ("mpi_transpose", 1.25), ("fluid_moments", 3.5), ("gpu2cpu", 4.0), ("write", 4.0), ("end", 6.75)]
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None) -> Callable:
-    def keep(fn):
-        QUERIES[fn.__name__] = fn
-        if sql:
-            ORACLES[fn.__name__] = sql
-        return fn
-
-    return keep
-
-
-def _rounded(df: DataFrame, *columns: str, digits: int = 9) -> DataFrame:
-    return df.withColumns({c: steady(F.col(c), digits) for c in columns})
-
 
 # --- SQL of the grid -------------------------------------------------------------------------------
 
@@ -118,12 +100,12 @@ def species_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(" UNION ALL ".join(f"SELECT '{n}' AS axis, idx, round(coord, 9) + 0.0 AS coord, {str(a.periodic).lower()} AS periodic FROM {_points(Run(), n, 'idx', 'coord')}" for n, a in Run().axes.items()))
 def mesh_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(generate.axis_table(spark, Run()), "coord")
+    return rounded(generate.axis_table(spark, Run()), "coord")
 
 
 @query(" UNION ALL ".join(f"SELECT '{n}' AS axis, i::INT AS idx, round({_num(a.lo)} + i * (({_num(a.hi)} - {_num(a.lo)}) / {a.ncells}), 9) + 0.0 AS breakpoint FROM range(0, {a.ncells + 1}) AS t(i)" for n, a in Run().axes.items()))
 def mesh_breakpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(generate.breakpoint_table(spark, Run()), "breakpoint")
+    return rounded(generate.breakpoint_table(spark, Run()), "breakpoint")
 
 
 @query(f"SELECT name, extent::BIGINT AS extent FROM (VALUES ('species', 2), ('tor1', {15 + 3}), ('tor2', 32), ('tor3', 32), ('vpar', {15 + 1}), ('mu', {9 + 1})) AS t(name, extent)")
@@ -138,23 +120,23 @@ def mesh_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(" UNION ALL ".join(f"SELECT '{n}' AS axis, idx, round(w, 9) + 0.0 AS w FROM {_weights(Run(), n, 'idx', 'coord', 'w')}" for n in ("tor1", "vpar", "mu")))
 def trapezoid_weights_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(quadrature.trapezoid_weights(generate.axis_table(spark, Run(), "tor1", "vpar", "mu")).select("axis", "idx", "w"), "w")
+    return rounded(quadrature.trapezoid_weights(generate.axis_table(spark, Run(), "tor1", "vpar", "mu")).select("axis", "idx", "w"), "w")
 
 
 @query(f"SELECT iv, im, round(vpar, 9) + 0.0 AS vpar, round(mu, 9) + 0.0 AS mu, round(wv * wm, 9) + 0.0 AS w FROM {_weights(GRID, 'vpar', 'iv', 'vpar', 'wv')}, {_weights(GRID, 'mu', 'im', 'mu', 'wm')}")
 def quadrature_weights_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(quadrature.velocity_weights(spark, GRID), "vpar", "mu", "w")
+    return rounded(quadrature.velocity_weights(spark, GRID), "vpar", "mu", "w")
 
 
 @query(f"SELECT {_CELLS}, iv, im, round(f, 12) + 0.0 AS f FROM {_f_sql()}")
 def maxwellian_init(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(distribution.initial(spark, GRID), "f", digits=12)
+    return rounded(distribution.initial(spark, GRID), "f", digits=12)
 
 
 @query(f"SELECT iteration, {_CELLS}, iv, im, round(f * {_factor_sql()}, 12) + 0.0 AS f FROM {_f_sql()}, {_shifts_sql()}")
 def perturb_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = distribution.perturb(distribution.initial(spark, GRID), spark, GRID, generate.shift_table(spark, SHIFTS), len(SHIFTS))
-    return _rounded(f, "f", digits=12)
+    return rounded(f, "f", digits=12)
 
 
 # --- moments on the grid ---------------------------------------------------------------------------
@@ -166,38 +148,38 @@ def _weighted(spark: SparkSession) -> DataFrame:
 
 @query(_one("density", _FULL_MOMENTS, _CELLS))
 def moment_density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(moments.density(_weighted(spark)), "density")
+    return rounded(moments.density(_weighted(spark)), "density")
 
 
 @query(_one("mean_velocity", _FULL_MOMENTS, _CELLS))
 def moment_velocity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(moments.mean_velocity(_weighted(spark)), "mean_velocity")
+    return rounded(moments.mean_velocity(_weighted(spark)), "mean_velocity")
 
 
 @query(_one("temperature", _FULL_MOMENTS, _CELLS))
 def moment_temperature(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(moments.temperature(_weighted(spark)), "temperature")
+    return rounded(moments.temperature(_weighted(spark)), "temperature")
 
 
 @query(_FULL_MOMENTS)
 def fluid_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(simulate.moments_of(distribution.initial(spark, FULL), spark, FULL), *moments.ALL)
+    return rounded(simulate.moments_of(distribution.initial(spark, FULL), spark, FULL), *moments.ALL)
 
 
 @query(_FULL_MOMENTS)
 def fluid_moments_two_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(simulate.moments_of(distribution.initial(spark, FULL), spark, FULL, method="two_pass"), *moments.ALL)
+    return rounded(simulate.moments_of(distribution.initial(spark, FULL), spark, FULL, method="two_pass"), *moments.ALL)
 
 
 @query(_FULL_MOMENTS)
 def fluid_moments_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     w, vpar = moments.weight_arrays(quadrature.velocity_weights(spark, FULL))
-    return _rounded(moments.block_moments(moments.to_blocks(distribution.initial(spark, FULL)), w, vpar), *moments.ALL)
+    return rounded(moments.block_moments(moments.to_blocks(distribution.initial(spark, FULL)), w, vpar), *moments.ALL)
 
 
 @query(f"SELECT {_CELLS}, round(sum(w * (mu * f)), 9) + 0.0 AS integral FROM {_f_sql(FULL)} GROUP BY {_CELLS}")
 def custom_integrand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(quadrature.integrate(_weighted(spark), lambda f: F.col("mu") * F.col("f")), "integral")
+    return rounded(quadrature.integrate(_weighted(spark), lambda f: F.col("mu") * F.col("f")), "integral")
 
 
 def _states_sql(run: Run) -> str:
@@ -208,7 +190,7 @@ def _states_sql(run: Run) -> str:
 @query(_moments_sql(_states_sql(FULL), f"iteration, {_CELLS}"))
 def insitu_moments_by_iteration(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = Run(FULL.axes, FULL.species, n_iterations=len(SHIFTS) + 1)
-    return _rounded(simulate.in_situ(spark, run, generate.shift_table(spark, SHIFTS)), *moments.ALL)
+    return rounded(simulate.in_situ(spark, run, generate.shift_table(spark, SHIFTS)), *moments.ALL)
 
 
 # --- exchange --------------------------------------------------------------------------------------
@@ -216,18 +198,18 @@ def insitu_moments_by_iteration(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT {_CELLS}, iv, im, round(f, 12) + 0.0 AS f FROM {_f_sql()}")
 def transpose_v2d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(exchange.transpose_v2d(distribution.initial(spark, GRID)), "f", digits=12)
+    return rounded(exchange.transpose_v2d(distribution.initial(spark, GRID)), "f", digits=12)
 
 
 @query(f"SELECT {_CELLS}, iv, im, round(f, 12) + 0.0 AS f FROM {_f_sql()}")
 def transpose_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(exchange.transpose_back(exchange.transpose_v2d(exchange.spatial_split(distribution.initial(spark, GRID)))), "f", digits=12)
+    return rounded(exchange.transpose_back(exchange.transpose_v2d(exchange.spatial_split(distribution.initial(spark, GRID)))), "f", digits=12)
 
 
 @query(f"SELECT sp, iv, im, p::INT AS pos, round(x[p + 1], 12) + 0.0 AS f FROM (SELECT sp, iv, im, list(f * {_factor_sql()} ORDER BY i1, i2, i3) AS x FROM {_f_sql()}, {_shifts_sql()} WHERE iteration = 2 GROUP BY sp, iv, im), range(0, 448) AS t(p)")
 def transpose_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = simulate.state(spark, GRID, generate.shift_table(spark, SHIFTS), 2)
-    return _rounded(exchange.transpose_blocks(f).select("sp", "iv", "im", F.posexplode("f").alias("pos", "f")), "f", digits=12)
+    return rounded(exchange.transpose_blocks(f).select("sp", "iv", "im", F.posexplode("f").alias("pos", "f")), "f", digits=12)
 
 
 _BOX = ({"sp": 1, "i1": 2, "i2": 1, "i3": 4, "iv": 3, "im": 0}, {"sp": 1, "i1": 3, "i2": 5, "i3": 4, "iv": 10, "im": 10})
@@ -235,7 +217,7 @@ _BOX = ({"sp": 1, "i1": 2, "i2": 1, "i3": 4, "iv": 3, "im": 0}, {"sp": 1, "i1":
 
 @query(f"SELECT {_CELLS}, iv, im, round(f, 12) + 0.0 AS f FROM {_f_sql()} WHERE " + " AND ".join(f"{c} BETWEEN {a} AND {a + _BOX[1][c] - 1}" for c, a in _BOX[0].items()))
 def hyperslab_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(exchange.hyperslab(distribution.initial(spark, GRID), *_BOX), "f", digits=12)
+    return rounded(exchange.hyperslab(distribution.initial(spark, GRID), *_BOX), "f", digits=12)
 
 
 @query(
@@ -266,7 +248,7 @@ _ERRORS = "round(max(d) FILTER (NOT isnan(d)), 9) + 0.0 AS max_abs_error, round(
 
 def _without_noise(df: DataFrame) -> DataFrame:
     """Relative errors that are rounding alone (the electrons' mean velocity is about 0) are left out."""
-    return _rounded(df.withColumn("max_rel_error", F.when(F.col("max_rel_error") > 1e-9, F.col("max_rel_error"))), "max_abs_error", "max_rel_error")
+    return rounded(df.withColumn("max_rel_error", F.when(F.col("max_rel_error") > 1e-9, F.col("max_rel_error"))), "max_abs_error", "max_rel_error")
 
 
 @query(f"SELECT {_ERRORS} FROM {_DIFFERENCES} WHERE variable <> 'mean_velocity'")
@@ -349,25 +331,25 @@ def stored_axis_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(" UNION ALL ".join(f"SELECT '{n}' AS axis, idx, round(coord, 9) + 0.0 AS coord, {str(a.periodic).lower()} AS periodic FROM {_points(GRID, n, 'idx', 'coord')}" for n, a in GRID.axes.items() if n in ("tor1", "mu")))
 def stored_axis_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = _stored_mesh(spark)
-    return _rounded(files.read_axis(spark, top, "tor1").unionByName(files.read_axis(spark, top, "mu")), "coord")
+    return rounded(files.read_axis(spark, top, "tor1").unionByName(files.read_axis(spark, top, "mu")), "coord")
 
 
 @query("SELECT 'vpar' AS axis, i::INT AS idx, round(-7.0::DOUBLE + i * (14.0::DOUBLE / 15), 9) + 0.0 AS breakpoint FROM range(0, 16) AS t(i)")
 def stored_breakpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(files.read_breakpoints(spark, _stored_mesh(spark), "vpar"), "breakpoint")
+    return rounded(files.read_breakpoints(spark, _stored_mesh(spark), "vpar"), "breakpoint")
 
 
 @query(f"SELECT {_CELLS}, iv, im, round(f, 12) + 0.0 AS f FROM {_f_sql()} WHERE " + " AND ".join(f"{c} BETWEEN {a} AND {a + _BOX[1][c] - 1}" for c, a in _BOX[0].items()))
 def stored_hyperslab(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A box of the stored distribution: two indices prune folders, the others go into the scan."""
-    return _rounded(files.read_distribution(spark, _stored_f(spark), *_BOX), "f", digits=12)
+    return rounded(files.read_distribution(spark, _stored_f(spark), *_BOX), "f", digits=12)
 
 
 @query(f"SELECT i1, count(*)::BIGINT AS n, round(sum(f), 9) + 0.0 AS total FROM {_f_sql()} GROUP BY i1")
 def stored_chunks_by_tor1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored distribution, a chunk for each index of tor1, which is a folder."""
     f = exchange.chunks_by(files.read_distribution(spark, _stored_f(spark)), "i1")
-    return _rounded(f.groupBy("i1").agg(F.count("*").alias("n"), F.sum("f").alias("total")), "total")
+    return rounded(f.groupBy("i1").agg(F.count("*").alias("n"), F.sum("f").alias("total")), "total")
 
 
 @query(_GRID_MOMENTS)
@@ -376,7 +358,7 @@ def stored_blocks_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = files.scratch(spark, "blocks")
     files.write_blocks(moments.to_blocks(distribution.initial(spark, GRID)), top)
     w, vpar = moments.weight_arrays(quadrature.velocity_weights(spark, GRID))
-    return _rounded(moments.block_moments(files.read_blocks(spark, top), w, vpar), *moments.ALL)
+    return rounded(moments.block_moments(files.read_blocks(spark, top), w, vpar), *moments.ALL)
 
 
 @query(f"SELECT {_CELLS}, iv, im, round(f, 12) + 0.0 AS f FROM {_f_sql(TINY)}")
@@ -384,7 +366,7 @@ def stored_transposed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The transposed distribution that a run in its first mode leaves."""
     top = files.scratch(spark, "run")
     simulate.simulate(spark, Run(TINY.axes, TINY.species, "mpi_transpose"), generate.shift_table(spark, SHIFTS), top)
-    return _rounded(files.read_transposed(spark, top), "f", digits=12)
+    return rounded(files.read_transposed(spark, top), "f", digits=12)
 
 
 @query(_moments_sql(_f_sql(TINY), _CELLS))
@@ -393,7 +375,7 @@ def stored_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = files.scratch(spark, "run")
     run = Run(TINY.axes, TINY.species, "mpi_transpose")
     files.write_moments(simulate.moments_of(distribution.initial(spark, GRID), spark, GRID), top)
-    return _rounded(simulate.simulate(spark, run, generate.shift_table(spark, SHIFTS), top), *moments.ALL)
+    return rounded(simulate.simulate(spark, run, generate.shift_table(spark, SHIFTS), top), *moments.ALL)
 
 
 @query(f"SELECT iteration, {_CELLS}, density, mean_velocity AS velocity, temperature FROM ({_moments_sql(_states_sql(TINY), f'iteration, {_CELLS}')}) WHERE iteration = 2")
@@ -401,7 +383,7 @@ def stored_in_situ_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last iteration's moments that a run in its second mode leaves."""
     top = files.scratch(spark, "run")
     simulate.simulate(spark, Run(TINY.axes, TINY.species, n_iterations=3), generate.shift_table(spark, SHIFTS), top)
-    return _rounded(files.read_in_situ(spark, top, last=True).select("iteration", *CELL, "density", "velocity", "temperature"), "density", "velocity", "temperature")
+    return rounded(files.read_in_situ(spark, top, last=True).select("iteration", *CELL, "density", "velocity", "temperature"), "density", "velocity", "temperature")
 
 
 @query(_moments_sql(_states_sql(TINY), f"iteration, {_CELLS}"))
@@ -412,7 +394,7 @@ def stream_in_situ(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = [(0, 0.5, 0.5)] if k == 0 else SHIFTS[k - 1 : k]
         generate.shift_table(spark, rows).coalesce(1).write.parquet(f"{top}/shifts", mode="append")
     insitu.run_stream(spark, TINY, f"{top}/shifts", top, f"{top}/progress").awaitTermination()
-    return _rounded(files.read_in_situ(spark, top).select("iteration", *CELL, *moments.ALL), *moments.ALL)
+    return rounded(files.read_in_situ(spark, top).select("iteration", *CELL, *moments.ALL), *moments.ALL)
 
 
 @query(_moments_sql(f"(SELECT * REPLACE (f * {_factor_sql(TINY)} AS f) FROM {_f_sql(TINY)}, {_shifts_sql()} WHERE iteration = 2)", _CELLS))
@@ -421,7 +403,7 @@ def stored_verified(spark: SparkSession, sf_dir: str) -> DataFrame:
     top, run = files.scratch(spark, "run"), Run(TINY.axes, TINY.species, n_iterations=2)
     simulate.simulate(spark, run, generate.shift_table(spark, SHIFTS), top)
     simulate.verify_run(spark, run, top)
-    return _rounded(files.read_moments(spark, top, "fluid_moments_verified"), *moments.ALL)
+    return rounded(files.read_moments(spark, top, "fluid_moments_verified"), *moments.ALL)
 
 
 @query(f"WITH p AS ({_values(_TIME_SQL, 'ord, name, t')}) SELECT ord::INT AS ord, name, lead(t) OVER (ORDER BY ord) - t AS seconds FROM p QUALIFY seconds IS NOT NULL")
@@ -566,37 +548,37 @@ def _lineitem_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT idx, round(w, 9) + 0.0 AS w FROM {_hundredths_sql('l_discount')}")
 def trapezoid_weights_discount(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(_hundredths(spark, sf_dir, "l_discount").select("idx", "w"), "w")
+    return rounded(_hundredths(spark, sf_dir, "l_discount").select("idx", "w"), "w")
 
 
 @query(f"SELECT idx, round(w, 9) + 0.0 AS w FROM {_hundredths_sql('l_tax')}")
 def trapezoid_weights_tax(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(_hundredths(spark, sf_dir, "l_tax").select("idx", "w"), "w")
+    return rounded(_hundredths(spark, sf_dir, "l_tax").select("idx", "w"), "w")
 
 
 @query(_one("density", _LINEITEM_MOMENTS, _LINEITEM_KEYS))
 def lineitem_density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(moments.density(_lineitem_weighted(spark, sf_dir), ("species", "i1")), "density")
+    return rounded(moments.density(_lineitem_weighted(spark, sf_dir), ("species", "i1")), "density")
 
 
 @query(_one("mean_velocity", _LINEITEM_MOMENTS, _LINEITEM_KEYS))
 def lineitem_velocity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(moments.mean_velocity(_lineitem_weighted(spark, sf_dir), ("species", "i1")), "mean_velocity")
+    return rounded(moments.mean_velocity(_lineitem_weighted(spark, sf_dir), ("species", "i1")), "mean_velocity")
 
 
 @query(_one("temperature", _LINEITEM_MOMENTS, _LINEITEM_KEYS))
 def lineitem_temperature(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(moments.moments(_lineitem_weighted(spark, sf_dir), ("temperature",), ("species", "i1"), about=0.05), "temperature")
+    return rounded(moments.moments(_lineitem_weighted(spark, sf_dir), ("temperature",), ("species", "i1"), about=0.05), "temperature")
 
 
 @query(_LINEITEM_MOMENTS)
 def lineitem_fluid_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(moments.moments(_lineitem_weighted(spark, sf_dir), keys=("species", "i1"), about=0.05), *moments.ALL)
+    return rounded(moments.moments(_lineitem_weighted(spark, sf_dir), keys=("species", "i1"), about=0.05), *moments.ALL)
 
 
 @query(_LINEITEM_MOMENTS)
 def lineitem_fluid_moments_two_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(moments.moments(_lineitem_weighted(spark, sf_dir), keys=("species", "i1"), method="two_pass"), *moments.ALL)
+    return rounded(moments.moments(_lineitem_weighted(spark, sf_dir), keys=("species", "i1"), method="two_pass"), *moments.ALL)
 
 
 _DENSE = f"SELECT s.species, c.i1, v.idx AS iv, m.idx AS im, coalesce(q.f, 0.0::DOUBLE)::DOUBLE AS f FROM (SELECT DISTINCT species FROM q) s, (SELECT DISTINCT i1 FROM q) c, {_hundredths_sql('l_discount')} v, {_hundredths_sql('l_tax')} m LEFT JOIN q ON q.species = s.species AND q.i1 = c.i1 AND q.iv = v.idx AND q.im = m.idx"
@@ -622,7 +604,7 @@ def moments_block_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = [(0.5 if k in (0, n - 1) else 1.0) / ((n - 1) / 2) for k in range(n)]
     t = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     blocks = t.select("vec_id", F.transform("embedding", lambda v: v.cast("double") * v.cast("double")).alias("f"))
-    return _rounded(moments.block_moments(blocks, w, x, ("vec_id",)), *moments.ALL, digits=7)
+    return rounded(moments.block_moments(blocks, w, x, ("vec_id",)), *moments.ALL, digits=7)
 
 
 @query(
@@ -634,7 +616,7 @@ def events_moments_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.col("value")
     sums = t.groupBy("event_type", "day").agg(F.count("*").alias("n"), F.sum(v).alias("density"), F.sum(v * F.col("h")).alias("m1"))
     out = sums.select("event_type", "day", "n", steady(F.col("density"), 4).alias("density"), ieee_div(F.col("m1"), F.col("density")).alias("mean_velocity"))
-    return _rounded(out, "mean_velocity", digits=7)
+    return rounded(out, "mean_velocity", digits=7)
 
 
 @query("SELECT user_id, count(*)::BIGINT AS n, round(sum(s), 3) + 0.0 AS total FROM (SELECT user_id, (epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) - epoch_us(ts)) / 1e6::DOUBLE AS s FROM events) WHERE s IS NOT NULL GROUP BY user_id")
@@ -658,7 +640,7 @@ def labelled_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = exchange.hyperslab(distribution.initial(spark, GRID), {"i1": 0, "i2": 0, "i3": 0}, {"i1": 1, "i2": 1, "i3": 1})
     flat = f.groupBy().agg(F.array_sort(F.collect_list(F.struct(*POINT, "f"))).alias("x")).select(F.transform("x", lambda r: r["f"]).alias("raw"))
     long = generate.labelled(flat, "raw", [2, 1, 1, 1, 16, 10])
-    return _rounded(long.select(*CELL, (F.col("iv") * 10 + F.col("im")).cast("int").alias("pos"), "f"), "f", digits=12)
+    return rounded(long.select(*CELL, (F.col("iv") * 10 + F.col("im")).cast("int").alias("pos"), "f"), "f", digits=12)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

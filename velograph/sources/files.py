@@ -1,4 +1,5 @@
-"""Stored tables: Parquet, one folder for each, with the collision policy "replace and warn"."""
+"""Stored tables: Parquet, one folder for each, with the collision policy "replace and warn". What replaces a table is its next
+version: the one before is read until the new one is whole, and stays for readers that have begun with it."""
 
 from __future__ import annotations
 
@@ -6,14 +7,14 @@ import itertools
 import logging
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from velograph import schemas
 from velograph.config import Run
 from velograph.functions.numeric import decode_padded
 from velograph.operators import exchange
-from velograph.sources import generate
+from velograph.sources import generate, versions
 
 log = logging.getLogger(__name__)
 DISTRIBUTION, MOMENTS, TIMING, IN_SITU = "fdistribu", "fluid_moments", "cpu_time", "fluid_moments_in_situ"
@@ -51,11 +52,30 @@ def scratch(spark: SparkSession, name: str = "scratch") -> str:
     return path
 
 
+def kept(df: DataFrame, name: str = "table") -> DataFrame:
+    """df, written to the shared folder and read from there: computed once, and not again for a lost executor."""
+    path = f"{scratch(df.sparkSession, name)}/rows"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def replace_and_warn(df: DataFrame, path: str, *partition_by: str) -> None:
     if exists(df.sparkSession, path):
         log.warning("replacing %s", path)
-    writer = df.write.mode("overwrite")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    versions.write(df, path, *partition_by)
+    versions.expire(df.sparkSession, path, keep=2)
+
+
+def write_observed(df: DataFrame, path: str, figures: dict[str, Column], *partition_by: str) -> dict:
+    """Writes df, and returns aggregates of its rows that the same job takes as it writes them."""
+    seen = Observation()
+    replace_and_warn(df.observe(seen, *[c.alias(name) for name, c in figures.items()]), path, *partition_by)
+    return seen.get
+
+
+def _table(spark: SparkSession, path: str, schema=None) -> DataFrame:
+    """The current version of a table; a folder of plain Parquet files as it is."""
+    return versions.read(spark, path, schema=schema)
 
 
 def write_distribution(f: DataFrame, run: Run, top: str, *, name: str = DISTRIBUTION, dealt: bool = False) -> None:
@@ -103,24 +123,24 @@ def write_timing(spark: SparkSession, names: list[str], seconds: list[float], to
 
 
 def read_file_names(spark: SparkSession, top: str) -> DataFrame:
-    return spark.read.schema(schemas.FILE_NAMES).parquet(f"{top}/{FILE_NAMES}")
+    return _table(spark, f"{top}/{FILE_NAMES}", schemas.FILE_NAMES)
 
 
 def read_species(spark: SparkSession, top: str) -> DataFrame:
-    return spark.read.schema(schemas.SPECIES).parquet(f"{top}/species")
+    return _table(spark, f"{top}/species", schemas.SPECIES)
 
 
 def read_axis(spark: SparkSession, top: str, axis: str) -> DataFrame:
-    return spark.read.schema(schemas.AXIS).parquet(f"{top}/axis").where(F.col("axis") == axis)
+    return _table(spark, f"{top}/axis", schemas.AXIS).where(F.col("axis") == axis)
 
 
 def read_breakpoints(spark: SparkSession, top: str, axis: str) -> DataFrame:
-    return spark.read.schema(schemas.BREAKPOINTS).parquet(f"{top}/breakpoints").where(F.col("axis") == axis)
+    return _table(spark, f"{top}/breakpoints", schemas.BREAKPOINTS).where(F.col("axis") == axis)
 
 
 def read_extents(spark: SparkSession, top: str) -> dict[str, list[int]]:
     """A handful of numbers, whatever the size of the mesh."""
-    return {r["name"]: list(r["extents"]) for r in spark.read.schema(schemas.EXTENTS).parquet(f"{top}/extents").collect()}
+    return {r["name"]: list(r["extents"]) for r in _table(spark, f"{top}/extents", schemas.EXTENTS).collect()}
 
 
 def axis_size(spark: SparkSession, top: str, axis: str) -> int:
@@ -130,20 +150,20 @@ def axis_size(spark: SparkSession, top: str, axis: str) -> int:
 
 def read_distribution(spark: SparkSession, top: str, starts: dict[str, int] | None = None, sizes: dict[str, int] | None = None, name: str = DISTRIBUTION) -> DataFrame:
     """f, or a hyperslab of it: species and tor1 prune folders, the others are pushed into the scan."""
-    f = spark.read.schema(schemas.DISTRIBUTION).parquet(f"{top}/{name}").select(*schemas.POINT, "f")
+    f = _table(spark, f"{top}/{name}", schemas.DISTRIBUTION).select(*schemas.POINT, "f")
     return exchange.hyperslab(f, starts, sizes or {}) if starts else f
 
 
 def read_transposed(spark: SparkSession, top: str) -> DataFrame:
-    return spark.read.schema(schemas.DISTRIBUTION).parquet(f"{top}/{TRANSPOSED}").select(*exchange.TRANSPOSED, "f")
+    return _table(spark, f"{top}/{TRANSPOSED}", schemas.DISTRIBUTION).select(*exchange.TRANSPOSED, "f")
 
 
 def read_blocks(spark: SparkSession, top: str) -> DataFrame:
-    return spark.read.schema(schemas.BLOCKS).parquet(f"{top}/{BLOCKS}").select(*schemas.CELL, "f")
+    return _table(spark, f"{top}/{BLOCKS}", schemas.BLOCKS).select(*schemas.CELL, "f")
 
 
 def read_moments(spark: SparkSession, top: str, name: str = MOMENTS) -> DataFrame:
-    return spark.read.schema(schemas.MOMENTS).parquet(f"{top}/{name}")
+    return _table(spark, f"{top}/{name}", schemas.MOMENTS)
 
 
 def read_in_situ(spark: SparkSession, top: str, last: bool = False) -> DataFrame:
@@ -166,7 +186,7 @@ def timing_rows(raw: DataFrame) -> DataFrame:
 
 
 def timing_table(spark: SparkSession, top: str) -> DataFrame:
-    return spark.read.schema(schemas.TIMING).parquet(f"{top}/{TIMING}")
+    return _table(spark, f"{top}/{TIMING}", schemas.TIMING)
 
 
 def read_timing(spark: SparkSession, top: str) -> str:
@@ -175,7 +195,7 @@ def read_timing(spark: SparkSession, top: str) -> str:
     if not exists(spark, path):
         raise SystemExit(f"Error: {path} not found")
     try:
-        df = spark.read.parquet(path)
+        df = _table(spark, path)
     except AnalysisException as e:
         raise SystemExit(f"Error reading {path}: {e}") from None
     # Title, rules and columns of the table.
