@@ -279,7 +279,7 @@ def test_decontamination_by_brute_force(spark):
                         ids.add("" if i is None else str(i))
         return len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), bool(hit)
 
-    for how in (op03_decontaminate.Windows(), op03_decontaminate.Windows(broadcast_bytes=0), op03_decontaminate.Windows(broadcast_bytes=0, lookup_rows=0, salts=2)):
+    for how in (op03_decontaminate.Windows(), op03_decontaminate.Windows(broadcast_bytes=0), op03_decontaminate.Windows(broadcast_bytes=0, lookup_rows=0, salts=2), op03_decontaminate.Windows(broadcast_bytes=0, field_bits=64), op03_decontaminate.Windows(broadcast_bytes=0, field_bits=256, lookup_rows=0)):
         clash = docs.withColumn("digest", F.lit("x")).withColumn("N_HIT", F.lit(7))
         out = op03_decontaminate.judged(clash, items, how)
         assert out.columns == [*clash.columns, "r"] and out.where("N_HIT = 7 AND digest = 'x'").count() == len(rows)
@@ -298,6 +298,7 @@ def test_decontamination_of_a_large_benchmark(spark):
     every = items.unionByName(more)
     table = lambda x: sorted(map(str, map(tuple, x.select("doc_id", "r.*").collect())))
     want = table(op03_decontaminate.judged(docs, every))
+    assert table(op03_decontaminate.judged(docs, every, op03_decontaminate.Windows(broadcast_bytes=0, field_bits=1 << 8))) == want  # a field forced full
     assert table(op03_decontaminate.judged(docs, every, op03_decontaminate.Windows(broadcast_bytes=0))) == want and sum("True" in r for r in want) > 200
     jobs = []
     count = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup())

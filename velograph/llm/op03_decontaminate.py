@@ -8,9 +8,10 @@ and length bound); the words around are then compared, so a hit is exact.
 
 The windows of a benchmark of up to `broadcast_bytes` of text are broadcast, and each text is searched where it lies. Those of a
 larger one are a table by prefix shingle, that is joined with the documents' places of such shingles, each
-with the words around: as many jobs however large the benchmark. Bit fields of fixed size keep most places without a
-prefix out of the shuffle, windows are salted against frequent shingles, and documents aren't shuffled unless
-more than `lookup_rows` texts are hit.
+with the words around: as many jobs however large the benchmark. A bit field keeps most places without a
+prefix out of the shuffle. Where it would be crowded, places are joined as numbers first, and words are fetched for those that
+are a prefix's. Windows are salted against frequent shingles, and documents aren't shuffled unless more than `lookup_rows`
+texts are hit.
 
 Null texts have no words. Items without words have no windows. Items of one id count once, with the windows of all their
 texts; an item without id still marks words, its id is the empty text. No items or no documents: nothing is
@@ -45,6 +46,8 @@ class Windows:
     #: Hit texts up to which they are broadcast.
     lookup_rows: int = 100_000
     salts: int = 8
+    #: Bits of a field, 2 MB by default; with more than an eighth as many prefix shingles words are fetched for what joins alone.
+    field_bits: int = 1 << 24
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -179,10 +182,6 @@ def judge(docs: DataFrame, benchmark: DataFrame, how: Windows = Windows()) -> Co
 
 # --- a benchmark of any size ------------------------------------------------------------------------
 
-#: Of a bit field: 2 MB, whatever the benchmark.
-_BITS = 1 << 24
-
-
 def _hash(shingle: tuple[bytes, ...]) -> int:
     return xxhash.xxh64_intdigest(b" ".join(shingle), len(shingle))
 
@@ -191,11 +190,11 @@ def _hashes(words: list[bytes], width: int) -> np.ndarray:
     return np.array([_hash(s) for s in shingles_of(words, width)], np.uint64)
 
 
-def _field(hashes: DataFrame) -> np.ndarray:
-    """A bit field of the hashes in a column h: 2^18 words of 64 bits at most are collected."""
-    place = hashes.select(F.col("h").bitwiseAND(_BITS - 1).alias("p"))
+def _field(hashes: DataFrame, how: Windows) -> np.ndarray:
+    """A bit field of the hashes in a column h: a row for each 64 of its bits at most is collected."""
+    place = hashes.select(F.col("h").bitwiseAND(how.field_bits - 1).alias("p"))
     words = place.select(F.shiftright("p", 6).alias("w"), F.expr("shiftleft(1L, CAST(p & 63 AS INT))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
-    out = np.zeros(_BITS // 64, np.int64)
+    out = np.zeros(how.field_bits // 64, np.int64)
     for r in words.collect():
         out[r.w] = r.b
     return out.view(np.uint64)
@@ -203,7 +202,7 @@ def _field(hashes: DataFrame) -> np.ndarray:
 
 def _among(field: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Which hashes may be of the field."""
-    p = hashes & np.uint64(_BITS - 1)
+    p = hashes & np.uint64(64 * len(field) - 1)
     return (field[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
@@ -292,13 +291,60 @@ def _places(docs: DataFrame, field: np.ndarray, how: Windows) -> DataFrame:
     return common.map_arrow(docs.select("text"), run, "text binary, h bigint, q bigint, around binary, before int")
 
 
+def _bare_places(docs: DataFrame, field: np.ndarray, how: Windows) -> DataFrame:
+    """text, h, q as in _places, without any words."""
+    shared = docs.sparkSession.sparkContext.broadcast(field)
+
+    def run(batches):
+        for batch in batches:
+            for part in common.parts(batch, 0, 1 << 20):
+                texts, h, q = [], [], []
+                for text in common.byte_texts(part.column(0)):
+                    words = words_of(text)
+                    for width in range(1, min(how.shingle, len(words)) + 1):
+                        hashes = _hashes(words, width)
+                        at = np.flatnonzero(_among(shared.value, hashes))
+                        texts += [hashlib.md5(text or b"").digest()] * len(at)
+                        h.append(hashes[at].view(np.int64))
+                        q.append(at)
+                yield pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()), pa.array(np.concatenate(h) if h else [], pa.int64()), pa.array(np.concatenate(q) if q else [], pa.int64())], ["text", "h", "q"])
+
+    return common.map_arrow(docs.select("text"), run, "text binary, h bigint, q bigint")
+
+
+def _fetched(docs: DataFrame, entries: DataFrame, field: np.ndarray, how: Windows) -> DataFrame:
+    """The rows of _places for the places of prefixes alone: those are found by a join of numbers, and their words are then
+    taken from the texts that have any."""
+    far = how.words - 1
+    true = _bare_places(docs, field, how).join(entries.select("h").distinct(), "h", "left_semi")
+    wanted = common.written(true.groupBy("text").agg(F.collect_set(F.struct("q", "h")).alias("at")), "places")
+
+    def run(batches):
+        names = ["text", "h", "q", "around", "before"]
+        for batch in batches:
+            for part in common.parts(batch, 1, 1 << 20):
+                out = []
+                for digest, text, at in zip(part.column(0).to_pylist(), common.byte_texts(part.column(1)), part.column(2).to_pylist(), strict=True):
+                    words = words_of(text)
+                    # A place's shingle isn't longer than the longest; a word more around it changes nothing.
+                    out += [(digest, r["h"], r["q"], b" ".join(words[max(r["q"] - far, 0) : r["q"] + how.shingle + far]), min(r["q"], far)) for r in at]
+                kinds = (pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names)
+
+    keyed = docs.select(F.unhex(F.md5(F.col("text").cast("string").cast("binary"))).alias("digest"), F.col("text").alias("whole"))
+    texts = keyed.join(common.small_or_all(wanted.withColumnRenamed("text", "digest"), how.lookup_rows), "digest").dropDuplicates(["digest"]).select("digest", "whole", "at")
+    return common.map_arrow(texts, run, "text binary, h bigint, q bigint, around binary, before int")
+
+
 def _joined(docs: DataFrame, items: DataFrame, how: Windows, name: str) -> DataFrame:
     items = common.cut(items.withColumn("item", F.xxhash64("id", "text")))
     shingles = _shingled(items, how)
-    counted = _counted(docs, _field(shingles), how)
+    counted = _counted(docs, _field(shingles, how), how)
     entries = common.cut(_entries(items, shingles, counted, how))
     # Copies of a text count once, before they meet at one prefix.
-    places = _places(docs, _field(entries), how).dropDuplicates(["text", "h", "q"]).withColumn("salt", F.pmod(F.xxhash64("text", "q"), F.lit(how.salts)))
+    crowded = entries.agg(F.approx_count_distinct("h")).first()[0] > how.field_bits // 8
+    found = (_fetched(docs, entries, _field(entries, how), how) if crowded else _places(docs, _field(entries, how), how)).dropDuplicates(["text", "h", "q"])
+    places = found.withColumn("salt", F.pmod(F.xxhash64("text", "q"), F.lit(how.salts)))
     salted = entries.withColumn("salt", F.explode(F.array(*[F.lit(k).cast("bigint") for k in range(how.salts)])))
 
     def compared(batches):
