@@ -1,6 +1,7 @@
 """Contiguous exchange, co-located tables, Z-order, exact sums."""
 
 import glob
+import itertools
 import math
 import random
 import struct
@@ -9,9 +10,10 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from velograph.config import Run
 from velograph.functions import exact
-from velograph.operators import exchange, moments, placement, zorder
-from velograph.plans import table_queries
+from velograph.operators import distribution, exchange, moments, placement, zorder
+from velograph.plans import simulate, table_queries
 from velograph.sources import buckets
 
 SF = "/root/testdata/sf0.001"
@@ -41,6 +43,34 @@ def test_every_partition_is_its_box(spark, parts):
     assert sorted(map(tuple, placed.collect())) == sorted(map(tuple, f.collect()))
 
 
+@pytest.mark.parametrize("parts", [1, 2, 3, 5, 16, 33, 400])
+def test_even_plans_cover_the_mesh_once(spark, parts):
+    run = Run().with_cells(tor1=1, tor2=2, tor3=2, vpar=5, mu=4)
+    axes = {"sp": 2, "iv": run.extents["vpar"], "im": run.extents["mu"]}
+    plan = placement.even_plan(axes, parts)
+    points = [p for s, e in zip(plan.starts, plan.extents, strict=True) for p in itertools.product(*[range(a, a + n) for a, n in zip(s, e, strict=True)])]
+    assert len(points) == len(set(points)) == math.prod(axes.values()) == sum(plan.rows)
+    assert min(parts, math.prod(axes.values())) <= len(plan) <= max(2 * parts, 1) and max(plan.rows) <= 2 * len(points) / min(parts, len(points)) + 1
+    placed = placement.contiguous(distribution.initial(spark, run), plan)
+    found = {r.part: (tuple(r.starts), tuple(r.extents)) for r in exchange.local_ranges(placed, tuple(axes)).collect()}
+    assert found == dict(enumerate(zip(plan.starts, plan.extents, strict=True)))
+
+
+def test_even_plan_of_a_long_axis(monkeypatch):
+    monkeypatch.setattr(placement, "BINS", 8)
+    plan = placement.even_plan({"a": 50, "b": 3}, 10)
+    assert sum(plan.rows) == 150 and len(set(plan.bounds)) == len(plan)
+
+
+def test_a_run_transposes_contiguously(spark):
+    run = Run().with_cells(tor1=1, tor2=2, tor3=2, vpar=5, mu=4)
+    f = distribution.initial(spark, run)
+    out = simulate.transposed(f, run)
+    ranges = exchange.local_ranges(out, ("sp", "iv", "im")).collect()
+    assert len(ranges) >= 4 and sum(math.prod(r.extents) for r in ranges) == 2 * run.extents["vpar"] * run.extents["mu"]
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, f.select(*exchange.TRANSPOSED, "f").collect()))
+
+
 def test_the_heavy_index_is_cut(spark):
     plan = placement.balanced_plan(_skewed(spark), AXES, 12)
     cut = [s for s, e in zip(plan.starts, plan.extents, strict=True) if s[0] <= 4 < s[0] + e[0] and e[0] == 1]

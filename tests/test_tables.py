@@ -159,6 +159,27 @@ def test_tiles_are_one_shuffle(spark):
     assert _plan(tiles.from_tiles(files.kept(there, "tiles"), "vec_id", "embedding")).count("Exchange hashpartitioning") == 1
 
 
+def _shuffled(node):
+    """Bytes that the shuffles of a plan have written."""
+    own = node.metrics().apply("shuffleBytesWritten").value() if node.metrics().contains("shuffleBytesWritten") else 0
+    return own + sum(_shuffled(node.children().apply(k)) for k in range(node.children().size()))
+
+
+def test_tiles_shuffle_fewer_bytes_than_values(spark):
+    """Of the same transposition: slices of vectors against a row for each value."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        t = spark.read.parquet(f"{SF}/embeddings.parquet")
+        by_value = t.select((F.col("vec_id") / 1024).cast("bigint").alias("block"), "vec_id", F.posexplode("embedding").alias("dim", "x")).groupBy("block", "dim").agg(F.array_sort(F.collect_list(F.struct("vec_id", "x"))).alias("x"))
+        sizes = []
+        for df in (tiles.to_tiles(t, "vec_id", "embedding", 64), by_value):
+            df.collect()
+            sizes.append(_shuffled(df._jdf.queryExecution().executedPlan()))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert 0 < sizes[0] < sizes[1] / 1.5
+
+
 # --- digests
 
 

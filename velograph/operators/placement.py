@@ -91,6 +91,31 @@ def balanced_plan(f: DataFrame, axes: dict[str, int], parts: int) -> Plan:
     return Plan(dict(axes), bounds, starts, extents, n)
 
 
+def even_plan(axes: dict[str, int], parts: int) -> Plan:
+    """The boxes of a mesh that has every point: they follow from its extents, no row is read."""
+    if parts < 1 or not axes or any(n < 1 for n in axes.values()):
+        raise ValueError("a plan needs one part, one axis and one index of each at least")
+    sizes = list(axes.values())
+    found: list[tuple[int, tuple[int, ...], tuple[int, ...]]] = []
+
+    def cut(at: int, starts: tuple[int, ...], extents: tuple[int, ...], pieces: int) -> None:
+        j = len(starts)
+        width, stride = _width(sizes[j]), _stride(axes, j)
+        bins = -(-sizes[j] // width)
+        fine = pieces > bins and j + 1 < len(sizes)
+        for first, n in exchange.chunks_of(bins, bins if fine else min(pieces, bins)):
+            here = (*starts, first * width), (*extents, min((first + n) * width, sizes[j]) - first * width)
+            if fine:
+                cut(at + first * stride, *here, -(-pieces // bins))
+            else:
+                rest = len(sizes) - j - 1
+                found.append((at + first * stride, (*here[0], *[0] * rest), (*here[1], *sizes[j + 1 :])))
+
+    cut(0, (), (), parts)
+    bounds, starts, extents = zip(*found, strict=True)
+    return Plan(dict(axes), bounds, starts, extents, tuple(reduce(lambda a, b: a * b, e, 1) for e in extents))
+
+
 def part_of(plan: Plan) -> Column:
     """The part whose box a row is in: a binary search among as many numbers as the plan has parts."""
     if len(plan) == 1:

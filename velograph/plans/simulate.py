@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from velograph.config import Run
-from velograph.operators import distribution, exchange, moments, quadrature, verify
+from velograph.operators import distribution, exchange, moments, placement, quadrature, verify
 from velograph.plans.events import Events
 from velograph.plans.timing import Stopwatch
 from velograph.schemas import CELL, POINT
@@ -55,6 +55,13 @@ def in_situ(spark: SparkSession, run: Run, shifts: DataFrame, f0: DataFrame | No
     return moments_of(states(spark, run, shifts, f0), spark, run, ("iteration", *CELL))
 
 
+def transposed(f: DataFrame, run: Run) -> DataFrame:
+    """f in velocity split: each partition has one contiguous range of species, vpar and mu, and all of space."""
+    axes = {c: run.extents[n] for c, n in (("sp", "species"), ("iv", "vpar"), ("im", "mu"))}
+    parts = int(f.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return placement.contiguous(f, placement.even_plan(axes, parts)).select(*exchange.TRANSPOSED, "f").sortWithinPartitions(*exchange.TRANSPOSED)
+
+
 def opening(run: Run) -> list[str]:
     """The console's lines at a run's begin: banner, sizes, mode."""
     sizes = run.extents
@@ -79,7 +86,7 @@ def simulate(spark: SparkSession, run: Run, shifts: DataFrame, top: str, events:
     watch.lap("initialisation")
     last = 0
     if run.version == "mpi_transpose":
-        files.write_transposed(exchange.transpose_v2d(f0), top)
+        files.write_transposed(transposed(f0, run), top)
         events.publish("transposed", f=files.read_transposed(spark, top))
     else:
         files.write_in_situ(in_situ(spark, run, shifts, f0), top)
