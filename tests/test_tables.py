@@ -48,6 +48,18 @@ def test_a_reader_keeps_its_version(spark, tmp_path):
         versions.read(spark, path, 1)
 
 
+def test_folders_of_failed_writers_go_with_their_number(spark, tmp_path):
+    path = tmp_path / "t"
+    versions.write(spark.range(1), str(path))
+    with pytest.raises((PySparkException, Py4JJavaError)):
+        versions.write(_failing(spark), str(path))
+    assert len(list(path.glob("v00000002-*"))) == 1
+    for k in range(3):
+        versions.write(spark.range(k), str(path))
+        versions.expire(spark, str(path), keep=2)
+    assert sorted(p.name[:9] for p in path.glob("v*")) == ["v00000003", "v00000004"] and versions.read(spark, str(path)).count() == 2
+
+
 def test_a_table_may_be_replaced_by_what_is_read_from_it(spark, tmp_path):
     path = str(tmp_path / "t")
     files.replace_and_warn(spark.range(5), path)

@@ -59,11 +59,11 @@ def _shifts_sql() -> str:
     return f"(SELECT * FROM (VALUES {', '.join(f'({i}, {_num(a)}, {_num(b)})' for i, a, b in SHIFTS)}) AS t(iteration, shift_tor2, shift_tor3))"
 
 
-def _f_sql(run: Run = GRID) -> str:
-    """State 0 with its coordinates and weights."""
+def _f_sql(run: Run = GRID, species: str | None = None) -> str:
+    """State 0 with its coordinates and weights; species: another subquery of them."""
     return f"""(SELECT sp, i1, i2, i3, v.iv, m.im, tor2, tor3, vpar, mu, wv * wm AS w,
   n_maxw * pow(2 * pi() * t_maxw, -1.5) * exp(-(0.5::DOUBLE * ((vpar - upar_maxw) * (vpar - upar_maxw) + mu)) / t_maxw) AS f
- FROM {_species_sql(run)} s, {_points(run, "tor1", "i1", "tor1")} a, {_points(run, "tor2", "i2", "tor2")} b, {_points(run, "tor3", "i3", "tor3")} c,
+ FROM {species or _species_sql(run)} s, {_points(run, "tor1", "i1", "tor1")} a, {_points(run, "tor2", "i2", "tor2")} b, {_points(run, "tor3", "i3", "tor3")} c,
   {_weights(run, "vpar", "iv", "vpar", "wv")} v, {_weights(run, "mu", "im", "mu", "wm")} m)"""
 
 
@@ -643,6 +643,57 @@ def labelled_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(long.select(*CELL, (F.col("iv") * 10 + F.col("im")).cast("int").alias("pos"), "f"), "f", digits=12)
 
 
+# --- runs that a table configures --------------------------------------------------------------------
+
+
+_TABLE_SPECIES = """(SELECT (row_number() OVER (ORDER BY name) - 1)::INT AS sp, name, CASE WHEN name LIKE '%F' THEN -1.0 ELSE 1.0 END::DOUBLE AS charge, round(q, 6) + 0.0 AS mass, round(n / (SELECT count(*) FROM lineitem), 9) + 0.0 AS n_maxw, round(1 + 100 * v, 9) + 0.0 AS t_maxw, round(d * 20 - 1, 9) + 0.0 AS upar_maxw
+ FROM (SELECT l_returnflag || l_linestatus AS name, count(*)::DOUBLE AS n, avg(l_quantity) AS q, avg(l_discount) AS d, var_pop(l_discount) AS v FROM lineitem GROUP BY 1))"""
+_TABLE_SHIFTS = "(SELECT month(l_shipdate)::INT AS iteration, round(avg(l_discount) * 20 - 1, 9) AS shift_tor2, round(avg(l_tax) * 25 - 1, 9) AS shift_tor3 FROM lineitem GROUP BY 1)"
+
+
+def _table_run(spark: SparkSession, sf_dir: str, version: str, n_iterations: int = 0) -> tuple[Run, DataFrame]:
+    """A configuration with a species for each flag and status of lineitem, by its share of the rows and its discounts; and
+    the shifts of each month. A row for each kind is what the driver gets."""
+    t = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    kinds = t.groupBy(F.concat("l_returnflag", "l_linestatus").alias("name")).agg(F.count("*").alias("n"), F.avg("l_quantity").alias("q"), F.avg("l_discount").alias("d"), F.var_pop("l_discount").alias("v")).orderBy("name").collect()
+    total = sum(r.n for r in kinds)
+    species = [{"name": r.name, "charge": -1 if r.name.endswith("F") else 1, "mass": round(r.q, 6), "N_maxw": round(r.n / total, 9), "T_maxw": round(1 + 100 * r.v, 9), "Upar_maxw": round(r.d * 20 - 1, 9)} for r in kinds]
+    mesh = {f"{key}_{part}": x for n, (_, _, key) in KINDS.items() for part, x in (("ncells", TINY.axes[n].ncells), ("min", TINY.axes[n].lo), ("max", TINY.axes[n].hi))}
+    run = from_mapping({"SplineMesh": mesh, "SpeciesInfo": species, "Application": {"version": version, "n_iterations": n_iterations, "eps": TINY.eps}})
+    months = t.groupBy(F.month("l_shipdate").alias("iteration")).agg(F.round(F.avg("l_discount") * 20 - 1, 9).alias("shift_tor2"), F.round(F.avg("l_tax") * 25 - 1, 9).alias("shift_tor3"))
+    return run, months
+
+
+@query(f"SELECT sp, name, charge, mass FROM {_TABLE_SPECIES}")
+def lineitem_run_species(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The species of a run that lineitem configures, as its store has them."""
+    run, _ = _table_run(spark, sf_dir, "mpi_transpose")
+    top = files.scratch(spark, "mesh")
+    files.write_mesh(spark, run, top)
+    return files.read_species(spark, top).select("sp", "name", "charge", "mass")
+
+
+@query(_moments_sql(_f_sql(TINY, _TABLE_SPECIES), _CELLS))
+def lineitem_run_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The moments that a run in its first mode leaves, of species that lineitem gives."""
+    run, shifts = _table_run(spark, sf_dir, "mpi_transpose")
+    return rounded(simulate.simulate(spark, run, shifts, files.scratch(spark, "run")), *moments.ALL)
+
+
+@query(
+    _moments_sql(
+        f"(SELECT 0 AS iteration, {_CELLS}, vpar, w, f FROM {_f_sql(TINY, _TABLE_SPECIES)} UNION ALL SELECT iteration, {_CELLS}, vpar, w, f * {_factor_sql(TINY)} AS f FROM {_f_sql(TINY, _TABLE_SPECIES)}, {_TABLE_SHIFTS} WHERE iteration < 4)",
+        f"iteration, {_CELLS}",
+    )
+)
+def lineitem_run_in_situ(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The moments of a run's iterations in its second mode, with species and shifts that lineitem gives."""
+    run, shifts = _table_run(spark, sf_dir, "in-situ-diagnostic", 4)
+    top = files.scratch(spark, "run")
+    simulate.simulate(spark, run, files.kept(shifts, "shifts"), top)
+    return rounded(files.read_in_situ(spark, top).select("iteration", *CELL, *moments.ALL), *moments.ALL)
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: all moments of the distribution of lineitem."""
     return lineitem_fluid_moments(spark, sf_dir)

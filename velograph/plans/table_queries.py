@@ -10,7 +10,7 @@ import contextlib
 import numpy as np
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from velograph.config import Run
@@ -417,3 +417,25 @@ def events_timing_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = packed.select(names.alias("timing_names"), F.transform("x", lambda r: r["seconds"]).alias("timing_values"))
     out = rounded(files.timing_rows(raw), "seconds", digits=3)
     return out.withColumn("line", F.format_string("%-20s %20.6f", "name", "seconds"))
+
+
+@query(
+    "SELECT vec_id, (i - 1)::INT AS pos, ((i - 1) // 8)::INT AS a, ((i - 1) % 8)::INT AS b, embedding[i]::DOUBLE AS f FROM embeddings, range(1, 65) AS t(i)"
+)
+def embeddings_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flat vectors given the indices of an array of 8 by 8, a row for each element."""
+    t = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("raw"))
+    return generate.labelled(t, "raw", [8, 8], ("a", "b"), keep=("vec_id",)).select("vec_id", (F.col("a") * 8 + F.col("b")).alias("pos"), "a", "b", "f")
+
+
+def _axis_sql(column: str, axis: str) -> str:
+    return f"SELECT '{axis}' AS axis, (row_number() OVER (ORDER BY h) - 1)::INT AS idx, h / 100.0::DOUBLE AS coord, round(0.5 * (coalesce(lead(h) OVER (ORDER BY h), h) - coalesce(lag(h) OVER (ORDER BY h), h)) / 100, 9) + 0.0 AS w, (count(*) OVER ())::BIGINT AS extent FROM (SELECT DISTINCT round({column} * 100)::INT AS h FROM lineitem)"
+
+
+@query(f"{_axis_sql('l_discount', 'vpar')} UNION ALL {_axis_sql('l_tax', 'mu')}")
+def lineitem_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The axes of the distinct discounts and taxes, with indices, weights and extents; both in one window over few points."""
+    t = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    pairs = t.select(F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), F.round(F.col(c) * 100).cast("int").alias("h")) for a, c in (("vpar", "l_discount"), ("mu", "l_tax"))])).alias("p")).select("p.*").distinct()
+    axis = pairs.select("axis", (F.row_number().over(Window.partitionBy("axis").orderBy("h")) - 1).alias("idx"), (F.col("h") / 100.0).alias("coord"))
+    return rounded(quadrature.trapezoid_weights(axis), "w").withColumn("extent", F.count("*").over(Window.partitionBy("axis")))

@@ -72,11 +72,11 @@ def random_shifts(spark: SparkSession, n_iterations: int, seed: int) -> DataFram
     return spark.range(1, n_iterations + 1, 1, 1).select(F.col("id").cast("int").alias("iteration"), draw(seed).alias("shift_tor2"), draw(seed + 1).alias("shift_tor3"))
 
 
-def labelled(raw: DataFrame, column: str, extents: list[int], names: tuple[str, ...] = schemas.POINT, value: str = "f") -> DataFrame:
-    """A flat array, last index fastest, as a row for each element with its indices."""
-    long = raw.select(F.posexplode(column).alias("pos", value))
+def labelled(raw: DataFrame, column: str, extents: list[int], names: tuple[str, ...] = schemas.POINT, value: str = "f", keep: tuple[str, ...] = ()) -> DataFrame:
+    """A flat array, last index fastest, as a row for each element with its indices; and the columns of keep, if rows are many arrays."""
+    long = raw.select(*keep, F.posexplode(column).alias("pos", value))
     stride, columns = 1, []
     for name, n in reversed(list(zip(names, extents, strict=True))):
         columns.append(F.expr(f"CAST((pos div {stride}) % {n} AS INT) AS {name}"))
         stride *= n
-    return long.select(*reversed(columns), value)
+    return long.select(*keep, *reversed(columns), value)

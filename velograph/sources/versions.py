@@ -5,11 +5,13 @@
 
 A version's file is created last, and only if there is none of its number; so a writer that fails leaves the table as it
 was, of two writers of one number one fails, and a reader keeps the version that it began with for as long as it isn't
-expired. Creation must be exclusive in the store, as in HDFS and local folders.
+expired. What a failed writer leaves goes when versions of its number expire. Creation must be exclusive in the store, as in
+HDFS and local folders.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -88,9 +90,17 @@ def read(spark: SparkSession, path: str, version: int | None = None, schema: Str
 
 
 def expire(spark: SparkSession, path: str, keep: int = 2) -> None:
-    """Removes all but the newest versions: first a version's file, then its folder."""
-    for number in history(spark, path)[:-keep]:
-        where = folder(spark, path, number)
-        for gone in (f"{path}/{_LOG}/{number:0{_DIGITS}d}", where):
-            store, p = _store(spark, gone)
-            store.delete(p, True)
+    """Removes all but the newest versions: first their files, then their folders, and those that failed writers left of
+    such numbers, which no writer can make current any more."""
+    have = history(spark, path)
+    gone = have[:-keep]
+    for number in gone:
+        store, p = _store(spark, f"{path}/{_LOG}/{number:0{_DIGITS}d}")
+        store.delete(p, True)
+    if not gone:
+        return
+    store, top = _store(spark, path)
+    for status in store.listStatus(top):
+        name = status.getPath().getName()
+        if re.fullmatch(rf"v\d{{{_DIGITS}}}-\w+", name) and int(name[1 : _DIGITS + 1]) <= gone[-1]:
+            store.delete(status.getPath(), True)
