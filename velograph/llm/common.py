@@ -111,7 +111,9 @@ def row_udf(fn: Callable[[list[bytes | None]], pa.Array], returns: str) -> Calla
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield fn(byte_texts(batch))
+            # In parts, so that a batch isn't held once more as Python's own bytes.
+            found = [fn(byte_texts(part)) for part in array_parts(batch, 8 << 20)]
+            yield pa.concat_arrays(found) if len(found) > 1 else found[0] if found else fn([])
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, returns)
@@ -140,6 +142,12 @@ def parts(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBa
         start = stop
 
 
+def array_parts(texts: pa.Array, most: int) -> Iterator[pa.Array]:
+    """An array of texts in parts of about `most` bytes, one text at least."""
+    for part in parts(pa.RecordBatch.from_arrays([texts], ["text"]), 0, most):
+        yield part.column(0)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """The names, with as many underscores added to all as it takes for df to have none of them."""
     have, tail = {c.lower() for c in df.columns}, ""
