@@ -17,13 +17,14 @@ def good(k):
     return GOOD.format(*(f"w{k * 7 + j}x" for j in range(4)))
 
 
-def written(spark, folder, docs, labels=(), benchmark=(), pages=(), turns=()):
+def written(spark, folder, docs, labels=(), benchmark=(), pages=(), turns=(), vectors=()):
     tables = {
         "documents": (docs, DOCS + ", score string, kept int, fp string, label string, fold string, hash string, id string, no_id int, r string, h int"),
         "labels": (labels, "doc_id bigint, quality int, toxic int, text string"),
         "benchmark": (benchmark, "item_id bigint, text string, doc_id int"),
         "pages": (pages, "page_id bigint, url string, html string, host int, text string, shard string"),
         "conversations": (turns, "conv_id bigint, turn bigint, role string, text string, ids string, mask int"),
+        "embeddings": (vectors, "vec_id bigint, embedding array<float>, label int, code string, error int, coded string, k0 int, own int, x string, cluster int, key string"),
     }
     for name, (rows, schema) in tables.items():
         width = schema.count(",") + 1
@@ -50,7 +51,9 @@ def odd(spark, tmp_path_factory):
     labels = [(1, 1, 0), (1, 0, 1), (2, None, None), (None, 1, 0), (99, 0, 0), (9, 0, 0), (8, 0, 1)]
     pages = [(1, "http://a.com/x", "<p>hi"), (1, "http://a.com/x", "<p>hi"), (None, None, None), (2, "bad", ""), (3, "http://b.org", "<" * 5000 + "a" * 200_000)]
     turns = [(1, 0, "user", "hi"), (1, 0, "user", "hi"), (None, None, None, None), (2, 1, "assistant", "y" * 100_000), (3, 2, "odd", "")]
-    top = written(spark, tmp_path_factory.mktemp("odd"), docs, labels, [(1, "word5 word6 word7"), (None, None), (2, ""), (None, "quick brown fox")], pages, turns)
+    whole = [float(k) for k in range(64)]
+    vectors = [(1, whole, 1), (1, whole, 1), (2, None, 1), (None, whole[::-1], None), (3, [], 2), (4, whole[:63], 2), (5, [None, *whole[1:]], 2), (6, [float("nan"), *whole[1:]], 3), (7, [float("-inf"), *whole[1:]], 3), (8, [3e38, -3e38, *whole[2:]], 3)]
+    top = written(spark, tmp_path_factory.mktemp("odd"), docs, labels, [(1, "word5 word6 word7"), (None, None), (2, ""), (None, "quick brown fox")], pages, turns, vectors)
     # Bytes that are no UTF-8, in every table.
     for name, columns in {"documents": "10L AS doc_id, {} AS text, {} AS lang", "benchmark": "9L AS item_id, {} AS text", "pages": "10L AS page_id, {} AS url, {} AS html", "conversations": "10L AS conv_id, 1L AS turn, {} AS role, {} AS text"}.items():
         bad = "CAST(X'" + b"broken ".hex() + "FF" + b"://text/ of ".hex() + "C3" + b" some words".hex() + "' AS STRING)"
@@ -60,7 +63,7 @@ def odd(spark, tmp_path_factory):
     return top
 
 
-ROWS = {"op1_sentencepiece": None, "op6_url_filters": 6, "op7_chat_formatting": 6, "op9_html_extraction": 6}
+ROWS = {"op1_sentencepiece": None, "op6_url_filters": 6, "op7_chat_formatting": 6, "op9_html_extraction": 6, "op11_vector_codes": 4, "op12_centroid_clusters": 4}
 
 
 @pytest.mark.parametrize("name", list(QUERIES))
