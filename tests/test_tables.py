@@ -1,5 +1,6 @@
 """Versions, incremental moments, own diagnostics, tiles, digests, footers, figures of a write."""
 
+import duckdb
 import numpy as np
 import pytest
 from py4j.protocol import Py4JJavaError
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from velograph.operators import digests, tiles
 from velograph.plans import table_queries
 from velograph.plans.diagnostics import Diagnostics
+from velograph.plans.registry import ORACLES
 from velograph.sources import files, footers, versions
 from velograph.streaming import incremental
 
@@ -251,3 +253,17 @@ def test_figures_are_taken_by_the_writing_job(spark, tmp_path):
     jobs = sc.statusTracker().getJobIdsForGroup("observed")
     sc.setLocalProperty("spark.jobGroup.id", None)
     assert seen == {"n": 1000, "most": 999} and len(jobs) == 1 and versions.read(spark, str(tmp_path / "t")).count() == 1000
+
+
+# --- phases
+
+
+def test_timing_table_of_long_and_odd_phases(spark, tmp_path):
+    """Sums of whole microseconds, written as printf writes doubles; a kind that is null, and one called total."""
+    duck = duckdb.connect()
+    rows = "(0, 1, '1200-01-01 00:00:00', 'long'), (1, 1, '9000-01-01 00:00:00.379', NULL), (2, 1, '9000-01-01 00:00:07.25', 'total'), (3, 1, '9000-01-01 00:01:00', 'short'), (4, 2, '2024-01-01 00:00:00', 'short'), (5, 2, '2024-01-01 00:00:00.0005', 'last')"
+    duck.execute(f"COPY (SELECT a::BIGINT AS event_id, b::BIGINT AS user_id, c::TIMESTAMP AS ts, d::VARCHAR AS event_type FROM (VALUES {rows}) AS t(a, b, c, d)) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    duck.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    got = table_queries.events_timing_table(spark, str(tmp_path)).collect()
+    assert got[0].line.startswith("long ") and got[0].line.endswith(".378998")
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, duck.execute(ORACLES["events_timing_table"]).fetchall()))

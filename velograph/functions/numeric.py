@@ -38,3 +38,8 @@ def decode_padded(raw: Column) -> Column:
 def pad_to(text: Column, width: int) -> Column:
     """The bytes of a text, padded with NUL to a width."""
     return F.rpad(text, width, "\0").cast("binary")
+
+
+def fixed(x: Column, digits: int = 6) -> Column:
+    """x written with that many decimals, of its exact value, as C's printf has it; Java's puts zeros after the shortest digits."""
+    return F.udf(lambda v: None if v is None else f"{v:.{digits}f}", "string")(x)

@@ -6,6 +6,7 @@ moment the tax, both in hundredths; f is the quantity. All of it grows with the
 from __future__ import annotations
 
 import contextlib
+from decimal import Decimal
 
 import numpy as np
 from py4j.protocol import Py4JJavaError
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from velograph.config import Run
 from velograph.functions.exact import exact_total
-from velograph.functions.numeric import ieee_div, pad_to
+from velograph.functions.numeric import fixed, ieee_div, pad_to
 from velograph.operators import digests, distribution, exchange, moments, placement, quadrature, tiles, verify, zorder
 from velograph.plans import timing
 from velograph.plans.diagnostics import Diagnostics
@@ -407,16 +408,17 @@ def events_timing_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The time that users spend after each kind of event, as the table of a run's phases: through padded names and
     values, cut to the shorter (a name without a value is left over), and written as lines. A row for each kind of event."""
     t = spark.read.parquet(f"{sf_dir}/events.parquet")
-    at = F.expr("CAST(timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01', ts) AS DOUBLE) / 1e6")
+    # Whole microseconds: seconds of an epoch, as doubles, are off by some 10^-7 each.
+    at = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01', ts)")
     laps = timing.durations(t.select("user_id", "event_type", F.struct("ts", "event_id").alias("ord"), at.alias("t")), by=("user_id",))
-    phases = rounded(laps.groupBy(F.col("event_type").alias("name")).agg(exact_total(F.col("seconds")).alias("seconds")), "seconds", digits=3)
-    rows = phases.unionByName(phases.agg(F.lit("total").alias("name"), F.sum("seconds").alias("seconds")))
-    last = F.col("name") == "total"
-    packed = rows.groupBy().agg(F.array_sort(F.collect_list(F.struct(last.alias("last"), "name", "seconds"))).alias("x"))
+    seconds = F.round(F.sum(F.col("seconds").cast("decimal(20,0)")) * F.lit(Decimal("0.000001")), 3)
+    phases = laps.groupBy(F.col("event_type").alias("name")).agg(seconds.alias("seconds")).withColumn("last", F.lit(False))
+    rows = phases.unionByName(phases.agg(F.lit("total").alias("name"), F.sum("seconds").alias("seconds"), F.lit(True).alias("last")))
+    packed = rows.groupBy().agg(F.array_sort(F.collect_list(F.struct("last", F.col("name").isNull().alias("no_name"), "name", F.col("seconds").cast("double").alias("seconds")))).alias("x"))
     names = F.concat(F.transform("x", lambda r: pad_to(r["name"], 32)), F.array(pad_to(F.lit("left over"), 32)))
     raw = packed.select(names.alias("timing_names"), F.transform("x", lambda r: r["seconds"]).alias("timing_values"))
     out = rounded(files.timing_rows(raw), "seconds", digits=3)
-    return out.withColumn("line", F.format_string("%-20s %20.6f", "name", "seconds"))
+    return out.withColumn("line", F.concat(F.rpad("name", 20, " "), F.lit(" "), F.lpad(fixed(F.col("seconds")), 20, " ")))
 
 
 @query(
