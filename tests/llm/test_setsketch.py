@@ -131,3 +131,26 @@ def test_linked_groups():
             if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
                 up[up == up[j]] = up[i]
         assert {tuple(np.flatnonzero(label == k)) for k in set(label)} == {tuple(np.flatnonzero(up == k)) for k in set(up)}
+
+
+@pytest.mark.parametrize("how", [Near(bands=1, band=1), Near(bands=2, band=1, members=16, links_rows=1)])
+def test_no_set_of_a_value_is_passed_over(spark, how):
+    """Near sets that share a band's value are in one group, however many others the value has, and also where one of them is
+    alike to the value's first and the other isn't."""
+    first = _hashes(300)
+    sets = [first, *(_hashes(300) for _ in range(120))]
+    for k in range(40):
+        a = np.concatenate([first[:205], _hashes(95)]) if k % 4 == 0 else _hashes(300)  # 205 of 395
+        sets[1 + 2 * k : 1 + 2 * k] = [a]
+        sets.append(np.concatenate([_hashes(30), a[30:]]))  # 270 of 330
+    regs = np.array([op.registers(s) for s in sets])
+    df = spark.createDataFrame([(k, len(s), bytearray(r.tobytes())) for k, (s, r) in enumerate(zip(sets, regs, strict=True))], "sid bigint, n bigint, regs binary").coalesce(1)
+    label = np.arange(len(sets))
+    for a, b in op.ties(df, how).collect():
+        label[label == label[a]] = label[b]
+    keys, met = list(op._bands(regs, how)), 0
+    for i, j in combinations(range(len(sets)), 2):
+        if any(k[i] == k[j] for k in keys) and 100 * len(both := np.intersect1d(sets[i], sets[j])) >= 80 * (600 - len(both)):
+            met += 1
+            assert label[i] == label[j]
+    assert met > 20 and len(set(label)) > 60

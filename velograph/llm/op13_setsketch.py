@@ -6,11 +6,12 @@ are bytes, those of a union are the larger ones of two (`merge`), and two sets a
 their similarity, whatever their sizes.
 
 1. Documents with the same set are one row from here on, of the smallest doc_id; so copies, however many, are no group.
-2. Bands of register values, each of its own choice of registers, say which sets may be near. In each batch a value's sets are
-   tied to the first of them and the value leaves the batch once; over batches, values are dealt out by value, and each
-   one's sets are tied to the next few. So ties grow with the rows, and no value is a hot key.
+2. Bands of register values, each of its own choice of registers, say which sets may be near. A value's sets are tied to the
+   first of them. Where they then are in more than one group still, every two of them of unlike groups whose sizes allow it are
+   compared, by blocks as in 4; so any two near sets that share a value end up in one group.
 3. A tie holds where the similarity estimated jointly, by the likelihood of larger, equal and smaller registers given both
    set sizes, is `tie` or more: so sets that a band put together by chance don't join groups. Held ties join sets into groups.
+   Of sets that are alike by less, the work of a value grows with the square of its sets, spread over tasks.
 4. Every pair of a group is decided by full sets: intersections are counted over lists of the sets by shingle; a set is passed over
    where the shingles that a near set must share one of are its alone, or where all sets left are in one component already. Groups of
    more than `members` sets or `shingles` shingles are cut into blocks, and each two blocks are a task, so memory is bounded; only a
@@ -180,57 +181,95 @@ def _bands(regs: np.ndarray, how: Near) -> Iterator[np.ndarray]:
         yield key
 
 
-def _within(sid: np.ndarray, n: np.ndarray, regs: np.ndarray, how: Near) -> tuple[tuple[np.ndarray, np.ndarray], list[tuple[np.ndarray, np.ndarray]]]:
-    """Of one batch: the forest of its held ties, and of each band the values with the sets that stand for them."""
-    label, values = np.arange(len(sid)), []
-    for key in _bands(regs, how):
-        _, first, at = np.unique(key, return_index=True, return_inverse=True)
-        i = np.flatnonzero(first[at] != np.arange(len(key)))
-        j = first[at[i]]
-        stands = np.ones(len(key), bool)
-        if len(i):
-            held = similarity(regs[i], regs[j], n[i], n[j], how) >= how.tie
-            _union(label, i[held], j[held])
-            stands[i[held]] = False
-        values.append((key[stands], sid[stands]))
-    moved = np.flatnonzero(label != np.arange(len(sid)))
-    return (sid[moved], sid[label[moved]]), values
-
-
-def _batches(batches: Iterator[pa.RecordBatch], how: Near):
-    for batch in batches:
-        sid, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-        if len(sid):
-            yield _within(sid, n, _byte_rows(batch.column(2), how.registers), how)
-
-
 def ties(sets: DataFrame, how: Near = Near()) -> DataFrame:
-    """sets: sid, n, regs. Ties (a, b) that hold."""
-
-    def inner(batches):
-        for (a, b), _ in _batches(batches, how):
-            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    """sets: sid, n, regs. Ties (a, b) that hold: they join any two sets that share a band's value and may be near."""
 
     def outward(batches):
-        for _, values in _batches(batches, how):
-            for key, sid in values:
-                yield pa.RecordBatch.from_pydict({"key": pa.array(key.view(np.int64)), "sid": pa.array(sid, pa.int64())})
+        for batch in batches:
+            if batch.num_rows:
+                for key in _bands(_byte_rows(batch.column(1), how.registers), how):
+                    yield pa.RecordBatch.from_pydict({"key": pa.array(key.view(np.int64)), "sid": batch.column(0)})
 
-    def chained(batches, ahead=3):
-        held = np.zeros((0, 2), np.int64)
+    def starred(batches):
+        of, first = None, 0
         for batch in batches:
-            rows = np.concatenate([held, np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(2)], axis=1)])
-            for d in range(1, ahead + 1):
-                i = np.flatnonzero(rows[d:, 0] == rows[:-d, 0])
-                i = i[i + d >= len(held)]  # the others came with the batch before
+            if batch.num_rows:
+                key, sid = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(2))
+                new = np.append(key[0] != of, key[1:] != key[:-1])
+                a = np.append(first, sid[new])[np.cumsum(new)]
+                of, first = key[-1], a[-1]
+                yield pa.RecordBatch.from_pydict({"key": pa.array(key), "a": pa.array(a), "b": pa.array(sid)}).filter(pa.array(a != sid))
+
+    values = common.map_arrow(sets.select("sid", "regs"), outward, "key bigint, sid bigint").repartition("key").sortWithinPartitions("key", "sid")
+    stars = common.written(common.map_arrow(values, starred, "key bigint, a bigint, b bigint"), "stars")
+    near = common.written(_held(common.written(stars.select("a", "b").distinct(), "pairs"), sets, how), "ties")
+    return near.unionByName(_crossed(stars, sets, common.written(_components(near, how), "roots"), how))
+
+
+def _crossed(stars: DataFrame, sets: DataFrame, roots: DataFrame, how: Near) -> DataFrame:
+    """The ties (a, b) between the groups that a value's sets are still in. stars: key, a (the value's first set), b (another)."""
+    root = lambda c: roots.select(F.col("sid").alias(c), F.col("root").alias(f"root_{c}"))
+    rows = common.looked_up(stars, root("b"), "b", "key", how.links_rows, how="left")
+    rows = common.looked_up(rows, root("a"), "a", "b", how.links_rows, how="left")
+    apart = F.coalesce("root_a", "a") != F.coalesce("root_b", "b")
+    # The two sets of a value of no more were compared.
+    left = rows.groupBy("key").agg(F.min("a").alias("first"), F.count("*").alias("others"), F.max(apart).alias("apart")).where("apart AND others > 1")
+    left = common.cut(left.select("key", "first"))
+    others = common.looked_up(stars.select("key", "b"), left.select("key"), "key", "b", how.links_rows).select("key", F.col("b").alias("sid"))
+    rows = left.select("key", F.col("first").alias("sid")).unionByName(others)
+    tasks = _tasks(rows.select("sid", F.col("key").alias("root"), F.lit(1).alias("n")), how)
+    known = sets.join(common.small_or_all(roots, how.links_rows), "sid", "left").select("sid", F.coalesce("root", "sid").alias("root"), "n", "regs")
+
+    def search(batches):
+        for (task, sid, root, n), regs in _by_task(batches, how):
+            at = np.append(np.flatnonzero(np.append(True, task[1:] != task[:-1])), len(task))
+            name, label = np.unique(root, return_inverse=True)
+            node = np.arange(len(name))
+            for i, j in _pairs(at, label, n, how):
+                i, j = (x[node[label[i]] != node[label[j]]] for x in (i, j))
+                alike = (regs[i] == regs[j]).sum(axis=1) >= how.tie * how.registers
+                i, j = i[alike], j[alike]
                 if len(i):
-                    yield pa.RecordBatch.from_pydict({"a": pa.array(rows[i, 1]), "b": pa.array(rows[i + d, 1])})
-            held = rows[-ahead:]
+                    ok = similarity(regs[i], regs[j], n[i], n[j], how) >= how.tie
+                    _union(node, label[i[ok]], label[j[ok]])
+            moved = np.flatnonzero(node != np.arange(len(name)))
+            yield pa.RecordBatch.from_pydict({"a": pa.array(name[moved], pa.int64()), "b": pa.array(name[node[moved]], pa.int64())})
+
+    members = tasks.join(known, "sid").select("task", "sid", "root", "n", "regs")
+    return common.map_arrow(members.repartition("task").sortWithinPartitions("task", "sid"), search, "a bigint, b bigint")
+
 
-    near = common.map_arrow(sets, inner, "a bigint, b bigint")
-    values = common.map_arrow(sets, outward, "key bigint, sid bigint").repartition("key").sortWithinPartitions("key", "sid")
-    pairs = common.written(common.map_arrow(values, chained, "a bigint, b bigint").distinct(), "pairs")
-    return near.unionByName(_held(pairs, sets, how))
+def _by_task(batches: Iterator[pa.RecordBatch], how: Near) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """Columns and registers of batches ordered by task, each task whole."""
+    held: list[pa.RecordBatch] = []
+    for batch in _then_none(batches):
+        if batch is not None and batch.num_rows:
+            held.append(batch)
+        if held and (batch is None or held[0].column(0)[0] != held[-1].column(0)[-1]):
+            rows = pa.Table.from_batches(held).combine_chunks()
+            task = rows.column(0).to_numpy()
+            stop = len(task) if batch is None else int(np.flatnonzero(task != task[-1])[-1]) + 1  # the last task may go on
+            held = rows.slice(stop).to_batches()
+            rows = rows.slice(0, stop)
+            yield [rows.column(k).to_numpy() for k in range(4)], _byte_rows(rows.column(4), how.registers)
+
+
+def _pairs(at: np.ndarray, label: np.ndarray, n: np.ndarray, how: Near, most: int = 1 << 14) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one task that differ in label and may be near by their sizes, about `most` at a time."""
+    held, some = [], 0
+    for start, stop in zip(at[:-1], at[1:], strict=True):
+        step = max(1, most // (stop - start))
+        for a in range(start, stop, step):
+            i, j = np.arange(a, min(a + step, stop))[:, None], np.arange(start, stop)
+            ok = (i < j) & (label[i] != label[j]) & (100 * np.minimum(n[i], n[j]) >= how.percent * np.maximum(n[i], n[j]))
+            x, y = np.nonzero(ok)
+            held.append((x + a, y + start))
+            some += len(x)
+            if some >= most:
+                yield tuple(map(np.concatenate, zip(*held, strict=True)))
+                held, some = [], 0
+    if some:
+        yield tuple(map(np.concatenate, zip(*held, strict=True)))
 
 
 def _held(pairs: DataFrame, sets: DataFrame, how: Near) -> DataFrame:
@@ -244,7 +283,9 @@ def _held(pairs: DataFrame, sets: DataFrame, how: Near) -> DataFrame:
                 yield batch.select([0, 1]).filter(pa.array(ok))
 
     of = lambda c: sets.select(F.col("sid").alias(c), F.col("n").alias(f"n_{c}"), F.col("regs").alias(f"regs_{c}"))
-    both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "n_a", "regs_a", "n_b", "regs_b")
+    # A set may be the first of many values, and of large ones.
+    firsts = of("a").join(pairs.select("a").distinct(), "a", "left_semi")
+    both = common.looked_up(pairs.join(of("b"), "b"), firsts, "a", "b", how.links_rows).select("a", "b", "n_a", "regs_a", "n_b", "regs_b")
     return common.map_arrow(both, run, "a bigint, b bigint")
 
 
