@@ -105,3 +105,16 @@ def test_scaling_of_species(spark):
     rows = {r.sp: r for r in simulate.moments_of(distribution.initial(spark, run), spark, run).collect()}
     assert rows[1].density == pytest.approx(5 * rows[0].density)
     assert rows[1].temperature == pytest.approx(rows[0].temperature) and abs(rows[0].mean_velocity) < 1e-14
+
+
+def test_exact_sums_are_taken_where_rows_are_dealt_to(spark):
+    """No task has partial sums of cells but its own; a cell of many rows has them, and all bits stay the same."""
+    plan = moments.exact(spark.range(9).selectExpr("id AS k", "1D AS w", "1D AS f", "1D AS vpar"), ("k",))._jdf.queryExecution().executedPlan().toString()
+    assert plan.rindex("HashAggregate") < plan.index("Exchange hashpartitioning")
+    f = spark.range(4000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 501).alias("k"), F.when(F.col("id") % 5 > 0, F.col("id") % 2).alias("l"), F.lit(0.1).alias("w"), F.exp(F.col("id") / 300).alias("f"), F.sin("id").alias("vpar"))
+    rows = lambda df: sorted(map(str, df.collect()))
+    want = rows(moments._exact(f, ("k", "l"), F.lit(0.5), False))
+    for most in (100, 1 << 19):
+        assert rows(moments.exact(f, ("k", "l"), 0.5, rows=most, bins=1024)) == want
+    assert moments.exact(f, ("k", "l"), rows=100, bins=1024)._jdf.queryExecution().executedPlan().toString().count("Union") == 1
+    assert moments.exact(f.limit(0), ("k", "l")).count() == 0

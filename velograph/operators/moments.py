@@ -60,9 +60,7 @@ def two_pass(f: DataFrame, keys: Sequence[str] = CELL, skipna: bool = False, cel
     return second.select(*keys, "density", "mean_velocity", ieee_div(F.col("m2"), F.col("density")).alias("temperature"))
 
 
-def exact(f: DataFrame, keys: Sequence[str] = CELL, about: Column | float = 0.0, skipna: bool = False) -> DataFrame:
-    """One pass, with sums whose bits don't depend on how rows are split or ordered."""
-    about = F.lit(about) if isinstance(about, float | int) else about
+def _exact(f: DataFrame, keys: Sequence[str], about: Column, skipna: bool) -> DataFrame:
     wf, v = F.col("w") * F.col("f"), F.col("vpar") - about
     sums = f.groupBy(*keys).agg(*[exact_total(x, skipna).alias(n) for n, x in (("m0", wf), ("m1", wf * v), ("m2", wf * v * v))], F.max(about).alias("about"))
     m0, m1, m2 = (F.col(c) for c in ("m0", "m1", "m2"))
@@ -70,6 +68,23 @@ def exact(f: DataFrame, keys: Sequence[str] = CELL, about: Column | float = 0.0,
     return sums.select(*keys, m0.alias("density"), (F.col("about") + d).alias("mean_velocity"), (ieee_div(m2, m0) - d * d).alias("temperature"))
 
 
+def exact(f: DataFrame, keys: Sequence[str] = CELL, about: Column | float = 0.0, skipna: bool = False, rows: int = 1 << 19, bins: int = 1 << 16) -> DataFrame:
+    """One pass, with sums whose bits don't depend on how rows are split or ordered. The sums of a cell are some 30 longs, so rows
+    are dealt out by cell first, about `rows` to a task, whose memory is bounded by that; partial sums where rows lie would
+    hold most cells in every task. Cells of more rows than a task's are found by counts of hashes (`bins` of them), and take partial sums."""
+    about = F.lit(about) if isinstance(about, float | int) else about
+    if f.isStreaming or not keys:
+        return _exact(f, keys, about, skipna)
+    bin_ = F.pmod(F.xxhash64(*keys), F.lit(bins))
+    counts = f.groupBy(bin_.alias("bin")).agg(F.count("*").alias("n"))
+    # At most one in `rows` rows has such a bin.
+    n, filled = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.collect_list(F.when(F.col("n") > rows, F.struct("bin", "n")))).first()
+    large = [r["bin"] for r in filled if r["n"] > 8 * n // bins]
+    parts = max(f.sparkSession.sparkContext.defaultParallelism, -(-n // rows))
+    dealt = _exact((f.where(~bin_.isin(large)) if large else f).repartition(parts, *keys), keys, about, skipna)
+    return dealt.unionByName(_exact(f.where(bin_.isin(large)), keys, about, skipna)) if large else dealt
+
+
 def moments(f: DataFrame, which: Sequence[str] = ALL, keys: Sequence[str] = CELL, *, method: str = "one_pass", about: Column | float = 0.0, skipna: bool = False, cells: int | None = None) -> DataFrame:
     """The moments named, of f with vpar and w; cells: how many there are, if known."""
     if unknown := set(which) - set(ALL):
