@@ -114,7 +114,7 @@ def test_exact_sums_are_taken_where_rows_are_dealt_to(spark):
     f = spark.range(4000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 501).alias("k"), F.when(F.col("id") % 5 > 0, F.col("id") % 2).alias("l"), F.lit(0.1).alias("w"), F.exp(F.col("id") / 300).alias("f"), F.sin("id").alias("vpar"))
     rows = lambda df: sorted(map(str, df.collect()))
     want = rows(moments._exact(f, ("k", "l"), F.lit(0.5), False))
-    for most in (100, 1 << 19):
+    for most in (100, 1 << 21):
         assert rows(moments.exact(f, ("k", "l"), 0.5, rows=most, bins=1024)) == want
     assert moments.exact(f, ("k", "l"), rows=100, bins=1024)._jdf.queryExecution().executedPlan().toString().count("Union") == 1
     assert moments.exact(f.limit(0), ("k", "l")).count() == 0

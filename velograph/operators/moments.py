@@ -68,7 +68,7 @@ def _exact(f: DataFrame, keys: Sequence[str], about: Column, skipna: bool) -> Da
     return sums.select(*keys, m0.alias("density"), (F.col("about") + d).alias("mean_velocity"), (ieee_div(m2, m0) - d * d).alias("temperature"))
 
 
-def exact(f: DataFrame, keys: Sequence[str] = CELL, about: Column | float = 0.0, skipna: bool = False, rows: int = 1 << 19, bins: int = 1 << 16) -> DataFrame:
+def exact(f: DataFrame, keys: Sequence[str] = CELL, about: Column | float = 0.0, skipna: bool = False, rows: int = 1 << 21, bins: int = 1 << 16) -> DataFrame:
     """One pass, with sums whose bits don't depend on how rows are split or ordered. The sums of a cell are some 30 longs, so rows
     are dealt out by cell first, about `rows` to a task, whose memory is bounded by that; partial sums where rows lie would
     hold most cells in every task. Cells of more rows than a task's are found by counts of hashes (`bins` of them), and take partial sums."""
